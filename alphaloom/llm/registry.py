@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, suffix_dedup, token_count, toxicity
+from . import bpe, decontaminate, embedding_dedup, lm_score, quality, sharding, simhash, suffix_dedup, token_count, toxicity
 from .common import held_out, read
 
 QUERIES: dict = {}
@@ -37,6 +37,28 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``; documents with equal texts are linked."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("text_sha256"))
+    out = sharding.balanced_shards(docs, ["text_sha256"], shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good; background: all."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_score.score(docs, read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    return out.select("doc_id", "n_tokens", "target_loss", "background_loss", "difference")
+
+
 @query
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +67,14 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks alone: a row for each document and benchmark item found in it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return out.select("doc_id", "leak.item_id", "leak.cosine", "leak.subsequence", "leak.answer")
+
+
 @query
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
