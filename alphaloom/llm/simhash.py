@@ -164,3 +164,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.join(low, "component").select("fp", "component_id")
     return keyed.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the smallest id's, and of rows sharing that id one.
+
+    Rows with a null id have no name to be told apart by; those whose component has an id go, the others stay.
+    """
+    marked = near_duplicates(docs, doc_id=doc_id, **how)
+    kept = marked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{OWN}id")).distinct()
+    lost = marked.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).limit(1).count()
+    out = docs.join(kept, F.col(doc_id).cast("bigint") == F.col(f"{OWN}id"), "left_semi").dropDuplicates([doc_id])
+    return out.unionAll(docs.where(F.col(doc_id).isNull())) if lost else out
