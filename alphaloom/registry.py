@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .queries import dsl, sim, stats  # noqa: F401
+from .queries.common import ORACLE, QUERIES
+
+__all__ = ["QUERIES", "ORACLE"]
