@@ -23,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id (of rows with that id, one)."""
+    """One document of each group of near copies stays: the smallest id's (of rows with that id, one).
+
+    Near copies: shingles of five words 0.8 alike or more, as SimHash fingerprints of 256 bits tell.
+    """
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
