@@ -145,8 +145,8 @@ _op("op_csrank_weekly", f"CSRank({X})", _CS.format("x"), WEEKLY, weekly)
 
 
 def _formula(name: str, formula: str, ctes: str, value: str) -> None:
-    QUERIES[name] = lambda spark, d: rounded(evaluate(monthly(spark, d), {"value": formula}).select("ticker", "date", "value"), "value")
-    ORACLE[name] = f"WITH {MONTHLY}, p AS (SELECT *, ln(pclose) AS x, ln(vlot) AS y FROM panel), {ctes} SELECT ticker, date, round(coalesce({value}, 0.0), 6) + 0.0 AS value FROM v"
+    QUERIES[name] = lambda spark, d: rounded(evaluate(monthly(spark, d), {"value": formula}).select("ticker", "date", "value"), "value", digits=9)
+    ORACLE[name] = f"WITH {MONTHLY}, p AS (SELECT *, ln(pclose) AS x, ln(vlot) AS y FROM panel), {ctes} SELECT ticker, date, round(coalesce({value}, 0.0), 9) + 0.0 AS value FROM v"
 
 
 _formula("formula_csrank_delta", "CSRank(Delta(Pclose, 5))", f"a AS (SELECT *, pclose - lag(pclose, 5) OVER ({TS}) AS z FROM p), v AS (SELECT *, CASE WHEN z IS NOT NULL THEN {_CS.format('z')} END AS w FROM a)", "w")

@@ -277,9 +277,9 @@ def dsr_simple(spark, d):
     return rounded(overfit.simple_deflated_sharpe(overfit.sharpe_inputs(daily_returns(spark, d))), "sharpe", "z", "p", digits=4)
 
 
-@query("ensemble_rank_average", f"WITH {_POOL_SQL}, p AS (SELECT ticker, date, {_AVG.format('formula_id, date', 'signal')} / count(signal) OVER (PARTITION BY formula_id, date) AS v FROM s) SELECT ticker, date, round(sum(v / 3), 6) + 0.0 AS signal FROM p GROUP BY ticker, date HAVING count(*) = 3")
+@query("ensemble_rank_average", f"WITH {_POOL_SQL}, p AS (SELECT ticker, date, {_AVG.format('formula_id, date', 'signal')} / count(signal) OVER (PARTITION BY formula_id, date) AS v FROM s) SELECT ticker, date, round(sum(v / 3), 9) + 0.0 AS signal FROM p GROUP BY ticker, date HAVING count(*) = 3")
 def ensemble_rank_average(spark, d):
-    return rounded(overfit.combine(pool_rows(spark, d)), "signal")
+    return rounded(overfit.combine(pool_rows(spark, d)), "signal", digits=9)
 
 
 _WIDE = "wide AS (SELECT ticker, date, coalesce(momentum, 0.0) AS momentum, coalesce(level, 0.0) AS level, coalesce(trend, 0.0) AS trend FROM b)"
@@ -340,7 +340,7 @@ def asof_benchmark(spark, d):
 
 @query(
     "asof_fundamental_lag45",
-    f"""WITH {MONTHLY}, f AS (SELECT o_custkey % 10 AS ticker, CAST(o_orderdate AS DATE) + 45 AS at, max(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT p.ticker, p.date, round(f.v, 4) AS v FROM panel p ASOF LEFT JOIN f ON p.ticker = f.ticker AND p.date >= f.hit""",
+    f"""WITH {MONTHLY}, f AS (SELECT o_custkey % 10 AS ticker, CAST(o_orderdate AS DATE) + 45 AS at, max(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT p.ticker, p.date, round(f.v, 4) AS v FROM panel p ASOF LEFT JOIN f ON p.ticker = f.ticker AND p.date >= f.at""",
 )
 def asof_fundamental_lag45(spark, d):
     f = P.table(spark, d, "orders").groupBy((F.col("o_custkey") % 10).alias("ticker"), F.date_add(F.to_date("o_orderdate"), 45).alias("at")).agg(F.max("o_totalprice").alias("v"))
