@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import dsl, sim, stats  # noqa: F401
+from .queries import dsl, more, sim, stats  # noqa: F401
 from .queries.common import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
