@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "suffix")
     src = docs.select(F.col(doc_id).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
     total = src.agg(F.sum(F.length("raw"))).first()[0] or 0
-    buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20)))
+    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (32 << 20)))
     matched = scratch.keep(per_bucket(src.mapInArrow(sample_runs(buckets), SCHEMA), match_runs(buckets, hot)), "matched")
 
     def pack(batches):
