@@ -171,9 +171,14 @@ def evaluate(panel: DataFrame, pool: dict[str, str | Node], raw: bool = False) -
     return panel.select(*base, *out)
 
 
-def clip(signals: DataFrame, ids: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Each signal clipped at its own quantiles over all rows: one exact aggregation for the pool, one row broadcast."""
-    edges = signals.agg(*[F.percentile(F.col(k), F.array(F.lit(low), F.lit(high))).alias(f"__q_{k}") for k in ids])
+def clip(signals: DataFrame, ids: list[str], low: float = 0.005, high: float = 0.995, accuracy: int | None = None) -> DataFrame:
+    """Each signal clipped at its own quantiles over all rows: one aggregation for the pool, one row broadcast.
+
+    Exact quantiles keep every distinct value in the aggregation; ``accuracy`` takes bounded sketches instead,
+    with ranks off by at most one in ``accuracy``, for panels whose distinct values do not fit an executor.
+    """
+    quantiles = (lambda c: F.percentile(c, F.array(F.lit(low), F.lit(high)))) if accuracy is None else (lambda c: F.percentile_approx(c, [low, high], accuracy))
+    edges = signals.agg(*[quantiles(F.col(k)).alias(f"__q_{k}") for k in ids])
     joined = signals.crossJoin(F.broadcast(edges))  # one row
     return joined.select(*[c for c in signals.columns if c not in ids], *[F.least(F.greatest(F.col(k), F.col(f"__q_{k}")[0]), F.col(f"__q_{k}")[1]).alias(k) for k in ids])
 
