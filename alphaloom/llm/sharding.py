@@ -28,19 +28,19 @@ def _ranked(rows: DataFrame, bucket, buckets: int, name: str) -> DataFrame:
     return rows.withColumn(f"{OWN}place", place).join(counts, ["shard", f"{OWN}b"]).withColumn(name, F.col(f"{OWN}before") + F.col(f"{OWN}place")).drop(f"{OWN}b", f"{OWN}before", f"{OWN}place")
 
 
-def propagate(members: DataFrame, alone: list[int], capacity: list[int], scratch: Scratch, rounds: int) -> DataFrame:
+def propagate(members: DataFrame, capacity: list[int], scratch: Scratch, rounds: int) -> DataFrame:
     """``members(uid, link, shard)``: rows of link classes with two rows or more -> the same with moved shards.
 
     In a round each class counts its rows per shard (a join and an aggregation, never its pairs); a row wants
     the shard with most of its class among those with room, if that beats its own; each shard lets in as many
-    as it has room for, by an even draw. ``alone``: rows per shard that have no link and stand still.
+    as it has room for, by an even draw. Rows without links take no room: they go wherever linked rows leave some.
     """
     shards = len(capacity)
     taste = F.xxhash64("link", "shard")  # settles ties differently for each class
     moved = -1
     for i in range(rounds):
         held = {r.shard: r.n for r in members.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        room = [max(0, capacity[s] - held.get(s, 0) - alone[s]) for s in range(shards)]
+        room = [max(0, capacity[s] - held.get(s, 0)) for s in range(shards)]
         counts = members.groupBy("link", "shard").agg(F.count("*").alias("c")).withColumn("own", F.struct("c", taste.alias("t")))
         best = counts.where(_of(room, F.col("shard")) > 0).groupBy("link").agg(F.max(F.struct("own", "shard")).alias("best"))
         wants = members.join(counts.select("link", "shard", "own"), ["link", "shard"]).join(best, "link", "left")
@@ -59,13 +59,13 @@ def propagate(members: DataFrame, alone: list[int], capacity: list[int], scratch
     return members
 
 
-def balanced_shards(rows: DataFrame, link: list[str], shards: int = 24, rounds: int = 8, slack: float = 0.02) -> DataFrame:
+def balanced_shards(rows: DataFrame, link: list[str], shards: int = 24, rounds: int = 8) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     Law ``rows``: the shards' row counts differ by one at most. Rows that are equal in the columns ``link`` are
     linked with one another; shards are chosen to keep linked rows together. Rows start spread by hash, then
-    linked rows propagate under quotas of the even share plus ``slack``; at the end, shards over their exact
-    share give away rows, those without links first, to shards under it. A class larger than a shard's share
+    linked rows propagate under quotas of the even share; at the end, shards over their share give away rows, those
+    without links first, to shards under it. A class larger than a shard's share
     fills one shard after another. Nulls in ``link`` are equal to one another; repeated rows are rows of their
     own; an empty table stays empty. Columns named shard or slot are replaced.
     """
@@ -74,17 +74,11 @@ def balanced_shards(rows: DataFrame, link: list[str], shards: int = 24, rounds:
     base = scratch.keep(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("link", F.xxhash64(*link)), "rows")
     total = base.count()
     exact = [total // shards + (s < total % shards) for s in range(shards)]
-    capacity = [int(x * (1 + slack)) + 1 for x in exact]
     classes = base.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
     start = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")
     linked = base.select("uid", "link").join(classes, "link", "left_semi").select("uid", "link", start)
     linked = scratch.keep(linked, "linked")
-    spread = {r.shard: r.n for r in base.select(start).groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    inside = {r.shard: r.n for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    alone = [spread.get(s, 0) - inside.get(s, 0) for s in range(shards)]
-    # rows without links yield: count them at an even share of what the linked rows leave
-    alone_even = [sum(alone) // shards] * shards
-    moved = propagate(linked, alone_even, capacity, scratch, rounds)
+    moved = propagate(linked, exact, scratch, rounds)
     placed = base.select("uid", start.alias("start")).join(moved.select("uid", F.col("shard").alias("to")), "uid", "left").select("uid", F.coalesce("to", "start").alias("shard"), F.col("to").isNotNull().alias("linked"))
     placed = scratch.keep(placed, "placed")
     held = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
