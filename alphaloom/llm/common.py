@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,16 @@ OWN = "__llm_"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (single-machine tests) a temporary folder is taken, and noted in the session.
+    Only where it is unset (single-machine tests) a temporary folder is taken, noted in the session and removed
+    when this process ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("alphaloom.shared.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="alphaloom-")
+        folder = tempfile.mkdtemp(prefix="alphaloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("alphaloom.shared.dir", found)
     return found.rstrip("/")
 
