@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gc
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from .common import OWN
 
 
+_BYTES = [bytes((b,)) for b in range(256)]
+
+
 class Transducer:
     """Merges compiled into a finite-state transducer over bytes, determinised as inputs ask for it.
 
@@ -27,100 +32,146 @@ class Transducer:
     most a token's length of lookahead. States and moves are made on first use and dropped beyond ``limit``.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
-        self.own = {t: i for t, i in ranks.items() if len(t) == 1 or self._merge(t) == [i]}  # tokens that merging can reach
+        self.own, self.parts = {}, {}  # tokens that merging can reach, and what their last merge joined
+        for token, i in sorted(ranks.items(), key=lambda x: x[1]):
+            before = [i] if len(token) == 1 else self._merge(token, below=i)
+            if len(before) <= 2:
+                self.own[token] = i
+                if len(before) == 2:
+                    self.parts[i] = tuple(before)
+        self.size_of = [len(t) for t in self.bytes_of] + [1, 1]  # the last two for -2 and -1
         self.starts = {t[:k] for t in self.own for k in range(1, len(t))}
-        self.longest = max(map(len, self.own))
         self._joins: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.state_of = {(-1, b""): 0}
-        self.states = [(-1, b"", (-1,))]
-        self.moves: list[dict] = [{}]
-        self.ends: list = [()]
+        self.states = [(b"", (-1,), [0])]  # pending bytes, last token at each boundary, boundaries that later bytes can build on
+        self.moves: dict[int, tuple] = {}  # by state * 256 + byte
 
-    def _merge(self, piece: bytes) -> list[int]:
-        """Reference merging of a short piece: the lowest-ranked adjacent pair, leftmost first."""
+    def _merge(self, piece: bytes, below: int = 1 << 40) -> list[int]:
+        """Reference merging of a short piece: the lowest-ranked adjacent pair, leftmost first, of ranks ``below`` alone."""
         parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
         while len(parts) > 1:
             best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if best == 1 << 40:
+            if best >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
     def joins(self, a: int, b: int) -> bool:
-        """Whether tokens a, b side by side stay as they are."""
+        """Whether tokens a, b side by side stay as they are.
+
+        Undoes the two tokens' merges, the latest first, and asks at each step whether the parts that then meet
+        at the boundary would have merged before the merge just undone.
+        """
         key = a << 20 | b
         if (known := self._joins.get(key)) is None:
-            if len(self._joins) > 4 * self.limit:
+            if len(self._joins) > 2 * self.limit:
                 self._joins.clear()
-            known = self._joins[key] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            ranks, of, parts, undone = self.ranks, self.bytes_of, self.parts, 1 << 40
+            left, right = a, b
+            while True:
+                met = ranks.get(of[left] + of[right])
+                if met is not None and met < undone:
+                    known = False
+                    break
+                # of equal ranks the pair further left merges first; so an undone right token lets its own rank win at the boundary
+                if (left > right and left in parts) or right not in parts:
+                    if left not in parts:
+                        known = True
+                        break
+                    undone, left = left, parts[left][1]
+                else:
+                    undone, right = right + 1, parts[right][0]
+            self._joins[key] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        emitted, pending, last = self.states[state]
-        pending += bytes((byte,))
-        n = len(pending)
-        for j in range(max(0, n - self.longest), n):
-            token = self.own.get(pending[j:])
-            if token is not None and last[j] != -2 and (last[j] == -1 or self.joins(last[j], token)):
-                last = (*last, token)
-                break
-        else:
-            last = (*last, -2)  # no sequence of tokens ends here (a byte that is no token)
-        size = [len(self.bytes_of[t]) if t >= 0 else 0 for t in last]
-        reach = [j for j in range(1, n) if pending[j:] in self.starts] + [n]
-        if pending in self.starts:
-            reach = [0, *reach]
-        while len(reach) > 1:  # the deepest boundary that all in reach are built on
-            deep = reach.pop()
-            up = deep - size[deep]
-            if up not in reach:
-                reach.append(up)
-                reach.sort()
-        top, out, j = reach[0], [], reach[0]
-        while j > 0:
-            out.append(last[j])
-            j -= size[j]
-        key = (last[top], pending[top:])
+        pending, last, live = self.states[state]
+        pending += _BYTES[byte]
+        n, own, starts = len(pending), self.own, self.starts
+        found, reach = -2, []  # -2: no sequence of tokens ends here (a byte that is no token)
+        for j in live:
+            rest = pending[j:] if j else pending
+            if found == -2 and (token := own.get(rest)) is not None:
+                before = last[j]
+                if before == -1 or (before >= 0 and self.joins(before, token)):
+                    found = token
+            if rest in starts:
+                reach.append(j)
+        last += (found,)
+        reach.append(n)
+        out = ()
+        if reach[0]:  # else later bytes can still build on the first boundary, and nothing is certain yet
+            tops, size = set(reach), self.size_of
+            while len(tops) > 1:  # the deepest boundary that all in reach are built on
+                deep = max(tops)
+                tops.discard(deep)
+                tops.add(deep - size[last[deep]])
+            if top := tops.pop():
+                j, emitted = top, []
+                while j > 0:
+                    emitted.append(last[j])
+                    j -= size[last[j]]
+                out = tuple(reversed(emitted))
+                pending, last, reach = pending[top:], last[top:], [j - top for j in reach]
+        key = (last[0], pending)
         to = self.state_of.get(key)
         if to is None:
             to = self.state_of[key] = len(self.states)
-            self.states.append((*key, last[top:]))
-            self.moves.append({})
-            self.ends.append(None)
-        made = self.moves[state][byte] = (to, tuple(reversed(out)))
+            self.states.append((pending, last, reach))
+        made = self.moves[state << 8 | byte] = (to, out)
         return made
 
-    def _end(self, state: int) -> tuple:
-        _, pending, last = self.states[state]
+    def _rest(self, state: int, rest: bytes) -> tuple:
+        """What a state still emits if ``rest`` ends the input. No states are made: most tails come once."""
+        pending, last, live = self.states[state]
+        at, own, starts, size = len(pending), self.own, self.starts, self.size_of
+        pending, last = pending + rest, list(last)
+        for n in range(at + 1, len(pending) + 1):
+            found, reach = -2, []
+            for j in live:
+                part = pending[j:n]
+                if found == -2 and (token := own.get(part)) is not None:
+                    before = last[j]
+                    if before == -1 or (before >= 0 and self.joins(before, token)):
+                        found = token
+                if part in starts:
+                    reach.append(j)
+            last.append(found)
+            reach.append(n)
+            live = reach
         out, j = [], len(pending)
         while j > 0:
             out.append(last[j])
-            j -= len(self.bytes_of[last[j]])
-        self.ends[state] = made = tuple(reversed(out))
-        return made
+            j -= size[last[j]]
+        out.reverse()
+        return tuple(out)
 
     def encode(self, piece: bytes) -> tuple:
-        """Ids of one match of the split pattern."""
+        """Ids of one match of the split pattern: known moves, one new move at most, and the rest without."""
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
         if len(self.states) > self.limit:
             self._reset()
         state, out, moves = 0, (), self.moves
-        for byte in piece:
-            made = moves[state].get(byte) or self._move(state, byte)
+        for i, byte in enumerate(piece):
+            made = moves.get(state << 8 | byte)
+            if made is None:
+                if i + 1 < len(piece):
+                    made = self._move(state, byte)
+                    return out + made[1] + self._rest(made[0], piece[i + 1 :])
+                return out + self._rest(state, piece[i:])
             state = made[0]
             if made[1]:
                 out += made[1]
-        end = self.ends[state]
-        return out + (self._end(state) if end is None else end)
+        return out + self._rest(state, b"")
 
 
 class Utf8Stream:
@@ -160,19 +211,30 @@ class Utf8Stream:
 class Codec:
     """Encodes and decodes whole texts with the vocabulary of a rank file."""
 
-    def __init__(self, rank_path: str, pattern: str, remember: int = 300_000):
+    def __init__(self, rank_path: str, pattern: str, remember: int = 350_000):
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fst, self.pattern, self.remember = Transducer(ranks), regex.compile(pattern), remember
         self.bytes_of = self.fst.bytes_of
         # A space after a non-space always starts a match of this family of patterns, so texts are cut there and units remembered.
         self.unit_cut = re.compile(r"(?<=\S) ") if r"\s+(?!\S)|\s+" in pattern and r" ?\p{L}+" in pattern else None
+        # what units gave: the latest, and those before, which are kept if met again
         self.units: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def unit(self, unit: str) -> tuple:
-        out = ()
-        for piece in self.pattern.findall(unit):
-            out += self.fst.encode(piece.encode("utf-8", "surrogatepass"))
+        if (out := self.older.get(unit)) is None:
+            out = ()
+            if self.unit_cut is not None and unit[-1] in ".," and len(unit) > 2 and unit[-2].isalpha():
+                # letters end a match where a mark follows, so the word is looked up alone
+                word = unit[:-1]
+                out = self.units.get(word) or self.unit(word)
+                return self.keep(unit, out + self.fst.encode(unit[-1].encode()))
+            for piece in self.pattern.findall(unit):
+                out += self.fst.encode(piece.encode("utf-8", "surrogatepass"))
+        return self.keep(unit, out)
+
+    def keep(self, unit: str, out: tuple) -> tuple:
         if len(unit) <= 64:
             self.units[unit] = out
         return out
@@ -196,8 +258,27 @@ class Codec:
         return "".join([*out, stream.feed(b"", last=True)])
 
     def trim(self) -> None:
+        """Bounds the memory of what is remembered; called between batches."""
         if len(self.units) > self.remember:
-            self.units.clear()
+            self.older, self.units = self.units, {}
+
+    def rest(self) -> None:
+        """Forgets all that was remembered, for other work that follows in this process."""
+        self.older, self.units = {}, {}
+        self.fst._reset()
+
+
+@contextmanager
+def working(rank_path: str, pattern: str, release: bool):
+    """A worker's codec for a task. What it makes holds no cycles, and millions of tuples make searching for some dear."""
+    c = codec(rank_path, pattern)
+    gc.disable()
+    try:
+        yield c
+    finally:
+        gc.enable()
+        if release:
+            c.rest()
 
 
 @lru_cache(maxsize=2)
@@ -206,22 +287,26 @@ def codec(rank_path: str, pattern: str) -> Codec:
     return Codec(rank_path, pattern)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, release: bool = False) -> DataFrame:
     """``docs`` with a column ``ids`` (array of int) and, if named, one with the text decoded from those ids.
 
     One pass, no shuffle; encoding and decoding share a Python worker. A null or empty text gives no ids and an
     empty decoded text. Other columns pass through unchanged (``ids``/``decoded`` replace columns so named);
-    rows may repeat; an empty table gives an empty table.
+    rows may repeat; an empty table gives an empty table. With ``release`` a task leaves nothing remembered in its
+    Python worker, which costs the next task some time and leaves the memory to other stages.
     """
     kept = [c for c in docs.columns if c not in (ids, decoded)]
     src = docs.select(*kept, F.col(text).cast("string").alias(f"{OWN}text"))
     made = [f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])]
 
     def run(batches):
-        c = codec(rank_path, pattern)
+        with working(rank_path, pattern, release) as c:
+            yield from made_of(c, batches)
+
+    def made_of(c, batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 all_ids = [c.encode(t.as_py()) for t in b.column(b.num_columns - 1)]
                 ends = np.cumsum([0, *map(len, all_ids)], dtype=np.int32)
                 flat = np.fromiter(chain.from_iterable(all_ids), np.int32, int(ends[-1]))
