@@ -175,16 +175,16 @@ def link_similar(nodes: DataFrame, scratch: Scratch, distance: int, width: int,
 
     def deal(batches):
         weight = (1 << np.arange(sample)).astype(np.int64)
-        for b in batches:
-            raw = b.column(0)
-            fp = np.frombuffer(b"".join(raw.to_pylist()), "<u8").reshape(b.num_rows, -1)
-            bits = np.unpackbits(fp.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            parts = (bits[:, picks.ravel()].reshape(-1, tables, sample) @ weight + np.arange(tables) * (1 << sample)).ravel()
-            d0 = np.bitwise_count(fp ^ refs[0]).sum(axis=1, dtype=np.int32)
-            take = pa.array(np.repeat(np.arange(b.num_rows), tables))
-            for at in range(0, len(parts), 100_000):
-                t = take.slice(at, 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(parts[at : at + 100_000]), b.column(1).take(t), raw.take(t), pa.array(d0).take(t)], names=["part", "node", "fp", "d0"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                raw = b.column(0)
+                fp = np.frombuffer(b"".join(raw.to_pylist()), "<u8").reshape(b.num_rows, -1)
+                bits = np.unpackbits(fp.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+                parts = (bits[:, picks.ravel()].reshape(-1, tables, sample) @ weight + np.arange(tables) * (1 << sample)).ravel()
+                d0 = np.bitwise_count(fp ^ refs[0]).sum(axis=1, dtype=np.int32)
+                take = pa.array(np.repeat(np.arange(b.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(parts), b.column(1).take(take), raw.take(take), pa.array(d0).take(take)], names=["part", "node", "fp", "d0"])
 
     dealt = nodes.select("fp", "node").mapInArrow(deal, "part bigint, node bigint, fp binary, d0 int")
     rows = dealt.repartition("part").sortWithinPartitions("part", "d0").select("part", "node", "fp")

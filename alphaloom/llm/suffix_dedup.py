@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,11 +123,22 @@ def _repeats(order, classes, key, text_hash, start):
     return order[~same], order[new]
 
 
+def _parts(batch: pa.RecordBatch, most: int = 8 << 20):
+    """A batch in slices of some megabytes of text (a longer text alone)."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def sample_runs(buckets: int):
     """Documents -> packed runs by q-gram, one for each class of a batch; the batch's later members are repeats at once."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             key, text_hash, raw = _documents(b.column(0), b.column(1))
             once = np.unique(np.stack([key, text_hash], axis=1), axis=0, return_index=True)[1]
             key, text_hash, raw = key[once], text_hash[once], [raw[i] for i in once]
@@ -241,11 +253,11 @@ def refine(buckets: int):
         t = t.sort_by("gram")
         gram = t.column("gram").to_numpy()
         edges = np.flatnonzero(_first_of(gram))
-        # whole q-grams at a time, some megabytes of bytes each
+        # whole q-grams at a time, under a megabyte of bytes each: the sorts need some hundred times as much
         weight = np.cumsum(t.column("size").to_numpy().astype(np.int64) + LENGTH)
         cuts, last = [0], 0
         for e in edges[1:]:
-            if weight[e - 1] - last > 4_000_000:
+            if weight[e - 1] - last > 800_000:
                 cuts.append(int(e))
                 last = weight[e - 1]
         for a, b in zip(cuts, [*cuts[1:], len(gram)]):
@@ -304,7 +316,7 @@ def _spans(runs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 5_000) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``spans`` (array of (start, end)) and ``kept`` (the bytes left).
 
     A byte goes if a string of 100 bytes over it also starts earlier: in a document of smaller id, or earlier
