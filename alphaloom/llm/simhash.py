@@ -15,39 +15,54 @@ from .graph import connected_components
 BITS = 64
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", keys: tuple[str, ...] = ("doc_id",), name: str = "fp", width: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", keys: tuple[str, ...] = ("doc_id",), name: str = "fp", width: int = 1, sets: str | None = None) -> DataFrame:
     """``keys`` + ``name``: the 64-bit SimHash (a signed long) of each row's whole text.
 
     A-Z are lower-cased, words are runs of bytes other than space and 0x09-0x0D, and a shingle is ``words`` of
     them joined by a space, repeats included. Fewer words form one shingle; none (null, empty or blank text)
     gives 0. A bit is 1 if it is set in over half of the shingles' XXH64 values. Keys may be null or repeat;
     other columns are ignored. With ``width`` over 1 the fingerprint is a binary of so many 64-bit words, the
-    further words from further mixings of the same hashes.
+    further words from further mixings of the same hashes. With ``sets`` each distinct shingle counts once, and a
+    column of that name holds their sorted hashes.
     """
     src = docs.select(*[F.col(k).alias(f"{OWN}k{i}") for i, k in enumerate(keys)], F.col(text).cast("string").cast("binary").alias(f"{OWN}text"))
 
-    def one(raw: bytes | None) -> np.ndarray:
+    def shingles(raw: bytes | None):
         found = raw.lower().split() if raw else []
-        if not found:
-            return np.zeros(width, "<u8")
-        ones, total = np.zeros((width, BITS), np.int64), max(1, len(found) - words + 1)
+        total = max(1, len(found) - words + 1) if found else 0
         for at in range(0, total, 1 << 14):  # bounded memory for very long texts
-            h = np.array([hashed(b" ".join(found[i : i + words]), seed) for i in range(at, min(total, at + (1 << 14)))], "<u8")
+            yield np.array([hashed(b" ".join(found[i : i + words]), seed) for i in range(at, min(total, at + (1 << 14)))], "<u8")
+
+    def one(hashes) -> np.ndarray:
+        ones, total = np.zeros((width, BITS), np.int64), 0
+        for h in hashes:
+            total += len(h)
             for k in range(width):
                 ones[k] += np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
+    def distinct(raw: bytes | None) -> np.ndarray:
+        return np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(raw)]))
+
     from xxhash import xxh64_intdigest as hashed
 
     def run(batches):
-        for b in batches:
-            made = [one(t.as_py()) for t in b.column(b.num_columns - 1)]
-            out = pa.array([x.tobytes() for x in made], pa.binary()) if width > 1 else pa.array([int(x[0].astype(np.int64)) for x in made], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*b.schema.names[:-1], name])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{name}` {'binary' if width > 1 else 'bigint'}"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                raw = b.column(b.num_columns - 1)
+                own = [distinct(t.as_py()) for t in raw] if sets else []
+                made = [one(np.split(h, range(1 << 14, len(h), 1 << 14))) for h in own] if sets else [one(shingles(t.as_py())) for t in raw]
+                out = [pa.array([x.tobytes() for x in made], pa.binary()) if width > 1 else pa.array([int(x[0].astype(np.int64)) for x in made], pa.int64())]
+                if sets:
+                    edges = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(own).view(np.int64))))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], names=[*b.schema.names[:-1], *names])
+
+    names = [name, sets] if sets else [name]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{name}` {'binary' if width > 1 else 'bigint'}", *([f"`{sets}` array<bigint>"] if sets else [])])
     out = src.mapInArrow(run, schema)
-    return out.select(*[F.col(f"{OWN}k{i}").alias(k) for i, k in enumerate(keys)], name)
+    return out.select(*[F.col(f"{OWN}k{i}").alias(k) for i, k in enumerate(keys)], *names)
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -71,7 +86,7 @@ def bands(distance: int, extra: int = 2) -> list[list[tuple[int, int]]]:
     return [list(x) for x in combinations(list(zip(edges, edges[1:])), extra)]
 
 
-def link_partition(batches, refs: np.ndarray, distance: int):
+def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int | None = None):
     """Links within the rows (part, node, fp) of a partition sorted by (part, first coordinate).
 
     Each fingerprint's distances to all references are tabulated once. A row meets those after it in its part
@@ -79,6 +94,11 @@ def link_partition(batches, refs: np.ndarray, distance: int):
     turn); pairs whose other coordinates differ by more go out one reference at a time; survivors are verified.
     What is carried from batch to batch are the rows of the last part still within reach. Only a forest of
     each batch's links is passed on, since components are all that is asked for.
+
+    Where links are candidates, to be checked by the caller, ``pairs_a_row`` has all pairs passed on, as rows
+    (src, dst, part null): but for parts of a batch with more pairs a row than that, which give their forest and
+    a row (null, null, part), so that the caller asks again for what the forest does not settle. Rows may have
+    a further column, ``group``: pairs of one group are left out.
     """
     held = None
     for b in batches:
@@ -86,15 +106,17 @@ def link_partition(batches, refs: np.ndarray, distance: int):
         if not len(part):
             continue
         fp = np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(part), -1) if pa.types.is_binary(fp.type) else fp.to_numpy().view(np.uint64)[:, None]
+        group = b.column("group").to_numpy() if "group" in b.schema.names else None
         if held is not None:
             part, node, fp = np.concatenate([held[0], part]), np.concatenate([held[1], node]), np.concatenate([held[2], fp])
+            group = None if group is None else np.concatenate([held[3], group])
         table = np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
         rows, step, found = np.arange(len(fp) - 1), 1, []
         while len(rows):
             rows = rows[rows + step < len(fp)]
             near = (part[rows] == part[rows + step]) & (table[rows + step, 0] - table[rows, 0] <= distance)
             rows = rows[near]
-            left = rows
+            left = rows if group is None else rows[group[rows] != group[rows + step]]
             for r in range(1, len(refs)):
                 if not len(left):
                     break
@@ -103,13 +125,33 @@ def link_partition(batches, refs: np.ndarray, distance: int):
                 left = left[np.bitwise_count(fp[left] ^ fp[left + step]).sum(axis=1) <= distance]
                 found.append(np.stack([left, left + step], axis=1))
             step += 1
-        if found:
+            if pairs_a_row and group is not None and sum(map(len, found)) > 1 << 18:  # what is final goes out at once
+                yield candidates(np.concatenate(found), node)
+                found = []
+        if found and pairs_a_row:
+            pairs = np.concatenate(found)
+            if group is None:
+                names, at = np.unique(part, return_inverse=True)
+                of = at[pairs[:, 0]]
+                many = np.bincount(of, minlength=len(names)) > pairs_a_row * np.bincount(at)
+                if many.any():
+                    root = forest(pairs[many[of]], len(fp))
+                    moved = np.flatnonzero(root != np.arange(len(fp)))
+                    pairs = np.concatenate([pairs[~many[of]], np.stack([root[moved], moved], axis=1)])
+                    none = pa.nulls(int(many.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(names[many])], names=["src", "dst", "part"])
+            yield candidates(pairs, node)
+        elif found:
             pairs = np.concatenate(found)
             root = forest(pairs, len(fp))
             moved = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
         reach = (part == part[-1]) & (table[-1, 0] - table[:, 0] <= distance)
-        held = part[reach], node[reach], fp[reach]
+        held = part[reach], node[reach], fp[reach], None if group is None else group[reach]
+
+
+def candidates(pairs: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node[pairs].min(axis=1)), pa.array(node[pairs].max(axis=1)), pa.nulls(len(pairs), pa.int64())], names=["src", "dst", "part"])
 
 
 def forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -162,12 +204,28 @@ def link(fps: DataFrame, scratch: Scratch, distance: int = 3, references: int =
     return fps.join(found.withColumnRenamed("node", "first"), "first").select("fp", "component")
 
 
-def link_similar(nodes: DataFrame, scratch: Scratch, distance: int, width: int, tables: int, sample: int, references: int = 8, seed: int = 21) -> DataFrame:
-    """``nodes(fp binary, node)``, one row per distinct fingerprint -> ``(node, component)``; without a link absent.
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float, hot: int = 200) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose ``sets(node, shingles)`` have a Jaccard similarity of ``similarity`` or more.
+
+    A node's set is copied once for each ``hot`` pairs it is in, so that no task meets all pairs of one node.
+    """
+    for side in ("src", "dst"):
+        copies = pairs.groupBy(side).agg(F.ceil(F.count("*") / hot).cast("int").alias("copies"))
+        own = sets.join(copies, F.col("node") == F.col(side)).select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+        dealt = pairs.join(copies, side).withColumn("salt", F.pmod(F.xxhash64("src", "dst"), "copies").cast("int")).drop("copies")
+        pairs = dealt.join(own.drop("copies"), [side, "salt"]).drop("salt")
+    common = F.size(F.array_intersect("of_src", "of_dst"))
+    return pairs.where(common >= F.lit(similarity) * (F.size("of_src") + F.size("of_dst") - common)).select("src", "dst")
+
+
+def link_similar(nodes: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, distance: int, width: int, tables: int, sample: int, references: int = 8, seed: int = 21, pairs_a_row: int = 16) -> DataFrame:
+    """``nodes(fp binary, node)``, one row per distinct set -> ``(node, component)``; without a link absent.
 
     For distances too wide for an exact cover: fingerprints share a part if they agree in one of ``tables``
     random sets of ``sample`` bits. A pair that differs in a share p of its bits is missed with chance
-    (1 - (1 - p)^sample)^tables. Inside a part the pivot table and the verification are those of ``link``.
+    (1 - (1 - p)^sample)^tables. Inside a part the pivot table and the verification are those of ``link``. The
+    pairs found are candidates: those are linked whose ``sets(node, shingles)`` are ``similarity`` alike. Of a
+    crowded part a forest is checked first, then all its pairs that are not in one component by then.
     """
     rng = np.random.default_rng(seed)
     picks = np.stack([rng.choice(width * BITS, sample, replace=False) for _ in range(tables)])
@@ -186,24 +244,38 @@ def link_similar(nodes: DataFrame, scratch: Scratch, distance: int, width: int,
                 take = pa.array(np.repeat(np.arange(b.num_rows), tables))
                 yield pa.RecordBatch.from_arrays([pa.array(parts), b.column(1).take(take), raw.take(take), pa.array(d0).take(take)], names=["part", "node", "fp", "d0"])
 
+    def found(dealt: DataFrame, *more: str) -> DataFrame:
+        rows = dealt.repartition("part").sortWithinPartitions("part", "d0").select("part", "node", "fp", *more)
+        return rows.mapInArrow(lambda bs: link_partition(bs, refs, distance, pairs_a_row), "src bigint, dst bigint, part bigint").distinct()
+
     dealt = nodes.select("fp", "node").mapInArrow(deal, "part bigint, node bigint, fp binary, d0 int")
-    rows = dealt.repartition("part").sortWithinPartitions("part", "d0").select("part", "node", "fp")
-    links = rows.mapInArrow(lambda bs: link_partition(bs, refs, distance), "src bigint, dst bigint").distinct()
-    return connected_components(links, scratch)
+    first = scratch.keep(found(dealt), "candidates")
+    links = scratch.keep(alike(first.where("part is null").select("src", "dst"), sets, similarity), "similar")
+    components = scratch.keep(connected_components(links, scratch), "components0")
+    crowded = first.where("part is not null").select("part").distinct()
+    if crowded.limit(1).count():
+        grouped = dealt.join(crowded, "part").join(components, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        across = scratch.keep(found(grouped, "group").select("src", "dst"), "across")
+        links = scratch.keep(links.unionAll(alike(across, sets, similarity)), "similar_all")
+        components = scratch.keep(connected_components(links, scratch), "components1")
+    return components
 
 
-def similar_texts(docs: DataFrame, words: int = 5, seed: int = 42, width: int = 4, distance: int = 48, tables: int = 42, sample: int = 14, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, component_id`` for every row: texts whose shingles of five words are 0.8 alike or more are linked.
+def similar_texts(docs: DataFrame, words: int = 5, seed: int = 42, width: int = 4, distance: int = 48, tables: int = 42, sample: int = 14, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` for every row: texts whose sets of shingles of five words are 0.8 alike or more are linked.
 
     Sets of shingles with similarity J differ in a share acos(2J / (1 + J)) / pi of SimHash bits: 0.15 at 0.8, or
-    38 of the 256 bits used here, give or take 6. Fingerprints link at ``distance`` bits or fewer: of pairs
-    exactly 0.8 alike some 95 % do, of those 0.7 alike a third, of those under 0.6 hardly any; unrelated texts
-    differ in 128. Nulls, blanks, repeated rows and ids as in ``near_duplicates``.
+    38 of the 256 bits used here, give or take 6; unrelated texts differ in 128. Pairs at ``distance`` bits or
+    fewer (some 95 % of those exactly 0.8 alike) are candidates, and linked if their sets are ``similarity``
+    alike by count. Nulls, blanks, repeated rows and ids as in ``near_duplicates``.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    keyed = scratch.keep(fingerprints(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), words, seed, width=width).withColumn("node", F.xxhash64("fp")), "fingerprints")
-    nodes = scratch.keep(keyed.groupBy("fp", "node").agg(F.min("doc_id").alias("low")), "nodes")
-    found = link_similar(nodes, scratch, distance, width, tables, sample)
+    made = fingerprints(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), words, seed, width=width, sets="shingles")
+    made = scratch.keep(made.withColumn("node", F.xxhash64("shingles")), "shingles")
+    keyed = scratch.keep(made.select("doc_id", "node"), "ids")
+    nodes = scratch.keep(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low")), "nodes")
+    found = link_similar(nodes, made.select("node", "shingles").dropDuplicates(["node"]), scratch, similarity, distance, width, tables, sample)
+    scratch.drop("shingles")
     named = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     return keyed.join(named.join(low, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

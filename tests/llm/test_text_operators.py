@@ -140,6 +140,30 @@ def test_similar_texts(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_are_checked_by_their_shingles(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(300)] for _ in range(60)]
+
+    def changed(t, n):  # n words far apart: 5n of 296 shingles
+        t = list(t)
+        for k in range(n):
+            t[5 + k * (290 // n)] = word()
+        return t
+
+    near = [changed(t, 3 + k % 15) for k, t in enumerate(base)]  # 0.9 to 0.55 alike
+    line = [word() for _ in range(10)]
+    footer = [[*[word() for _ in range(60)], *line * 30] for _ in range(20)]  # 0.08 alike
+    group = [changed(base[0], 1) for _ in range(60)]  # one crowded group of near copies
+    texts = base + near + footer + group
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    low = brute.components(len(texts), pairs)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert all(low[got[i]] == low[i] for i in range(len(texts)))  # nothing below 0.8 is linked
+    assert sum(got[i] == low[i] for i in range(len(texts))) >= 0.97 * len(texts)
+
+
 def test_decontaminate(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
