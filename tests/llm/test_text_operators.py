@@ -188,6 +188,23 @@ def test_decontaminate(spark):
         decontaminate.find_leaks(df, bench, max_words=3)
 
 
+def test_decontaminate_leaks_in_many_rows(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    common = [word() for _ in range(30)]
+    items = [text(40), text(25), " ".join(common[:20]), text(30)]
+    docs = [f"{text(60)} {' '.join(rng.sample(common, 12))} {text(60)}" for _ in range(300)]
+    for i in range(100):  # a third of the rows, each in other surroundings
+        docs[i] = f"{text(rng.randint(0, 90))} {items[0]} {docs[i]}"
+    docs[150] += " " + " ".join(items[1].split()[3:])
+    docs[160] += f" {items[2]} {text(50)}"  # words that are in most rows
+    df = frame(spark, [*enumerate(docs), *((1000 + i, docs[0]) for i in range(50))], "doc_id bigint, text string")
+    got = decontaminate.find_leaks(df, frame(spark, list(enumerate(items)), "item_id bigint, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.select("doc_id", F.explode("leaks.item_id").alias("item_id")).collect()}
+    assert found == {*((i, 0) for i in range(100)), *((1000 + i, 0) for i in range(50)), (150, 1), (160, 2)}
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
