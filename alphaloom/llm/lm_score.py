@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, checked_broadcast
-from .packed import SCHEMA, as_batch, deal, unpack
+from .common import OWN, Scratch, checked_broadcast
 
-UNKNOWN, BORDER = 0, 1  # numbers before the words': any other word; a document's edges
-PARTS = 64
+UNKNOWN, BORDER = 0, 1  # instead of a word's hash: any other word; a document's edges
+SLICE = 500  # documents whose pairs are counted at once
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -35,98 +33,115 @@ def shared_vocabulary(docs: DataFrame, size: int, text: str) -> list[bytes]:
     return [bytes(r.w) for r in per.orderBy(F.desc("n"), "w").limit(size).collect()]
 
 
-def numbered(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    found = tokens(text)
-    out = np.full(len(found) + 2, BORDER, np.int64)
-    out[1:-1] = np.fromiter(map(known.get, found, repeat(UNKNOWN)), np.int64, len(found))
-    return out
+class Hashes(dict):
+    """Words' 64-bit hashes, remembered up to a bound; with ``known`` words, all others are UNKNOWN."""
 
+    def __init__(self, known: set[bytes] | None = None, bound: int = 200_000):
+        from xxhash import xxh64_intdigest
 
-def count_pairs(docs: DataFrame, known: dict[bytes, int], text: str, target: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of neighbouring words in the target's documents and in all, as square tables over the vocabulary.
+        self.hashed, self.known, self.bound = xxh64_intdigest, known, bound
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+        value = self[word] = UNKNOWN if self.known is not None and word not in self.known else self.hashed(word)
+        return value
+
+
+def neighbours(texts, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word before, word) for every word and end of the texts."""
+    whose, before, word = [], [], []
+    for i, t in enumerate(texts):
+        found = tokens(t.as_py())
+        ids = np.full(len(found) + 2, BORDER, np.uint64)
+        ids[1:-1] = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+        whose.append(np.full(len(found) + 1, i, np.int64))
+        before.append(ids[:-1])
+        word.append(ids[1:])
+    return np.concatenate(whose), np.concatenate(before), np.concatenate(word)
 
-    A task keeps one table pair, whatever it reads, and sends the cells that are not zero; they are summed by
-    Spark in parts of the table. The driver gets the sums, bounded by the vocabulary's square.
-    """
-    n = len(known) + 2
+
+def pair_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for two words."""
+    z = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (word + (before >> np.uint64(29)))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def count_pairs(texts: DataFrame, known: set[bytes] | None) -> DataFrame:
+    """``texts(h, t, target, all)`` -> ``(a, b, pair, target, all)``: how often each two words are neighbours in the target and in all."""
 
     def run(batches):
-        tables = np.zeros((2, n * n), np.int32)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                flags = part.column(1).to_pylist()
-                both: tuple[list, list] = ([], [])
-                for t, f in zip(part.column(0), flags):
-                    ids = numbered(t.as_py(), known)
-                    both[1 if f else 0].append(ids[:-1] * n + ids[1:])
-                for k in (0, 1):
-                    if both[k]:
-                        cells, counts = np.unique(np.concatenate(both[k]), return_counts=True)
-                        tables[1][cells] += counts.astype(np.int32)
-                        if k:
-                            tables[0][cells] += counts.astype(np.int32)
-        cells = np.flatnonzero(tables[1])
-        rows = pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(tables[0][cells]), pa.array(tables[1][cells])], names=["cell", "target", "all"])
-        yield as_batch(list(deal(rows, (cells % PARTS).astype(np.int32), "pairs", compress=True)))
-
-    def add(group: pa.Table) -> pa.Table:
-        t = unpack(group, "pairs")
-        cells, at = np.unique(t.column("cell").to_numpy(), return_inverse=True)
-        sums = [np.bincount(at, t.column(c).to_numpy()).astype(np.int64) for c in ("target", "all")]
-        rows = pa.RecordBatch.from_arrays([pa.array(cells), *map(pa.array, sums)], names=["cell", "target", "all"])
-        return pa.Table.from_batches([as_batch(list(deal(rows, np.full(len(cells), group.column("bucket")[0].as_py(), np.int32), "pairs")))])
-
-    sums = docs.select(F.col(text).cast("string").alias("t"), F.col(target).alias("f")).mapInArrow(run, SCHEMA).groupBy("bucket").applyInArrow(add, SCHEMA)
-    out = np.zeros((2, n * n))
-    for r in sums.select("payload").toLocalIterator():
-        t = pa.ipc.open_stream(bytes(r.payload)).read_all()
-        cells = t.column("cell").to_numpy()
-        out[0][cells], out[1][cells] = t.column("target").to_numpy(), t.column("all").to_numpy()
-    return out[0].reshape(n, n), out[1].reshape(n, n)
-
-
-def losses(counts: np.ndarray, discount: float, base: float) -> np.ndarray:
-    """-log p(word | word before): absolute discounting towards smoothed single words, the same for both models."""
-    single = counts.sum(axis=0) + base
-    single /= single.sum()
-    before = counts.sum(axis=1, keepdims=True)
-    kinds = (counts > 0).sum(axis=1, keepdims=True)
-    given = np.maximum(counts - discount, 0) / np.maximum(before, 1)
-    rest = np.where(before > 0, discount * kinds / np.maximum(before, 1), 1.0)
-    return -np.log(given + rest * single[None, :]).astype(np.float32)
-
-
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 2_000, discount: float = 0.75, base: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        hashes = Hashes(known)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                whose, before, word = neighbours(part.column(0), hashes)
+                pair, first, of = np.unique(pair_of(before, word), return_index=True, return_inverse=True)
+                sums = [np.bincount(of, part.column(c).to_numpy()[whose], len(pair)).astype(np.int64) for c in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (before[first], word[first], pair, *sums)], names=["a", "b", "pair", "target", "all"])
+
+    made = texts.select("t", "target", "all").mapInArrow(run, "a bigint, b bigint, pair bigint, target bigint, all bigint")
+    return made.groupBy("a", "b", "pair").agg(F.sum("target").alias("target"), F.sum("all").alias("all"))
+
+
+def losses(pairs: DataFrame, words: int, discount: float, base: float) -> DataFrame:
+    """``(pair, target_loss, all_loss)``: -log p(word | word before) by absolute discounting towards smoothed single words, the same for both models."""
+    kinds = ("target", "all")
+    total = pairs.agg(*[F.sum(k).alias(k) for k in kinds]).first()
+    before = pairs.groupBy("a").agg(*[F.sum(k).alias(f"{k}_before") for k in kinds], *[F.sum((F.col(k) > 0).cast("bigint")).alias(f"{k}_kinds") for k in kinds])
+    single = pairs.groupBy("b").agg(*[F.sum(k).alias(f"{k}_single") for k in kinds])
+
+    def loss(k: str):
+        alone = (F.col(f"{k}_single") + base) / ((total[k] or 0) + base * words)
+        of = F.greatest(F.col(f"{k}_before"), F.lit(1))
+        rest = F.when(F.col(f"{k}_before") > 0, discount * F.col(f"{k}_kinds") / of).otherwise(1.0)
+        return -F.log(F.greatest(F.col(k) - discount, F.lit(0.0)) / of + rest * alone)
+
+    return pairs.join(before, "a").join(single, "b").select("pair", *[loss(k).alias(f"{k}_loss") for k in kinds])
+
+
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, discount: float = 0.75, base: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``target_loss``, ``background_loss`` and ``difference`` (their mean per token, target less background).
 
     The background model counts all documents, the target model those whose id is in ``target_ids``; both are
-    two-word models over the shared vocabulary (the ``vocabulary`` most frequent words of all documents; other
-    words are one unknown word), smoothed alike, so a loss difference is due to the texts alone. Lower
-    difference: more like the target. Tokens are the document's words and its end; a null or empty text has
+    two-word models over the shared vocabulary (all words of all documents; with ``vocabulary`` so many of the
+    most frequent, and other words are one unknown word), smoothed alike, so a loss difference is due to the
+    texts alone. Lower difference: more like the target. Counts and losses are tables by pairs of words (named by
+    64-bit hashes), joined to each distinct text's pairs; nothing of the vocabulary's size is on the driver or
+    broadcast unless ``vocabulary`` bounds it. Tokens are the document's words and its end; a null or empty text has
     the end alone. Ids may be null (never target) or repeat; other columns pass through, but for those named
     like the new ones; with an empty target its model is uniform over single words; an empty table stays empty.
     """
     made = ("n_tokens", "target_loss", "background_loss", "difference")
-    src = docs.select(*[c for c in docs.columns if c not in made], F.col(text).cast("string").alias(f"{OWN}text"))
-    words = shared_vocabulary(src, vocabulary, f"{OWN}text")
-    known = {w: i + 2 for i, w in enumerate(words)}
+    scratch = Scratch(docs.sparkSession, "lm")
+    src = docs.select(*[c for c in docs.columns if c not in made], F.coalesce(F.col(text).cast("string"), F.lit("")).alias(f"{OWN}text"))
+    src = src.withColumn(f"{OWN}h", F.xxhash64(f"{OWN}text"))
+    known = None if vocabulary is None else set(shared_vocabulary(src, vocabulary, f"{OWN}text"))
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("bigint").alias(f"{OWN}id")).where(f"{OWN}id is not null").distinct()
-    flagged = src.select(F.col(f"{OWN}text"), F.col(doc_id).cast("bigint").alias(f"{OWN}id")).join(checked_broadcast(ids.withColumn(f"{OWN}target", F.lit(True))), f"{OWN}id", "left")
-    target, background = count_pairs(flagged, known, f"{OWN}text", f"{OWN}target")
-    n = len(known) + 2
-    tables = docs.sparkSession.sparkContext.broadcast((losses(target, discount, base), losses(background, discount, base)))  # two squares of the vocabulary
+    flagged = src.select(F.col(f"{OWN}text"), F.col(f"{OWN}h"), F.col(doc_id).cast("bigint").alias(f"{OWN}id")).join(checked_broadcast(ids.withColumn(f"{OWN}target", F.lit(True))), f"{OWN}id", "left")
+    texts = flagged.groupBy(F.col(f"{OWN}h").alias("h")).agg(F.first(f"{OWN}text").alias("t"), F.count(f"{OWN}target").alias("target"), F.count("*").alias("all"))
+    texts = scratch.keep(texts, "texts")
+    pairs = scratch.keep(count_pairs(texts, known), "pairs")
+    words = len(known) if known is not None else pairs.where(F.col("b") != BORDER).select("b").distinct().count()
+    table = scratch.keep(losses(pairs, words + 2, discount, base), "losses")
 
     def run(batches):
-        near, far = (x.ravel() for x in tables.value)
-        for b in batches:
-            out = []
-            for t in b.column(b.num_columns - 1):
-                ids = numbered(t.as_py(), known)
-                cells = ids[:-1] * n + ids[1:]
-                out.append((len(cells), float(near[cells].sum(dtype=np.float64)), float(far[cells].sum(dtype=np.float64))))
-            count, a, z = (np.array(x, float) for x in zip(*out)) if out else (np.empty(0),) * 3
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(count.astype(np.int64)), pa.array(a / count), pa.array(z / count), pa.array((a - z) / count)], names=[*b.schema.names[:-1], *made])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "n_tokens bigint, target_loss double, background_loss double, difference double"])
-    return src.mapInArrow(run, schema)
+        hashes = Hashes(known)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                whose, before, word = neighbours(part.column(1), hashes)
+                pair = pair_of(before, word)
+                order = np.lexsort((pair, whose))
+                whose, pair = whose[order], pair[order]
+                first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (whose[1:] != whose[:-1])]))
+                n = np.diff(np.append(first, len(pair))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(whose[first])), pa.array(pair[first].view(np.int64)), pa.array(n)], names=["h", "pair", "n"])
+
+    own = texts.select("h", "t").mapInArrow(run, "h bigint, pair bigint, n int").join(table, "pair")
+    sums = own.groupBy("h").agg(F.sum("n").cast("bigint").alias("n_tokens"), *[F.sum(F.col("n") * F.col(f"{k}_loss")).alias(k) for k in ("target", "all")])
+    mean = sums.select(F.col("h").alias(f"{OWN}h"), "n_tokens", (F.col("target") / F.col("n_tokens")).alias("target_loss"), (F.col("all") / F.col("n_tokens")).alias("background_loss"))
+    out = src.drop(f"{OWN}text").join(scratch.keep(mean, "means"), f"{OWN}h").drop(f"{OWN}h")
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

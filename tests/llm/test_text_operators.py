@@ -242,3 +242,18 @@ def test_lm_score(spark):
         assert np.allclose([r.target_loss, r.background_loss, r.difference], [*want, want[0] - want[1]], atol=1e-5)
         assert r.n_tokens == len(x) - 1
     assert lm_score.score(df.limit(0), frame(spark, []), vocabulary=4).count() == 0
+
+
+def test_lm_score_knows_rare_words(spark):
+    """Documents of words that are all rarer than the 2,000 most frequent still tell target from background."""
+    rng = random.Random(20)
+    often = [f"c{i}" for i in range(2100)]
+    rare = [[f"r{k}x{i}" for i in range(40)] for k in range(2)]
+    docs = [(i, " ".join(often)) for i in range(10)]
+    docs += [(100 + i, " ".join(rng.choice(rare[i % 2]) for _ in range(30))) for i in range(8)]
+    out = {r.doc_id: r for r in lm_score.score(frame(spark, docs), frame(spark, [(i, None) for i in (100, 102, 104)])).collect()}
+    assert max(out[i].difference for i in (100, 102, 104, 106)) < min(out[i].difference for i in (101, 103, 105, 107))
+    words = {w for _, t in docs for w in t.split()}
+    counts = [sum(t.split().count("r0x1") for i, t in docs if i in some) for some in ({100, 102, 104}, set(dict(docs)))]
+    assert counts[1] >= counts[0] > 0 and len(words) > 2_000
+    assert out[0].n_tokens == 2101 and out[100].n_tokens == 31
