@@ -77,6 +77,14 @@ def test_sharding(spark):
     assert sharding.balanced_shards(df.limit(3), ["text"], shards=7).count() == 3
 
 
+def test_sharding_of_a_large_class(spark):
+    texts = ["hot"] * 4000 + [f"p{i // 4}" for i in range(2000)] + [f"t{i}" for i in range(6000)]
+    out = sharding.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["text"]).collect()
+    sizes = collections.Counter(r.shard for r in out)
+    assert len(out) == len(texts) and set(sizes.values()) == {500}
+    assert len({r.shard for r in out if r.text == "hot"}) == 8
+
+
 def _accuracy(spark, rows, label):
     lab = {r.doc_id: r[label] for r in read(spark, SMALL, "labels").collect()}
     rows = [r for r in rows if r.doc_id in lab and r.held_out]
