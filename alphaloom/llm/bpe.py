@@ -19,6 +19,7 @@ from .common import OWN
 
 
 _BYTES = [bytes((b,)) for b in range(256)]
+MARKS = "!#$%&*+,-./:;=?@^_|~"  # neither letters, digits nor spaces, and no apostrophe
 
 
 class Transducer:
@@ -29,10 +30,15 @@ class Transducer:
     prefixes into a tree. A boundary can only be built on by later input while the bytes after it still are a
     proper prefix of some token. A state is therefore the last emitted token and the pending bytes; on a byte,
     tokens up to the deepest tree node shared by all boundaries in reach are emitted, which happens after at
-    most a token's length of lookahead. States and moves are made on first use and dropped beyond ``limit``.
+    most a token's length of lookahead. A move is made when it is asked for the ``OFTEN``-th time (most tails of
+    words come once), or where over ``TAIL`` bytes follow; states and moves are dropped beyond ``limit``. A tail
+    for which there is no move is settled with its at most TAIL bytes as lookahead.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    TAIL = 48
+    OFTEN = 64
+
+    def __init__(self, ranks: dict[bytes, int], limit: int = 20_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
@@ -46,13 +52,18 @@ class Transducer:
                     self.parts[i] = tuple(before)
         self.size_of = [len(t) for t in self.bytes_of] + [1, 1]  # the last two for -2 and -1
         self.starts = {t[:k] for t in self.own for k in range(1, len(t))}
+        self.longest: dict[bytes, int] = {}  # of the tokens with these four first bytes
+        for t in self.own:
+            for k in range(1, 5):
+                self.longest[t[:k]] = max(len(t), self.longest.get(t[:k], 0)) if k == 4 else max(min(k, len(t)), self.longest.get(t[:k], 0))
         self._joins: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.state_of = {(-1, b""): 0}
-        self.states = [(b"", (-1,), [0])]  # pending bytes, last token at each boundary, boundaries that later bytes can build on
-        self.moves: dict[int, tuple] = {}  # by state * 256 + byte
+        # a state: moves by byte (the next state and what is emitted, or how often it was asked for), pending bytes,
+        # last token at each boundary, boundaries that later bytes can build on
+        self.start = ({}, b"", (-1,), [0])
+        self.states = {(-1, b""): self.start}
 
     def _merge(self, piece: bytes, below: int = 1 << 40) -> list[int]:
         """Reference merging of a short piece: the lowest-ranked adjacent pair, leftmost first, of ranks ``below`` alone."""
@@ -72,7 +83,7 @@ class Transducer:
         """
         key = a << 20 | b
         if (known := self._joins.get(key)) is None:
-            if len(self._joins) > 2 * self.limit:
+            if len(self._joins) > 400_000:
                 self._joins.clear()
             ranks, of, parts, undone = self.ranks, self.bytes_of, self.parts, 1 << 40
             left, right = a, b
@@ -92,8 +103,8 @@ class Transducer:
             self._joins[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        pending, last, live = self.states[state]
+    def _move(self, state: tuple, byte: int) -> tuple[tuple, tuple]:
+        moves, pending, last, live = state
         pending += _BYTES[byte]
         n, own, starts = len(pending), self.own, self.starts
         found, reach = -2, []  # -2: no sequence of tokens ends here (a byte that is no token)
@@ -122,56 +133,66 @@ class Transducer:
                 out = tuple(reversed(emitted))
                 pending, last, reach = pending[top:], last[top:], [j - top for j in reach]
         key = (last[0], pending)
-        to = self.state_of.get(key)
+        to = self.states.get(key)
         if to is None:
-            to = self.state_of[key] = len(self.states)
-            self.states.append((pending, last, reach))
-        made = self.moves[state << 8 | byte] = (to, out)
+            to = self.states[key] = ({}, pending, last, reach)
+        made = moves[byte] = (to, out)
         return made
 
-    def _rest(self, state: int, rest: bytes) -> tuple:
-        """What a state still emits if ``rest`` ends the input. No states are made: most tails come once."""
-        pending, last, live = self.states[state]
-        at, own, starts, size = len(pending), self.own, self.starts, self.size_of
-        pending, last = pending + rest, list(last)
-        for n in range(at + 1, len(pending) + 1):
-            found, reach = -2, []
-            for j in live:
-                part = pending[j:n]
-                if found == -2 and (token := own.get(part)) is not None:
-                    before = last[j]
-                    if before == -1 or (before >= 0 and self.joins(before, token)):
-                        found = token
-                if part in starts:
-                    reach.append(j)
-            last.append(found)
-            reach.append(n)
-            live = reach
-        out, j = [], len(pending)
-        while j > 0:
-            out.append(last[j])
-            j -= size[last[j]]
-        out.reverse()
-        return tuple(out)
+    def _rest(self, state: tuple, rest: bytes) -> list[int]:
+        """What a state still emits if ``rest`` ends the input: the one sequence of tokens whose neighbours all join.
+
+        The longest token that joins the one before is tried first; a boundary that led nowhere is not tried again
+        (each has one last token, so it cannot lead on later).
+        """
+        _, pending, last, _ = state
+        piece, own, longest, known = pending + rest, self.own, self.longest, self._joins
+        n, at, before, out, dead = len(piece), 0, last[0], [], set()
+        size = min(n, longest.get(piece[:4], 3))
+        while at < n:
+            while size:
+                token = own.get(piece[at : at + size])
+                if token is not None and at + size not in dead:
+                    if before == -1:
+                        break
+                    fits = known.get(before << 20 | token)
+                    if fits or (fits is None and self.joins(before, token)):
+                        break
+                size -= 1
+            if size:
+                out.append(token)
+                at += size
+                before = token
+                size = longest.get(piece[at : at + 4], 3)
+                if size > n - at:
+                    size = n - at
+            else:
+                dead.add(at)
+                size = self.size_of[out.pop()]
+                at -= size
+                before = out[-1] if out else last[0]
+                size -= 1
+        return out
 
     def encode(self, piece: bytes) -> tuple:
-        """Ids of one match of the split pattern: known moves, one new move at most, and the rest without."""
+        """Ids of one match of the split pattern: known moves, and a short tail without."""
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
         if len(self.states) > self.limit:
             self._reset()
-        state, out, moves = 0, (), self.moves
-        for i, byte in enumerate(piece):
-            made = moves.get(state << 8 | byte)
-            if made is None:
-                if i + 1 < len(piece):
-                    made = self._move(state, byte)
-                    return out + made[1] + self._rest(made[0], piece[i + 1 :])
-                return out + self._rest(state, piece[i:])
-            state = made[0]
-            if made[1]:
-                out += made[1]
-        return out + self._rest(state, b"")
+        state, out, left = self.start, [], len(piece)
+        for byte in piece:
+            made = state[0].get(byte, 0)
+            if made.__class__ is int:
+                if made < self.OFTEN - 1 and left <= self.TAIL:
+                    state[0][byte] = made + 1
+                    break
+                made = self._move(state, byte)
+            state, more = made
+            if more:
+                out += more
+            left -= 1
+        return (*out, *self._rest(state, piece[len(piece) - left :]))
 
 
 class Utf8Stream:
@@ -211,29 +232,43 @@ class Utf8Stream:
 class Codec:
     """Encodes and decodes whole texts with the vocabulary of a rank file."""
 
-    def __init__(self, rank_path: str, pattern: str, remember: int = 350_000):
+    def __init__(self, rank_path: str, pattern: str, remember: int = 150_000):
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fst, self.pattern, self.remember = Transducer(ranks), regex.compile(pattern), remember
         self.bytes_of = self.fst.bytes_of
         # A space after a non-space always starts a match of this family of patterns, so texts are cut there and units remembered.
         self.unit_cut = re.compile(r"(?<=\S) ") if r"\s+(?!\S)|\s+" in pattern and r" ?\p{L}+" in pattern else None
+        self.spaced = re.compile(r"\s ")  # without it, each space but a text's first is a cut
         # what units gave: the latest, and those before, which are kept if met again
         self.units: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        self.newline = self.fst.encode(b"\n")
 
     def unit(self, unit: str) -> tuple:
         if (out := self.older.get(unit)) is None:
-            out = ()
-            if self.unit_cut is not None and unit[-1] in ".," and len(unit) > 2 and unit[-2].isalpha():
-                # letters end a match where a mark follows, so the word is looked up alone
-                word = unit[:-1]
-                out = self.units.get(word) or self.unit(word)
-                return self.keep(unit, out + self.fst.encode(unit[-1].encode()))
-            for piece in self.pattern.findall(unit):
-                out += self.fst.encode(piece.encode("utf-8", "surrogatepass"))
+            if self.unit_cut is None:
+                out = self.pieces(unit)
+            elif unit.isalpha() or (unit[0] == " " and unit[1:].isalpha()):
+                out = self.fst.encode(unit.encode("utf-8", "surrogatepass"))  # letters are one match
+            else:
+                out = self.parts(unit)
         return self.keep(unit, out)
 
+    def parts(self, unit: str) -> tuple:
+        """A unit with more than a word in it: a newline between others is a match, and so are the marks after a word."""
+        head, line, tail = unit.partition("\n")
+        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            known = self.units
+            return (known.get(head) or self.unit(head)) + self.newline + (known.get(tail) or self.unit(tail))
+        word = unit.rstrip(MARKS)
+        if 1 < len(word) < len(unit) and (word[1:] if word[0] == " " else word).isalpha():
+            return (self.units.get(word) or self.unit(word)) + self.fst.encode(unit[len(word) :].encode())
+        return self.pieces(unit)
+
+    def pieces(self, unit: str) -> tuple:
+        return tuple(chain.from_iterable(self.fst.encode(p.encode("utf-8", "surrogatepass")) for p in self.pattern.findall(unit)))
+
     def keep(self, unit: str, out: tuple) -> tuple:
         if len(unit) <= 64:
             self.units[unit] = out
@@ -244,10 +279,13 @@ class Codec:
             return []
         if self.unit_cut is None:
             return list(self.unit(text))
-        first, *rest = self.unit_cut.split(text)
         known, unit = self.units, self.unit
-        got = [known.get(first) or unit(first)] if first else []
-        got += [known.get(u) or unit(u) for u in map(" ".__add__, rest)]
+        if text[0] != " " and "\x00" not in text and self.spaced.search(text) is None:
+            got = [known.get(u) or unit(u) for u in text.replace(" ", "\x00 ").split("\x00")]
+        else:
+            first, *rest = self.unit_cut.split(text)
+            got = [known.get(first) or unit(first)] if first else []
+            got += [known.get(u) or unit(u) for u in map(" ".__add__, rest)]
         return list(chain.from_iterable(got))
 
     def decode(self, ids) -> str:
