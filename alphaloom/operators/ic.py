@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,47 +85,33 @@ def residual_one(rows: DataFrame, y: str, x: str, out: str, least: int = 10) ->
 def neutralize(rows: DataFrame, factors: list[str], bins: int = 10, least: int = 10) -> DataFrame:
     """Two stages per formula and date: the signal's rank is regressed on factor ranks, then demeaned in size bins.
 
-    ``rows``: formula_id, ticker, date, signal and ``factors`` (the first is the size rank). Regressions are
-    least squares of minimum norm, so collinear factors are no error; a date is one small group. Rows with a
-    missing factor get a null; dates under ``least`` rows keep the raw signal.
+    ``rows``: formula_id, ticker, date, signal and ``factors`` (the first is the size rank). The residual of a
+    regression is what is left after taking away the projections on the factors made orthogonal one after
+    another; a factor that depends on those before adds nothing, so collinear factors are no error. All steps are
+    window sums of one partitioning. Rows with a missing factor get a null; dates under ``least`` rows keep the
+    raw signal, those with under ``least`` complete rows are demeaned only.
     """
-
-    def one(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values("ticker", kind="stable").reset_index(drop=True)
-        out = day["signal"].astype(float).copy()
-        n = len(day)
-        if n >= least:
-            place = out.rank(method="first").to_numpy() - 1
-            y = place / max(1, out.notna().sum() - 1) - 0.5
-            x = day[factors].to_numpy(float)
-            fine = np.isfinite(x).all(axis=1) & np.isfinite(y)
-            res = np.full(n, np.nan)
-            if fine.sum() >= least:
-                design = np.column_stack([np.ones(fine.sum()), x[fine]])
-                res[fine] = y[fine] - design @ np.linalg.lstsq(design, y[fine], rcond=None)[0]
-            else:
-                res = out.to_numpy()
-            out = pd.Series(demean(res, x[:, 0], bins))
-        day["neutral"] = out
-        return day[["formula_id", "ticker", "date", "neutral"]]
-
-    def demean(values: np.ndarray, size: np.ndarray, q: int) -> np.ndarray:
-        fine = np.isfinite(values) & np.isfinite(size)
-        n = fine.sum()
-        if n < 2:
-            return values
-        q = min(q, max(2, n // 5))
-        i = np.argsort(np.argsort(size[fine], kind="stable"), kind="stable")
-        b = np.maximum(np.ceil(i * q / max(1, n - 1)) - 1, 0)
-        s = pd.Series(values[fine])
-        g = s.groupby(b)
-        out = values.copy()
-        out[fine] = np.where(g.transform("size") >= 2, s - g.transform("mean"), s)
-        return out
-
-    kinds = rows.schema
-    schema = f"formula_id string, ticker {kinds['ticker'].dataType.simpleString()}, date date, neutral double"
-    return rows.select("formula_id", "ticker", "date", "signal", *factors).groupBy("formula_id", "date").applyInPandas(one, schema)
+    w = Window.partitionBy("formula_id", "date")
+    names = [f"__f{k}" for k in range(len(factors))]
+    signal = F.col("signal").cast("double")
+    place = (F.row_number().over(w.orderBy(signal.asc_nulls_last(), "ticker")) - 1) / F.greatest(F.lit(1), F.count(signal).over(w) - 1) - 0.5
+    fine = signal.isNotNull()
+    for f in factors:
+        fine = fine & F.col(f).isNotNull()
+    df = rows.select("formula_id", "ticker", "date", signal.alias("signal"), F.col(factors[0]).alias("__size"), place.alias("__y"), fine.alias("__fine"), F.count("*").over(w).alias("__n"), *[F.col(f).alias(n) for f, n in zip(factors, names)])
+    centred = [F.when(F.col("__fine"), F.col(c) - F.avg(F.when(F.col("__fine"), F.col(c))).over(w)).alias(c) for c in ("__y", *names)]
+    df = df.select("formula_id", "ticker", "date", "signal", "__size", "__n", F.count_if("__fine").over(w).alias("__m"), *centred)
+    for k, n in enumerate(names):
+        square = F.sum(F.col(n) * F.col(n)).over(w)
+        less = lambda c: F.col(c) - F.coalesce(F.when(square > 1e-12, F.sum(F.col(c) * F.col(n)).over(w) / square), F.lit(0.0)) * F.col(n)  # noqa: B023, E731
+        df = df.withColumns({c: less(c) for c in ("__y", *names[k + 1 :])})
+    df = df.withColumn("__res", F.when(F.col("__m") >= least, F.col("__y")).otherwise(F.col("signal")))
+    there = F.col("__res").isNotNull() & F.col("__size").isNotNull()
+    df = df.withColumns({"__i": F.row_number().over(w.orderBy(F.when(there, F.col("__size")).asc_nulls_last(), "ticker")) - 1, "__there": F.count_if(there).over(w)})
+    df = df.withColumn("__bin", F.when(there, size_bin(F.col("__i"), F.col("__there"), bins)))
+    b = Window.partitionBy("formula_id", "date", "__bin")
+    demeaned = F.when(there & (F.col("__there") >= 2) & (F.count("*").over(b) >= 2), F.col("__res") - F.avg("__res").over(b)).otherwise(F.col("__res"))
+    return df.select("formula_id", "ticker", "date", F.when(F.col("__n") < least, F.col("signal")).otherwise(demeaned).alias("neutral"))
 
 
 def size_bin(i: Column, n: Column, bins: int = 10) -> Column:

@@ -24,12 +24,17 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - half).otherwise(half)
 
 
-def expected_max_sharpe(trials: int, days: int) -> float:
-    """Expected best Sharpe ratio of ``trials`` formulas that are noise, over ``days`` observations."""
-    if trials <= 1 or days < 2:
+def best_of_noise(trials: int) -> float:
+    """Expected best Sharpe ratio of ``trials`` formulas that are noise, times the root of the days observed."""
+    if trials <= 1:
         return 0.0
     inv = NormalDist().inv_cdf
-    return (1 - EULER) / math.sqrt(days) * inv(1 - 1 / trials) + EULER / math.sqrt(days) * inv(1 - 1 / (trials * math.e))
+    return (1 - EULER) * inv(1 - 1 / trials) + EULER * inv(1 - 1 / (trials * math.e))
+
+
+def expected_max_sharpe(trials: int, days: int) -> float:
+    """Expected best Sharpe ratio of ``trials`` formulas that are noise, over ``days`` observations (0 under two)."""
+    return best_of_noise(trials) / math.sqrt(days) if days >= 2 else 0.0
 
 
 def sharpe_inputs(returns: DataFrame, keys: tuple[str, ...] = ("formula_id",)) -> DataFrame:
@@ -41,8 +46,7 @@ def sharpe_inputs(returns: DataFrame, keys: tuple[str, ...] = ("formula_id",)) -
 
 def deflated_sharpe(inputs: DataFrame, trials: int) -> DataFrame:
     """``z`` and ``p`` of each formula against the best of ``trials`` noise formulas."""
-    days = [r.days for r in inputs.select("days").distinct().collect()]  # one value per length of history
-    null = F.coalesce(*[F.when(F.col("days") == d, F.lit(expected_max_sharpe(trials, d))) for d in days], F.lit(0.0))
+    null = F.when(F.col("days") >= 2, best_of_noise(trials) / F.sqrt("days")).otherwise(0.0)
     sr, n = F.col("sharpe"), F.greatest(F.col("days"), F.lit(1))
     var = F.greatest((1 - F.col("skew") * sr + F.col("kurt") / 4 * sr * sr) / n, 1.0 / n)
     out = inputs.withColumn("null_sharpe", null).withColumn("z", (sr - F.col("null_sharpe")) / F.sqrt(var))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.compiler import long, signals
+from ..plans.compiler import signals
 from ..plans.formula import Node
 from ..sources.panel import next_return
 from . import ic, overfit, regime, simulate
@@ -49,7 +49,7 @@ def refit(panel: DataFrame, pool: dict[str, str | Node], spans: DataFrame, k: in
     Every step has the window in its keys, so windows are parallel parts of one job.
     """
     inside = overfit.in_windows(panel, spans)
-    rows = long(signals_in(inside, pool), list(pool), "ret", "size").withColumn("window_id", F.col("ticker.window_id"))
+    rows = signals(ic.factors(inside.withColumn("ret", next_return())), pool, "ret", "size", by=F.col("ticker.window_id")).withColumn("window_id", F.col("ticker.window_id"))
     keyed = rows.withColumn("formula_id", F.concat_ws("@", "formula_id", F.col("window_id").cast("string")))
     fine = ic.size_corr(keyed).where(F.abs("size_corr") <= limit).select("formula_id")
     kept = keyed.join(fine, "formula_id", "left_semi").withColumn("ticker", F.col("ticker.ticker"))
@@ -57,12 +57,6 @@ def refit(panel: DataFrame, pool: dict[str, str | Node], spans: DataFrame, k: in
     return out.withColumn("formula_id", F.split("formula_id", "@")[0])
 
 
-def signals_in(panel: DataFrame, pool: dict[str, str | Node]) -> DataFrame:
-    from ..plans.compiler import evaluate
-
-    return evaluate(ic.factors(panel.withColumn("ret", next_return())), pool)
-
-
 def full_evaluation(panel: DataFrame, pool: dict[str, str | Node], bench: DataFrame, k: int = 10, drop: int = 2) -> DataFrame:
     """One row per formula: IC, RankIC, portfolio measures and those against the benchmark."""
     rows = signals(panel.withColumn("ret", next_return()), pool, "ret").persist()

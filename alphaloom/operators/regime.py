@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, daily_ic, full, last_rows, pct_rank, ts
+from ..sources.catalog import get_text, put_text
 
 
 
@@ -253,6 +254,19 @@ def hmm_probabilities(features: DataFrame, names: list[str], model: dict, smooth
     return features.select(key, "date", *names).groupBy(key).applyInPandas(run, f"{key} {kind}, date date, p array<double>")
 
 
+def save_hmm(spark, model: dict, path: str, **about) -> None:
+    """Parameters and what is known about them (dates, features) as JSON."""
+    put_text(spark, json.dumps({"model": model, "about": about}), path)
+
+
+def load_hmm(spark, path: str) -> tuple[dict, dict]:
+    found = get_text(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    whole = json.loads(found)
+    return whole["model"], whole["about"]
+
+
 def align_states(old: np.ndarray, new: np.ndarray) -> list[int]:
     """The order of new states (rows of means) that lies nearest to the old ones; few states, so all orders are tried."""
     k = len(old)

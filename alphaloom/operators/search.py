@@ -43,6 +43,22 @@ def score_pool(panel: DataFrame, pool: list[Node], n_folds: int = 4, embargo: in
     return ic.fitness(per, cx, ic.size_corr(rows))
 
 
+def penalised(row, lambda_std: float, lambda_cx: float = 0.001, lambda_size: float = 0.5) -> float:
+    """The fitness of a scored formula under other penalties."""
+    return row.mean_ric - lambda_std * row.std_ric - lambda_cx * row.complexity - lambda_size * max(0.0, abs(row.size_corr or 0.0) - 0.3)
+
+
+def tune_on(scored: list, ahead: dict[str, float], trials: int, seed: int, top: int = 3) -> dict:
+    """Penalties under which the best ``top`` formulas of one span's scores have the highest median RankIC in the next."""
+    rows = [r for r in scored if r.mean_ric is not None and r.formula in ahead]
+
+    def objective(p: dict) -> float:
+        best = sorted(rows, key=lambda r: (-penalised(r, p["lambda_std"], p["lambda_cx"]), r.formula))[:top]
+        return median(ahead[r.formula] for r in best) if best else -1e6
+
+    return tune(objective, {"lambda_std": (0.0, 2.0), "lambda_cx": (0.0, 0.01)}, trials, seed)[0]
+
+
 def mine(panel: DataFrame, seed: int = 42, population: int = 20, rounds: int = 2, least_ric: float = 0.003, least_share: float = 0.4) -> DataFrame:
     """Generations of formulas: each bred from those accepted before; the accepted of all rounds, best first."""
     rng, parents, kept = random.Random(seed), [], {}
@@ -76,9 +92,12 @@ class _Branch:
         return self.total / self.visits if self.visits else 0.0
 
 
-def tree_search(rng: random.Random, iterations: int = 200, budget: int = 15, value: Callable[[Node], float] | None = None, explore: float = 1.4) -> Node:
-    """Upper-confidence search from a random formula: leaves grow four mutated or new formulas; the most visited child of the root wins."""
-    value = value or (lambda _: 0.5)
+def tree_search(rng: random.Random, iterations: int = 200, budget: int = 15, value: Callable[[list[Node]], list[float]] | None = None, explore: float = 1.4) -> Node:
+    """Upper-confidence search from a random formula: leaves grow four mutated or new formulas; the most visited child of the root wins.
+
+    ``value`` values a leaf's new formulas together, so that each growth is one Spark job (``pool_values``).
+    """
+    value = value or (lambda trees: [0.5] * len(trees))
     root = _Branch(generate(rng, budget))
     for _ in range(iterations):
         path = [root]
@@ -90,12 +109,22 @@ def tree_search(rng: random.Random, iterations: int = 200, budget: int = 15, val
             path.append(max(here.children, key=lambda c: c.value + explore * balance * prior * math.sqrt(total + 1) / (1 + c.visits)))
         leaf = path[-1]
         leaf.children = [_Branch(mutate(rng, leaf.tree) if rng.random() < 0.5 else generate(rng, budget)) for _ in range(4)]
-        path.append(rng.choice(leaf.children))
-        v = value(path[-1].tree)
-        for b in path:
-            b.visits += 1
-            b.total += v
-    return max(root.children, key=lambda c: c.visits).tree
+        for child, v in zip(leaf.children, value([c.tree for c in leaf.children])):
+            for b in (*path, child):
+                b.visits += 1
+                b.total += v
+    return max(root.children, key=lambda c: (c.visits, c.value)).tree
+
+
+def pool_values(panel: DataFrame, least: float = 0.0) -> Callable[[list[Node]], list[float]]:
+    """Values for ``tree_search``: the size of each formula's mean fold RankIC, ``least`` where it has none."""
+
+    def value(trees: list[Node]) -> list[float]:
+        named = {str(t): t for t in trees if status_of(t) == "ok"}
+        found = {r.formula: abs(r.mean_ric) for r in score_pool(panel, list(named.values())).collect() if r.mean_ric is not None} if named else {}
+        return [found.get(str(t), least) for t in trees]
+
+    return value
 
 
 def tune(objective: Callable[[dict], float], space: dict[str, tuple[float, float]], trials: int = 20, seed: int = 42) -> tuple[dict, float]:

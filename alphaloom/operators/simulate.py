@@ -88,7 +88,8 @@ def vol_scale(panel: DataFrame, target: float = 0.15, low: float = 0.1, high: fl
     r = panel.select("ticker", "date", (F.try_divide(F.col("pclose"), F.lag("pclose").over(ts())) - 1).alias("r"))
     rolling = full(F.col("r"), 20, F.stddev_samp("r").over(last_rows(20)), least=5)
     v = r.select("ticker", "date", (F.greatest(rolling, ewm_std(F.col("r"), 5, ts())) * F.sqrt(F.lit(252.0))).alias("v"))
-    s = v.select("ticker", "date", F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.try_divide(F.lit(target), F.col("v")))), F.lit(1.0)).alias("s"))
+    # no known deviation, or none at all: as it is
+    s = v.select("ticker", "date", F.when(F.col("v") > 0, F.greatest(F.lit(low), F.least(F.lit(high), target / F.col("v")))).otherwise(1.0).alias("s"))
     return s.select("ticker", "date", F.coalesce(F.lag("s").over(ts()), F.lit(1.0)).alias("scale"))
 
 

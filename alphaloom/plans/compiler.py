@@ -159,7 +159,6 @@ def evaluate(panel: DataFrame, pool: dict[str, str | Node], raw: bool = False) -
 
     for level in sorted(levels):
         nodes = levels[level]
-        # inputs that are expressions are named first, so that window functions share them
         panel = panel.select("*", *[windowed(n).alias(names[n]) for n in nodes])
     out = []
     for k, t in trees.items():
@@ -171,16 +170,52 @@ def evaluate(panel: DataFrame, pool: dict[str, str | Node], raw: bool = False) -
     return panel.select(*base, *out)
 
 
-def clip(signals: DataFrame, ids: list[str], low: float = 0.005, high: float = 0.995, accuracy: int | None = None) -> DataFrame:
-    """Each signal clipped at its own quantiles over all rows: one aggregation for the pool, one row broadcast.
+def quantile_edges(rows: DataFrame, by: list[str], value: str, low: float, high: float, accuracy: int = 2_000) -> DataFrame:
+    """(by, lo, hi): exact interpolated quantiles of each group, without a task that holds a group's values.
 
-    Exact quantiles keep every distinct value in the aggregation; ``accuracy`` takes bounded sketches instead,
-    with ranks off by at most one in ``accuracy``, for panels whose distinct values do not fit an executor.
+    Bounded sketches bracket the two quantiles; rows outside the brackets are only counted, those inside are
+    counted by value, and a window over the few values inside finds the order statistics.
     """
-    quantiles = (lambda c: F.percentile(c, F.array(F.lit(low), F.lit(high)))) if accuracy is None else (lambda c: F.percentile_approx(c, [low, high], accuracy))
-    edges = signals.agg(*[quantiles(F.col(k)).alias(f"__q_{k}") for k in ids])
-    joined = signals.crossJoin(F.broadcast(edges))  # one row
-    return joined.select(*[c for c in signals.columns if c not in ids], *[F.least(F.greatest(F.col(k), F.col(f"__q_{k}")[0]), F.col(f"__q_{k}")[1]).alias(k) for k in ids])
+    e = 2.0 / accuracy
+    marks = [max(0.0, low - e), low + e, high - e, min(1.0, high + e)]
+    rough = rows.groupBy(*by).agg(F.percentile_approx(value, marks, accuracy).alias("__b"), F.count(value).alias("__n")).where("__n > 0")
+    v, b = F.col(value), F.col("__b")
+    zone = F.when(v < b[0], 0).when(v <= b[1], 1).when(v < b[2], 2).when(v <= b[3], 3).otherwise(4)
+    placed = rows.where(v.isNotNull()).join(F.broadcast(rough), by).select(*by, "__n", v.alias("__v"), zone.alias("__zone"))
+    counted = placed.groupBy(*by, "__n", "__zone", F.when(F.col("__zone").isin(1, 3), F.col("__v")).alias("__at")).agg(F.count("*").alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    end = F.sum("__c").over(Window.partitionBy(*by).orderBy("__zone", "__at").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__c"))
+
+    def order_statistic(k: Column) -> Column:
+        inside = (F.col("__start") <= k) & (k < F.col("__end"))
+        return F.max(F.when(inside, F.when(F.col("__start") == k, F.col("__min")).otherwise(F.col("__max"))))
+
+    def quantile(q: float) -> Column:
+        at = F.lit(q) * (F.max("__n") - 1)
+        k = F.floor(at)
+        return F.struct(at.alias("at"), k.alias("k"))
+
+    spots = ranked.groupBy(*by).agg(quantile(low).alias("__lo"), quantile(high).alias("__hi"))
+    j = ranked.join(F.broadcast(spots), by)
+    found = j.groupBy(*by, "__lo", "__hi").agg(*[order_statistic(F.col(f"__{s}.k") + d).alias(f"__{s}{d}") for s in ("lo", "hi") for d in (0, 1)])
+    value_of = lambda s: F.col(f"__{s}0") + F.coalesce(F.col(f"__{s}1") - F.col(f"__{s}0"), F.lit(0.0)) * (F.col(f"__{s}.at") - F.col(f"__{s}.k"))
+    return found.select(*by, value_of("lo").alias("lo"), value_of("hi").alias("hi"))
+
+
+def clip(signals: DataFrame, ids: list[str], low: float = 0.005, high: float = 0.995, by: Column | None = None) -> DataFrame:
+    """Each signal clipped at its own quantiles over all rows, or over the rows of each value of ``by`` (a window).
+
+    The quantiles are exact (``quantile_edges``); what is broadcast is one row per value of ``by``, with two numbers
+    for each formula of the pool.
+    """
+    group = (F.lit(0) if by is None else by).alias("__g")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(k).alias("v")) for k in ids]))
+    stacked = signals.select(group, each.alias("__s")).select("__g", F.col("__s.f").alias("__f"), F.col("__s.v").alias("__x"))
+    edges = quantile_edges(stacked, ["__g", "__f"], "__x", low, high)
+    wide = edges.groupBy("__g").agg(F.map_from_entries(F.collect_list(F.struct("__f", F.struct("lo", "hi")))).alias("__q"))
+    joined = signals.withColumn("__g", group).join(F.broadcast(wide), "__g")
+    edge = lambda k, side: F.element_at("__q", F.lit(k))[side]
+    return joined.select(*[c for c in signals.columns if c not in ids], *[F.least(F.greatest(F.col(k), edge(k, "lo")), edge(k, "hi")).alias(k) for k in ids])
 
 
 def long(signals: DataFrame, ids: list[str], *keep: str) -> DataFrame:
@@ -189,10 +224,10 @@ def long(signals: DataFrame, ids: list[str], *keep: str) -> DataFrame:
     return signals.select("ticker", "date", *keep, rows.alias("s")).select("s.formula_id", "ticker", "date", "s.signal", *keep)
 
 
-def signals(panel: DataFrame, pool: dict[str, str | Node], *keep: str) -> DataFrame:
-    """Evaluated, filled, clipped and stacked."""
+def signals(panel: DataFrame, pool: dict[str, str | Node], *keep: str, by: Column | None = None) -> DataFrame:
+    """Evaluated, filled, clipped (in each window, where ``by`` names one) and stacked."""
     ids = list(pool)
-    return long(clip(evaluate(panel, pool), ids), ids, *keep)
+    return long(clip(evaluate(panel, pool), ids, by=by), ids, *keep)
 
 
 __all__ = ["evaluate", "clip", "long", "signals", "register"]

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import json
 import random
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import overfit, records, regime, search, simulate
+from ..operators import ic, overfit, records, regime, search, simulate
 from ..plans import formula as L
 from ..plans.compiler import evaluate
+from ..plans.formula import parse
 from ..sources import catalog as C
 from ..sources import panel as P
 from .common import MONTHLY, TS, frame, monthly, query, rounded, with_ret
 from .sim import _ACT, _ADV, _regime_signals
-from .stats import POOL, _PROBS, probabilities
+from .stats import _FITTED, POOL, _folds, _PROBS, pool_rows, probabilities
 
 
 @query("date_chunks", "SELECT CAST(s AS DATE) AS chunk_start, least(CAST(s AS DATE) + 29, DATE '1995-12-31') AS chunk_end FROM range(DATE '1995-01-01', DATE '1996-01-01', INTERVAL 30 DAY) t(s)")
@@ -140,57 +141,92 @@ def formula_similarity(spark, d):
 
 @query("tree_search")
 def tree_search(spark, d):
-    """Upper-confidence searches from several seeds, valued by the formulas' variety of operators."""
-    found = [(s, str(search.tree_search(random.Random(s), 60, 10, lambda t: len({n.op for n in t.walk()}) / 12))) for s in range(4)]
+    """Upper-confidence searches from two seeds; a leaf's new formulas are scored on the panel in one job."""
+    panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
+    found = [(s, str(search.tree_search(random.Random(s), 2, 8, search.pool_values(panel)))) for s in range(2)]
     return spark.createDataFrame(found, "seed int, formula string")
 
 
-def catalog_rows(spark):
-    """A small catalogue of mixed versions."""
-    return spark.read.schema(C.CATALOG).json(
-        spark.createDataFrame(
-            [
-                (json.dumps(r),)
-                for r in (
-                    {"formula": "A", "rank_ic": 0.03, "updated_at": "2024-01-01", "wf": {"fitness": 0.01, "mean_ric": 0.02, "std_ric": 0.01}, "regime_champion_for": 0, "live": True},
-                    {"formula": "A", "rank_ic": 0.05, "updated_at": "2024-02-01", "wf": {"fitness": 0.02, "mean_ric": 0.03, "std_ric": 0.01}, "regime_champion_for": 0, "live": True},
-                    {"formula": "B", "rank_ic": -0.09, "updated_at": "2024-01-05", "regime_champion_for": 1, "live": True},
-                    {"formula": "C", "rank_ic": 0.01, "updated_at": "2024-01-05", "wf": {"fitness": 0.03}, "regime_champion_for": 0, "live": True},
-                    {"formula": "D", "rank_ic": 0.2, "updated_at": "2024-01-05", "live": False},
-                )
-            ],
-            "value string",
-        ).rdd.map(lambda r: r[0])
-    )
-
-
-@query("catalog_ranking", "SELECT * FROM (VALUES ('C', 1), ('A', 2), ('D', 3), ('B', 4)) t(formula, place)")
+@query("mined_pool")
+def mined_pool(spark, d):
+    """Two generations of formulas, the second bred from what the first accepted, through the Sharpe gate."""
+    panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
+    mined = search.mine(panel, 7, population=6, rounds=2, least_ric=-1.0, least_share=0.0)
+    return rounded(search.sharpe_gate(mined, trials=12, least=0.0), "mean_ric", "fitness", "p")
+
+
+def _names() -> str:
+    return "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in POOL.items()) + ") t(formula_id, formula))"
+
+
+def catalogue(spark, d) -> C.Catalog:
+    """A catalogue filled from the pool's results: first what the years before 2000 gave, then the whole span; one formula taken out."""
+    store = C.Catalog(spark, f"{C.shared_folder(spark)}/catalogue-{uuid.uuid4().hex[:12]}")
+    names = spark.createDataFrame(list(POOL.items()), "formula_id string, formula string")
+    rows = pool_rows(spark, d)
+    days = ic.daily(rows)
+    first = ic.summary(days.where("date < date'2000-01-01'")).join(names, "formula_id")
+    store.upsert(first.select("formula", "rank_ic", F.lit("first half").alias("source"), F.lit("2000-01-01").alias("updated_at")))
+    complexity = spark.createDataFrame([(k, parse(v).size) for k, v in POOL.items()], "formula_id string, complexity int")
+    fitted = ic.fitness(ic.fold_ics(days, _folds(spark, d)), complexity, ic.size_corr(rows))
+    wf = F.struct("mean_ric", "std_ric", F.col("pos_folds").cast("int").alias("pos_folds"), F.col("n_folds").cast("int").alias("n_folds"), F.when(F.col("status") == "ok", F.col("fitness")).alias("fitness"), F.lit(None).cast("array<double>").alias("fold_rics"))
+    whole = ic.summary(days).join(fitted.select("formula_id", wf.alias("wf"), "complexity"), "formula_id").join(names, "formula_id")
+    regime_of = F.when(F.col("formula_id") == "level", 1).otherwise(0)
+    store.upsert(whole.select("formula", "rank_ic", "wf", "complexity", regime_of.alias("regime_champion_for"), F.lit("2001-01-01").alias("updated_at")))
+    store.deactivate(names.where("formula_id = 'trend'"), "2001-02-01")
+    return store
+
+
+#: the same records: RankIC of the whole span, fitness where the status is ok, one formula no longer live
+_CATALOG = f"""{_FITTED}, {_names()}, su AS (SELECT formula_id, avg(rank_ic) AS rank_ic FROM ics GROUP BY formula_id),
+cat AS (SELECT formula, formula_id, rank_ic, mean_ric, CASE WHEN status = 'ok' THEN mean_ric - 0.5 * std_ric - 0.001 * complexity - 0.5 * greatest(0.0, abs(size_corr) - 0.3) END AS fitness, complexity, CASE WHEN formula_id = 'level' THEN 1 ELSE 0 END AS champion, formula_id <> 'trend' AS live FROM f JOIN su USING (formula_id) JOIN names USING (formula_id)),
+placed AS (SELECT *, row_number() OVER (ORDER BY fitness IS NOT NULL DESC, coalesce(fitness, abs(rank_ic)) DESC, formula) AS place FROM cat)"""
+
+
+@query("catalog_ranking", f"WITH {_CATALOG} SELECT formula, place FROM placed")
 def catalog_ranking(spark, d):
-    rows = [r.formula for r in C.ranked(C.latest(catalog_rows(spark))).select("formula").collect()]
-    return spark.createDataFrame([(f, i + 1) for i, f in enumerate(rows)], "formula string, place int")
+    fit = F.col("wf.fitness")
+    place = F.row_number().over(Window.orderBy(F.desc(fit.isNotNull()), F.desc(F.coalesce(fit, F.abs("rank_ic"))), "formula"))  # a catalogue is small
+    return C.ranked(catalogue(spark, d).read()).select("formula", place.alias("place"))
 
 
-@query("catalog_champions", "SELECT * FROM (VALUES (0, 'C', 0.01), (1, 'B', -0.09)) t(regime_champion_for, formula, mean)")
+@query("catalog_champions", f"WITH {_CATALOG}, c AS (SELECT *, row_number() OVER (PARTITION BY champion ORDER BY coalesce(fitness, rank_ic) DESC, formula) AS n FROM cat WHERE live) SELECT CAST(champion AS INTEGER) AS regime_champion_for, formula, round(coalesce(mean_ric, rank_ic), 6) + 0.0 AS mean FROM c WHERE n = 1")
 def catalog_champions(spark, d):
-    return C.champions(C.latest(catalog_rows(spark))).select("regime_champion_for", "formula", "mean")
+    return rounded(C.champions(catalogue(spark, d).read()).select("regime_champion_for", "formula", "mean"), "mean")
 
 
-@query("catalog_export")
+@query("catalog_export", f"WITH {_CATALOG} SELECT formula, round(rank_ic, 6) + 0.0 AS rank_ic, round(fitness, 6) + 0.0 AS wf_fitness, CAST(complexity AS INTEGER) AS complexity, live, 'first half' AS source, '2001-01-01' AS updated_at FROM cat")
 def catalog_export(spark, d):
-    return C.flatten(catalog_rows(spark))
+    store = catalogue(spark, d)
+    store.export(f"{store.path}/export")
+    out = spark.read.option("header", True).csv(f"{store.path}/export").selectExpr("formula", "cast(rank_ic as double) rank_ic", "cast(wf_fitness as double) wf_fitness", "cast(complexity as int) complexity", "cast(live as boolean) live", "source", "updated_at")
+    return rounded(out, "rank_ic", "wf_fitness")
 
 
-@query("ensemble_promotion", "SELECT 'A' AS formula")
+@query("ensemble_promotion", f"WITH {_CATALOG} SELECT formula FROM cat WHERE live ORDER BY rank_ic * CASE champion WHEN 0 THEN 0.9 ELSE 0.1 END DESC, formula LIMIT 1")
 def ensemble_promotion(spark, d):
-    return C.promote(C.latest(catalog_rows(spark)).where("live"), {0: 0.9, 1: 0.1}).select("formula")
+    return C.promote(catalogue(spark, d).read().where("live"), {0: 0.9, 1: 0.1}).select("formula")
 
 
 @query("tuned_parameters")
 def tuned_parameters(spark, d):
-    """A seeded search over fitness penalties, consensus over three windows' results."""
-    found = [search.tune(lambda p, s=s: -((p["lambda_std"] - 0.4 - s / 20) ** 2) - (p["top_k"] - 12) ** 2 / 100, {"lambda_std": (0.0, 2.0), "top_k": (5.0, 30.0)}, 40, s)[0] for s in range(3)]
-    c = search.consensus(found)
-    return spark.createDataFrame([(k, round(v, 4)) for k, v in sorted(c.items())], "parameter string, value double")
+    """Penalties tuned on each span's scores by what the formulas do in the next, and their medians over the spans."""
+    panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
+    pool = search.breed(random.Random(11), [], 8, 8)
+    years = [f"{y}-01-01" for y in (1995, 1997, 1999, 2001)]
+    spans = [search.score_pool(panel.where((F.col("date") >= a) & (F.col("date") < b)), pool, 2, 1, 5).collect() for a, b in zip(years, years[1:])]
+    ahead = [{r.formula: r.mean_ric for r in s if r.mean_ric is not None} for s in spans[1:]]
+    c = search.consensus([search.tune_on(s, after, 40, k) for k, (s, after) in enumerate(zip(spans, ahead))])
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(c.items())], "parameter string, value double")
+
+
+_FUNDS = "p AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_returnflag AS code, max(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2), r AS (SELECT date, code, price / lag(price) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM p)"
+
+
+@query("fund_returns", f"""WITH {_FUNDS} SELECT date, round(max(r) FILTER (WHERE code = 'A'), 6) + 0.0 AS "A_RET", round(max(r) FILTER (WHERE code = 'N'), 6) + 0.0 AS "N_RET", round(max(r) FILTER (WHERE code = 'R'), 6) + 0.0 AS "R_RET" FROM r GROUP BY date""")
+def fund_returns(spark, d):
+    p = P.table(spark, d, "lineitem").select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), F.col("l_returnflag").alias("code"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return rounded(P.returns_by_code(p, ["A", "N", "R"]), "A_RET", "N_RET", "R_RET")
 
 
 @query("unused_returns", f"WITH {MONTHLY}, r AS (SELECT ticker, date, lead(pclose, 2) OVER ({TS}) / lead(pclose, 1) OVER ({TS}) - 1 AS ret FROM panel) SELECT ticker, count(*) AS missing FROM r WHERE ret IS NULL GROUP BY ticker")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import random
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ic, overfit, search, simulate
-from ..plans.compiler import evaluate, long
+from ..plans.compiler import clip, evaluate, signals
 from ..sources import panel as P
-from ..streaming.decay import decay_stream
-from .common import MONTHLY, TS, WEEKLY, frame, monthly, query, rounded, weekly, with_ret
-from .stats import _AVG, _BENCH, _POOL_SQL, _PROBS, POOL, pool_rows, probabilities
+from ..sources.catalog import shared_folder
+from ..streaming.decay import decay_stream, read_upserted, upsert_sink
+from .common import MONTHLY, ORACLE, TS, WEEKLY, frame, monthly, query, rounded, weekly, with_ret
+from .stats import _AVG, _BENCH, _CLIP, _POOL_SQL, _PROBS, POOL, pool_rows, probabilities
 
 #: a plain daily portfolio, the equal-weighted half of names with the higher signal, as returns of each formula
 _DAILY = f"""{_POOL_SQL}, pr AS (SELECT *, percent_rank() OVER (PARTITION BY formula_id, date ORDER BY signal DESC, ticker) AS pr FROM there), daily AS (SELECT formula_id, date, avg(greatest(least(ret, 0.5), -0.5)) FILTER (WHERE pr < 0.5) AS ret FROM pr GROUP BY formula_id, date)"""
@@ -47,7 +50,7 @@ def backtest_metrics(spark, d):
 def backtest_walk_forward(spark, d):
     panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
     spans = overfit.windows(panel, 12, 12)
-    rows = long(evaluate(overfit.in_windows(panel, spans), POOL), list(POOL), "ret")
+    rows = signals(overfit.in_windows(panel, spans), POOL, "ret", by=F.col("ticker.window_id"))
     flat = rows.select("formula_id", F.col("ticker.window_id").alias("window_id"), F.col("ticker.ticker").alias("ticker"), "date", "signal", "ret")
     return rounded(simulate.topk_dropout(flat, 5, 1, keys=("formula_id", "window_id")), "ret")
 
@@ -114,12 +117,20 @@ def slippage_calibration(spark, d):
     return rounded(simulate.calibrate_slippage(t).select("n", "gamma"), "gamma")
 
 
-@query("unit_slippage")
+@query("unit_slippage", f"WITH {MONTHLY}, {_ADV}, r AS (SELECT ticker, date, pclose / lag(pclose) OVER ({TS}) - 1 AS r FROM panel), sg AS (SELECT ticker, date, CASE WHEN count(r) {frame(20)} >= 5 THEN stddev_samp(r) {frame(20)} END AS sigma FROM r) SELECT ticker, date, round(coalesce(0.1 * sigma * sqrt(1.0 / nullif(adv, 0)) * 1e4, 10.0), 6) AS slip FROM adv JOIN sg USING (ticker, date)")
 def unit_slippage(spark, d):
     return rounded(simulate.unit_slippage(monthly(spark, d)), "slip")
 
 
-@query("vol_target_scale")
+#: the weighted deviation as a self-join: weights (2/3) to the rows' distance, corrected for bias
+_SCALE = f"""v0 AS (SELECT ticker, date, pclose / lag(pclose) OVER ({TS}) - 1 AS r, row_number() OVER ({TS}) AS i FROM panel),
+v1 AS (SELECT a.ticker, a.date, sum(pow(2 / 3.0, a.i - b.i)) AS w, sum(pow(4 / 9.0, a.i - b.i)) AS w2, sum(pow(2 / 3.0, a.i - b.i) * b.r) AS wr, sum(pow(2 / 3.0, a.i - b.i) * b.r * b.r) AS wrr FROM v0 a JOIN v0 b ON a.ticker = b.ticker AND b.i <= a.i AND b.r IS NOT NULL GROUP BY a.ticker, a.date),
+v2 AS (SELECT ticker, date, CASE WHEN w - w2 / w > 1e-12 THEN sqrt(greatest(wrr - wr * wr / w, 0) / (w - w2 / w)) END AS e FROM v1),
+v3 AS (SELECT ticker, date, greatest(CASE WHEN count(r) {frame(20)} >= 5 THEN stddev_samp(r) {frame(20)} END, e) * sqrt(252.0) AS v FROM v0 LEFT JOIN v2 USING (ticker, date)),
+v4 AS (SELECT ticker, date, CASE WHEN v IS NULL OR v = 0 THEN 1.0 ELSE greatest(0.1, least(3.0, 0.15 / v)) END AS s FROM v3)"""
+
+
+@query("vol_target_scale", f"WITH {MONTHLY}, {_SCALE} SELECT ticker, date, round(coalesce(lag(s) OVER ({TS}), 1.0), 6) AS scale FROM v4")
 def vol_target_scale(spark, d):
     return rounded(simulate.vol_scale(monthly(spark, d)), "scale")
 
@@ -140,7 +151,12 @@ def blend_weights_raw(spark, d):
     return rounded(simulate.blend_raw(s, probabilities(spark, d), 5), "weight")
 
 
-@query("blend_weights_ema")
+_SMOOTH = f"""{_BLEND}, tw AS (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM best WHERE place <= 5), dn AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM panel)),
+x AS (SELECT t.ticker, dn.date, dn.i, coalesce(w, 0.0) AS x FROM (SELECT DISTINCT ticker FROM tw) t CROSS JOIN dn LEFT JOIN tw ON tw.ticker = t.ticker AND tw.date = dn.date),
+sm AS (SELECT a.ticker, a.date, sum(b.x * CASE WHEN b.i = 0 THEN pow(0.7, a.i) ELSE 0.3 * pow(0.7, a.i - b.i) END) AS s FROM x a JOIN x b ON a.ticker = b.ticker AND b.i <= a.i GROUP BY a.ticker, a.date)"""
+
+
+@query("blend_weights_ema", f"WITH {_SMOOTH} SELECT date, ticker, round(s / sum(s) OVER (PARTITION BY date), 6) + 0.0 AS weight FROM sm WHERE s > 0")
 def blend_weights_ema(spark, d):
     raw = simulate.blend_raw(_regime_signals(spark, d), probabilities(spark, d), 5)
     return rounded(simulate.blend_smooth(raw, monthly(spark, d).select("date")), "weight")
@@ -218,10 +234,17 @@ def decay_page_hinkley(spark, d):
     return rounded(simulate.page_hinkley(_live(spark, d), patience=2), "m")
 
 
-@query("portfolio_report")
+_REPORT = f"""{_ACT}, {_DAYPNL.replace(MONTHLY + ', ', '', 1)}, whole AS (SELECT exp(sum(ln(1 + pnl / n))) - 1 AS total_return, avg(CASE WHEN pnl / n > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM dp),
+buys AS (SELECT * FROM act WHERE target_weight - prev_weight > 1e-4 AND date = (SELECT max(date) FROM act) ORDER BY target_weight DESC, ticker LIMIT 15)"""
+
+
+@query(
+    "portfolio_report",
+    f"WITH {_REPORT} SELECT date, ticker, round(target_weight, 6) AS target_weight, round(prev_weight, 6) AS prev_weight, round(target_weight - prev_weight, 6) AS weight_delta, 'BUY' AS action, round(abs(target_weight - prev_weight), 6) AS turnover, round(total_return, 6) + 0.0 AS total_return, round(win_rate, 6) AS win_rate FROM buys, whole",
+)
 def portfolio_report(spark, d):
     raw = simulate.blend_raw(_regime_signals(spark, d), probabilities(spark, d), 5)
-    return rounded(simulate.report(simulate.actions(raw), _scaled(spark, d)), "total_return", "win_rate")
+    return rounded(simulate.report(simulate.actions(raw), _scaled(spark, d)), "target_weight", "prev_weight", "weight_delta", "turnover", "total_return", "win_rate")
 
 
 _SLICES = f"""{_DAILY}, si AS (SELECT formula_id, ret, row_number() OVER (PARTITION BY formula_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY formula_id) AS n FROM daily),
@@ -267,14 +290,33 @@ def dsr_inputs(spark, d):
     return rounded(overfit.sharpe_inputs(daily_returns(spark, d)), "sharpe", "skew", "kurt", digits=5)
 
 
-@query("dsr_table")
+def _cdf_sql(z: str) -> str:
+    """The same rational approximation of the normal distribution function as ``overfit.normal_cdf``."""
+    x, t = f"(abs({z}) / sqrt(2.0))", f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2.0)))"
+    half = f"0.5 * {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x})"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {half} ELSE {half} END"
+
+
+_SR = f"""{_DAILY}, sr AS (SELECT formula_id, count(ret) AS days, avg(ret) / stddev_samp(ret) * sqrt(252.0) AS sharpe, (avg(ret * ret * ret) - 3 * avg(ret) * avg(ret * ret) + 2 * pow(avg(ret), 3)) / pow(stddev_pop(ret), 3) AS skew, kurtosis_pop(ret) AS kurt FROM daily GROUP BY formula_id)"""
+_DSR = f"""{_SR}, z0 AS (SELECT *, {overfit.best_of_noise(362)!r} / sqrt(days) AS null_sharpe FROM sr), z AS (SELECT *, (sharpe - null_sharpe) / sqrt(greatest((1 - skew * sharpe + kurt / 4 * sharpe * sharpe) / days, 1.0 / days)) AS z FROM z0)"""
+
+
+def _four(df):
+    return rounded(rounded(df, "sharpe", "z", "p", digits=4), "skew", "kurt", digits=5)
+
+
+@query("dsr_table", f"WITH {_DSR} SELECT formula_id, days, round(sharpe, 4) + 0.0 AS sharpe, round(skew, 5) + 0.0 AS skew, round(kurt, 5) + 0.0 AS kurt, round(null_sharpe, 6) AS null_sharpe, round(z, 4) + 0.0 AS z, round({_cdf_sql('z')}, 4) + 0.0 AS p, {_cdf_sql('z')} >= 0.95 AS significant FROM z")
 def dsr_table(spark, d):
-    return rounded(overfit.deflated_sharpe(overfit.sharpe_inputs(daily_returns(spark, d)), 362), "sharpe", "z", "p", digits=4)
+    return rounded(_four(overfit.deflated_sharpe(overfit.sharpe_inputs(daily_returns(spark, d)), 362)), "null_sharpe")
 
 
-@query("dsr_simple")
+_NULL = (1 - overfit.EULER) * math.sqrt(2 * math.log(362)) + overfit.EULER / math.sqrt(2 * math.log(362))
+_SIMPLE = f"""{_SR}, z0 AS (SELECT *, (1 + 0.5 * sharpe * sharpe - skew * sharpe + kurt / 4 * sharpe * sharpe) / greatest(days, 252) AS inner_ FROM sr), z AS (SELECT *, coalesce((sharpe - {_NULL!r}) / (sqrt(CASE WHEN inner_ > 0 THEN inner_ END) + 1e-10), 0.0) AS z FROM z0)"""
+
+
+@query("dsr_simple", f"WITH {_SIMPLE} SELECT formula_id, days, round(sharpe, 4) + 0.0 AS sharpe, round(skew, 5) + 0.0 AS skew, round(kurt, 5) + 0.0 AS kurt, round(z, 4) + 0.0 AS z, round({_cdf_sql('z')}, 4) + 0.0 AS p FROM z")
 def dsr_simple(spark, d):
-    return rounded(overfit.simple_deflated_sharpe(overfit.sharpe_inputs(daily_returns(spark, d))), "sharpe", "z", "p", digits=4)
+    return _four(overfit.simple_deflated_sharpe(overfit.sharpe_inputs(daily_returns(spark, d))))
 
 
 @query("ensemble_rank_average", f"WITH {_POOL_SQL}, p AS (SELECT ticker, date, {_AVG.format('formula_id, date', 'signal')} / count(signal) OVER (PARTITION BY formula_id, date) AS v FROM s) SELECT ticker, date, round(sum(v / 3), 9) + 0.0 AS signal FROM p GROUP BY ticker, date HAVING count(*) = 3")
@@ -282,17 +324,25 @@ def ensemble_rank_average(spark, d):
     return rounded(overfit.combine(pool_rows(spark, d)), "signal", digits=9)
 
 
-_WIDE = "wide AS (SELECT ticker, date, coalesce(momentum, 0.0) AS momentum, coalesce(level, 0.0) AS level, coalesce(trend, 0.0) AS trend FROM b)"
+_WIDE = "wide AS (SELECT ticker, date, any_value(signal) FILTER (WHERE formula_id = 'momentum') AS momentum, any_value(signal) FILTER (WHERE formula_id = 'level') AS level, any_value(signal) FILTER (WHERE formula_id = 'trend') AS trend FROM s GROUP BY ticker, date)"
+
+
+def pool_columns(spark, d):
+    return clip(evaluate(monthly(spark, d), POOL), list(POOL))
 
 
 @query("ensemble_corr_matrix", f"WITH {_POOL_SQL}, {_WIDE} SELECT 'momentum' AS a, 'level' AS b, round(corr(momentum, level), 6) + 0.0 AS corr FROM wide UNION ALL SELECT 'momentum', 'trend', round(corr(momentum, trend), 6) + 0.0 FROM wide UNION ALL SELECT 'level', 'trend', round(corr(level, trend), 6) + 0.0 FROM wide")
 def ensemble_corr_matrix(spark, d):
-    return rounded(overfit.correlations(evaluate(monthly(spark, d), POOL), list(POOL)), "corr")
+    return rounded(overfit.correlations(pool_columns(spark, d), list(POOL)), "corr")
+
+
+_GREEDY = f"""{_POOL_SQL}, {_WIDE}, c AS (SELECT abs(coalesce(corr(momentum, level), 0)) < 0.7 AS ml, abs(coalesce(corr(momentum, trend), 0)) < 0.7 AS mt, abs(coalesce(corr(level, trend), 0)) < 0.7 AS lt FROM wide),
+k AS (SELECT 0 AS o, 'momentum' AS formula_id, true AS keep UNION ALL SELECT 1, 'level', ml FROM c UNION ALL SELECT 2, 'trend', mt AND (NOT ml OR lt) FROM c)"""
 
 
-@query("ensemble_greedy")
+@query("ensemble_greedy", f"WITH {_GREEDY} SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS place, formula_id FROM k WHERE keep")
 def ensemble_greedy(spark, d):
-    kept = overfit.greedy_pool(evaluate(monthly(spark, d), POOL), list(POOL))
+    kept = overfit.greedy_pool(pool_columns(spark, d), list(POOL))
     return spark.createDataFrame([(i, k) for i, k in enumerate(kept)], "place int, formula_id string")
 
 
@@ -316,7 +366,7 @@ _WINS = "spans AS (SELECT * FROM (VALUES (0, DATE '1998-01-01', DATE '1999-01-01
 @query(
     "rolling_wf_ic",
     f"""WITH {MONTHLY}, {_WINS}, x AS (SELECT window_id, ticker, date, pclose FROM panel, spans WHERE date >= s0 AND date < s1),
-y AS (SELECT *, coalesce(pclose - lag(pclose, 3) OVER w, 0.0) AS signal, lead(pclose, 2) OVER w / lead(pclose, 1) OVER w - 1 AS ret FROM x WINDOW w AS (PARTITION BY window_id, ticker ORDER BY date)),
+y0 AS (SELECT *, coalesce(pclose - lag(pclose, 3) OVER w, 0.0) AS signal, lead(pclose, 2) OVER w / lead(pclose, 1) OVER w - 1 AS ret FROM x WINDOW w AS (PARTITION BY window_id, ticker ORDER BY date)), {_CLIP.format('y', 'y0', 'window_id')},
 k AS (SELECT *, {_AVG.format('window_id, date', 'signal')} AS a, {_AVG.format('window_id, date', 'ret')} AS b FROM y WHERE ret IS NOT NULL),
 dd AS (SELECT window_id, date, CASE WHEN count(*) < 2 THEN NULL WHEN min(a) = max(a) THEN 0.0 WHEN min(b) = max(b) THEN NULL ELSE covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) END AS ic FROM k GROUP BY window_id, date)
 SELECT window_id, round(avg(ic), 6) + 0.0 AS rank_ic, count(ic) AS days FROM dd GROUP BY window_id""",
@@ -324,7 +374,7 @@ SELECT window_id, round(avg(ic), 6) + 0.0 AS rank_ic, count(ic) AS days FROM dd
 def rolling_wf_ic(spark, d):
     spans = spark.sql("select * from values (0, date'1998-01-01', date'1999-01-01'), (1, date'1999-01-01', date'2000-01-01'), (2, date'2000-01-01', date'2001-01-01') t(window_id, start, end)")
     inside = with_ret(overfit.in_windows(monthly(spark, d), spans))
-    rows = long(evaluate(inside, {"f": "Delta(Pclose, 3)"}), ["f"], "ret").withColumn("window_id", F.col("ticker.window_id"))
+    rows = signals(inside, {"f": "Delta(Pclose, 3)"}, "ret", by=F.col("ticker.window_id")).withColumn("window_id", F.col("ticker.window_id"))
     return rounded(ic.summary(ic.daily(rows, "ret", "window_id"), "window_id").select("window_id", "rank_ic", "days"), "rank_ic")
 
 
@@ -353,18 +403,13 @@ def mining_window(spark, d):
     return rounded(search.score_pool(panel, search.breed(random.Random(42), [], 6, 6)).select("formula", "status", "mean_ric", "fitness", "verdict"), "mean_ric", "fitness")
 
 
-@query("stream_decay")
+@query("stream_decay", ORACLE["decay_page_hinkley"])
 def stream_decay(spark, d):
-    """The decay state kept by a stream over files, read until they end."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="alphaloom-")
-    base, name = f"{base.rstrip('/')}/decay-{uuid.uuid4().hex[:8]}", f"decay_{uuid.uuid4().hex[:8]}"
+    """The decay state kept by a stream over files, read until they end, its results upserted by formula."""
+    base = f"{shared_folder(spark)}/decay-{uuid.uuid4().hex[:12]}"
     rows = _live(spark, d).withColumn("date", F.col("date").cast("timestamp"))
-    rows.repartition(1).write.parquet(f"{base}/in")
+    rows.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    q = decay_stream(stream, patience=2).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = decay_stream(stream, patience=2).writeStream.outputMode("update").foreachBatch(upsert_sink(f"{base}/out", ["formula_id"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rounded(spark.table(name), "m")
-
+    return rounded(read_upserted(spark, f"{base}/out", ["formula_id"]), "m").withColumn("triggered_at", F.to_date("triggered_at"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ic, regime
-from ..plans.compiler import evaluate, long, signals
+from ..plans.compiler import clip, evaluate, signals
 from ..plans.formula import parse
 from ..sources import panel as P
-from .common import MONTHLY, RET, TS, frame, monthly, query, rounded, weekly, with_ret
+from .common import MONTHLY, RET, TS, WEEKLY, frame, monthly, query, rounded, weekly, with_ret
 
 POOL = {"momentum": "CSRank(Delta(Pclose, 5))", "level": "CSRank(Log(Vlot))", "trend": "Sub(Log(Pclose), Mean(Log(Pclose), 6))"}
 
@@ -17,10 +17,14 @@ _PCT = "CASE WHEN {0} IS NOT NULL THEN " + _AVG.format("date", "{0}") + " / coun
 _SAFE = "covar_samp({0}, {1}) / nullif(stddev_samp({0}) * stddev_samp({1}), 0)"
 _IC = "CASE WHEN count(*) < 2 THEN NULL WHEN min({0}) = max({0}) THEN 0.0 WHEN min({1}) = max({1}) THEN NULL ELSE " + _SAFE + " END"
 
-#: the pool's raw signals, missing values 0, stacked
+_CLIP = "{0} AS (SELECT {1}.* REPLACE (least(greatest(signal, lo), hi) AS signal) FROM {1} JOIN (SELECT {2}, quantile_cont(signal, 0.005) AS lo, quantile_cont(signal, 0.995) AS hi FROM {1} GROUP BY {2}) USING ({2}))"
+_STACK = f"""s0 AS (SELECT 'momentum' AS formula_id, ticker, date, coalesce(momentum, 0.0) AS signal, ret, lx AS size FROM b UNION ALL SELECT 'level', ticker, date, coalesce(level, 0.0), ret, lx FROM b UNION ALL SELECT 'trend', ticker, date, coalesce(trend, 0.0), ret, lx FROM b),
+{_CLIP.format('s', 's0', 'formula_id')}"""
+
+#: the pool's signals: missing values 0, clipped at each formula's 0.5 % and 99.5 % quantiles, stacked
 _POOL_SQL = f"""{MONTHLY}, {RET},
 b AS (SELECT *, {_PCT.format('d5')} AS momentum, {_PCT.format('lv')} AS level, lx - CASE WHEN count(lx) {frame(6)} = 6 THEN avg(lx) {frame(6)} END AS trend FROM rets),
-s AS (SELECT 'momentum' AS formula_id, ticker, date, coalesce(momentum, 0.0) AS signal, ret, lx AS size FROM b UNION ALL SELECT 'level', ticker, date, coalesce(level, 0.0), ret, lx FROM b UNION ALL SELECT 'trend', ticker, date, coalesce(trend, 0.0), ret, lx FROM b),
+{_STACK},
 there AS (SELECT * FROM s WHERE ret IS NOT NULL),
 ranked AS (SELECT *, {_AVG.format('formula_id, date', 'signal')} AS rs, {_AVG.format('formula_id, date', 'ret')} AS ry FROM there),
 ics AS (SELECT formula_id, date, {_IC.format('signal', 'ret')} AS ic, {_IC.format('rs', 'ry')} AS rank_ic, count(*) AS n FROM ranked GROUP BY formula_id, date)"""
@@ -28,7 +32,7 @@ ics AS (SELECT formula_id, date, {_IC.format('signal', 'ret')} AS ic, {_IC.forma
 
 def pool_rows(spark, d):
     panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
-    return long(evaluate(panel, POOL), list(POOL), "ret", "size")
+    return signals(panel, POOL, "ret", "size")
 
 
 @query("ic_daily", f"WITH {_POOL_SQL} SELECT formula_id, date, round(ic, 6) + 0.0 AS ic, n FROM ics")
@@ -98,10 +102,27 @@ def neutralize_size(spark, d):
     return rounded(ic.residual_one(pool_rows(spark, d), "signal", "size", "residual", least=5).select("formula_id", "ticker", "date", "residual"), "residual")
 
 
-@query("neutralize_factors")
+_DAY = "(PARTITION BY formula_id, date)"
+_PROJ = "coalesce(CASE WHEN sum({1} * {1}) OVER w > 1e-12 THEN sum({0} * {1}) OVER w / sum({1} * {1}) OVER w END, 0.0) * {1}"
+#: the signal's rank less its projection on three factor ranks, made orthogonal one after another; then size bins
+_NEUTRAL = f"""{_POOL_SQL}, r0 AS (SELECT *, pclose / lag(pclose) OVER ({TS}) - 1 AS r FROM panel),
+factors AS (SELECT ticker, date, ln(greatest(pclose, 1e-6)) AS size, CASE WHEN count(r) {frame(20)} >= 5 THEN stddev_samp(r) {frame(20)} END AS vol, pclose / lag(pclose, 20) OVER ({TS}) - 1 AS mom FROM r0),
+fr AS (SELECT ticker, date, {_ORD.format('size')} AS f1, {_ORD.format('vol')} AS f2, {_ORD.format('mom')} AS f3 FROM factors),
+n0 AS (SELECT formula_id, s.ticker, s.date, signal, f1, f2, f3, count(*) OVER {_DAY.replace('formula_id, date', 'formula_id, s.date')} AS n, (row_number() OVER (PARTITION BY formula_id, s.date ORDER BY signal, s.ticker) - 1) / greatest(1, count(signal) OVER (PARTITION BY formula_id, s.date) - 1) - 0.5 AS y FROM s JOIN fr USING (ticker, date)),
+n1 AS (SELECT *, f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AS fine FROM n0),
+n2 AS (SELECT *, count(*) FILTER (WHERE fine) OVER w AS m, CASE WHEN fine THEN y - avg(y) FILTER (WHERE fine) OVER w END AS y0, CASE WHEN fine THEN f1 - avg(f1) FILTER (WHERE fine) OVER w END AS a0, CASE WHEN fine THEN f2 - avg(f2) FILTER (WHERE fine) OVER w END AS b0, CASE WHEN fine THEN f3 - avg(f3) FILTER (WHERE fine) OVER w END AS c0 FROM n1 WINDOW w AS {_DAY}),
+n3 AS (SELECT *, y0 - {_PROJ.format('y0', 'a0')} AS y1, b0 - {_PROJ.format('b0', 'a0')} AS b1, c0 - {_PROJ.format('c0', 'a0')} AS c1 FROM n2 WINDOW w AS {_DAY}),
+n4 AS (SELECT *, y1 - {_PROJ.format('y1', 'b1')} AS y2, c1 - {_PROJ.format('c1', 'b1')} AS c2 FROM n3 WINDOW w AS {_DAY}),
+n5 AS (SELECT *, CASE WHEN m >= 10 THEN y2 - {_PROJ.format('y2', 'c2')} ELSE signal END AS res FROM n4 WINDOW w AS {_DAY}),
+n6 AS (SELECT *, res IS NOT NULL AND f1 IS NOT NULL AS there, row_number() OVER (PARTITION BY formula_id, date ORDER BY CASE WHEN res IS NOT NULL THEN f1 END NULLS LAST, ticker) - 1 AS i, count(*) FILTER (WHERE res IS NOT NULL AND f1 IS NOT NULL) OVER {_DAY} AS n2 FROM n5),
+n7 AS (SELECT *, CASE WHEN there THEN greatest(ceil(i * least(10, greatest(2, floor(n2 / 5.0))) / greatest(n2 - 1, 1)) - 1, 0) END AS bin FROM n6)
+SELECT formula_id, ticker, date, round(CASE WHEN n < 10 THEN signal WHEN there AND n2 >= 2 AND count(*) OVER b >= 2 THEN res - avg(res) OVER b ELSE res END, 6) + 0.0 AS neutral FROM n7 WINDOW b AS (PARTITION BY formula_id, date, bin)"""
+
+
+@query("neutralize_factors", f"WITH {_NEUTRAL}")
 def neutralize_factors(spark, d):
     panel = ic.factor_ranks(ic.factors(monthly(spark, d)))
-    rows = long(evaluate(panel, POOL), list(POOL), "size_rank", "vol_rank", "mom_rank")
+    rows = signals(panel, POOL, "size_rank", "vol_rank", "mom_rank")
     return rounded(ic.neutralize(rows, ["size_rank", "vol_rank", "mom_rank"]), "neutral")
 
 
@@ -128,12 +149,12 @@ def wf_fold_ric(spark, d):
 
 
 _SIZES = {k: parse(v).size for k, v in POOL.items()}
-_FIT = f"""WITH {_FOLD_RIC}, sr AS (SELECT *, {_AVG.format('formula_id, date', 'signal')} AS a, {_AVG.format('formula_id, date', 'size')} AS b FROM s),
+_FITTED = f"""{_FOLD_RIC}, sr AS (SELECT *, {_AVG.format('formula_id, date', 'signal')} AS a, {_AVG.format('formula_id, date', 'size')} AS b FROM s),
 sc AS (SELECT formula_id, coalesce(avg(c), 0.0) AS size_corr FROM (SELECT formula_id, date, CASE WHEN count(*) >= 5 AND min(a) < max(a) AND min(b) < max(b) THEN covar_samp(a, b) / (stddev_samp(a) * stddev_samp(b)) END AS c FROM sr GROUP BY formula_id, date) GROUP BY formula_id),
 per AS (SELECT formula_id, avg(ric) AS mean_ric, stddev_pop(ric) AS std_ric, count(*) FILTER (WHERE ric > 0) AS pos_folds, count(*) AS n_folds FROM ric WHERE ric IS NOT NULL GROUP BY formula_id),
 cx AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in _SIZES.items())}) t(formula_id, complexity)),
-f AS (SELECT *, CASE WHEN abs(size_corr) > 0.95 THEN 'size_factor' WHEN coalesce(n_folds, 0) < 2 THEN 'insufficient' ELSE 'ok' END AS status FROM cx LEFT JOIN sc USING (formula_id) LEFT JOIN per USING (formula_id))
-SELECT formula_id, status, round(mean_ric, 6) + 0.0 AS mean_ric, round(CASE WHEN status = 'ok' THEN mean_ric - 0.5 * std_ric - 0.001 * complexity - 0.5 * greatest(0.0, abs(size_corr) - 0.3) ELSE -1e9 END, 6) AS fitness, pos_folds, n_folds,
+f AS (SELECT *, CASE WHEN abs(size_corr) > 0.95 THEN 'size_factor' WHEN coalesce(n_folds, 0) < 2 THEN 'insufficient' ELSE 'ok' END AS status FROM cx LEFT JOIN sc USING (formula_id) LEFT JOIN per USING (formula_id))"""
+_FIT = f"""WITH {_FITTED} SELECT formula_id, status, round(mean_ric, 6) + 0.0 AS mean_ric, round(CASE WHEN status = 'ok' THEN mean_ric - 0.5 * std_ric - 0.001 * complexity - 0.5 * greatest(0.0, abs(size_corr) - 0.3) ELSE -1e9 END, 6) AS fitness, pos_folds, n_folds,
 CASE WHEN status = 'size_factor' THEN 'Size-Factor' WHEN coalesce(n_folds, 0) = 0 THEN '—' WHEN pos_folds / CAST(n_folds AS DOUBLE) >= 0.8 AND mean_ric >= 0.005 THEN 'Stable' WHEN pos_folds / CAST(n_folds AS DOUBLE) >= 0.6 AND mean_ric > 0 THEN 'Unstable' WHEN mean_ric <= 0 OR pos_folds / CAST(n_folds AS DOUBLE) < 0.4 THEN 'Invalid' ELSE 'Overfit' END AS verdict FROM f"""
 
 
@@ -145,7 +166,12 @@ def wf_fitness(spark, d):
     return rounded(out.select("formula_id", "status", "mean_ric", "fitness", "pos_folds", "n_folds", "verdict"), "mean_ric", "fitness")
 
 
-@query("purged_folds")
+#: weeks start on Mondays, so five business days before one are seven days
+_PURGED = """days0 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)), edges AS (SELECT CAST(k AS INTEGER) AS fold, floor(n * k / 5.0) AS a, floor(n * (k + 1) / 5.0) AS b, n FROM range(5) t(k), (SELECT max(n) AS n FROM days0)), cut AS (SELECT fold, a, b, (SELECT date FROM days0 WHERE i = a) AS first_test, (SELECT date FROM days0 WHERE i = b - 1) AS last_test, (SELECT date FROM days0 WHERE i = least(edges.n - 1, b - 1 + 3)) AS after FROM edges)
+SELECT fold, 'test' AS role, date FROM cut JOIN days0 ON i >= a AND i < b UNION ALL SELECT fold, 'train', date FROM cut JOIN days0 ON date <= first_test - INTERVAL 7 DAY OR date > greatest(after, last_test)"""
+
+
+@query("purged_folds", f"WITH {WEEKLY}, {_PURGED}")
 def purged_folds(spark, d):
     days = sorted(r.date for r in weekly(spark, d).select("date").distinct().collect())
     rows = [(f["fold"], role, x) for f in ic.purged_folds(days, 5) for role in ("test", "train") for x in f[role]]
@@ -227,14 +253,14 @@ def label_stats(spark, d):
 
 def meta_rows(spark, d):
     panel = ic.factor_ranks(ic.factors(with_ret(monthly(spark, d))))
-    rows = evaluate(panel, {"signal": POOL["trend"]})
+    rows = clip(evaluate(panel, {"signal": POOL["trend"]}), ["signal"])
     tb = barrier(spark, d).select("ticker", "date", F.col("label").alias("tb_label"))
     return regime.meta_dataset(regime.attach(rows.join(tb, ["ticker", "date"], "left"), regimes(spark, d)))
 
 
 @query(
     "meta_features",
-    f"""WITH {_TB}, {RET}, {_REGIME}, b AS (SELECT ticker, date, ret, coalesce(lx - CASE WHEN count(lx) {frame(6)} = 6 THEN avg(lx) {frame(6)} END, 0.0) AS signal FROM rets),
+    f"""WITH {_TB}, {RET}, {_REGIME}, b0 AS (SELECT 0 AS one, ticker, date, ret, coalesce(lx - CASE WHEN count(lx) {frame(6)} = 6 THEN avg(lx) {frame(6)} END, 0.0) AS signal FROM rets), {_CLIP.format('b', 'b0', 'one')},
 k AS (SELECT date, {_AVG.format('date', 'signal')} AS rs, {_AVG.format('date', 'ret')} AS ry FROM b WHERE ret IS NOT NULL),
 ics AS (SELECT date, {_IC.format('rs', 'ry')} AS ic FROM k GROUP BY date),
 rec AS (SELECT date, CASE WHEN count(ic) OVER v >= 5 THEN avg(ic) OVER v END AS recent_ic FROM ics WINDOW v AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
@@ -270,7 +296,7 @@ def hmm_filtered_probs(spark, d):
     return regime.hmm_probabilities(scaled, names, model)
 
 
-@query("signal_pool")
+@query("signal_pool", f"WITH {_POOL_SQL} SELECT formula_id, ticker, date, round(signal, 6) + 0.0 AS signal FROM s")
 def signal_pool(spark, d):
     return rounded(signals(monthly(spark, d), POOL), "signal")
 

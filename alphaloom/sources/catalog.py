@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 CATALOG = """formula string, ast string, ast_schema int, ic double, rank_ic double, adj_ic double, source string,
 discovered_at string, updated_at string, split_date string, max_k int, population int, mcts_iters int, complexity int,
@@ -16,6 +20,19 @@ backtests map<string,struct<net_return:double,ir:double,mdd:double,annual:double
 regime_champion_for int, live boolean, deactivated_at string, _schema int"""
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); on one machine without it a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("alphaloom.core.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="alphaloom-core-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
+        spark.conf.set("alphaloom.core.dir", found)
+    return found.rstrip("/")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records of any version; what older ones lack takes its default. A broken file is an error."""
     raw = spark.read.schema(CATALOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -62,14 +79,82 @@ def flatten(catalog: DataFrame) -> DataFrame:
     return catalog.select(*out)
 
 
+class Catalog:
+    """The formula catalogue in a folder: versions of records that only grow, the newest of each formula valid.
+
+    A write is new Parquet files that Spark commits at once, so a reader sees a whole batch or none of it, and a
+    failed write leaves nothing. ``seq`` numbers the writes; of a formula's versions the last written is valid.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> DataFrame:
+        schema = StructType([*self.spark.createDataFrame([], CATALOG).schema.fields, StructField("seq", LongType())])
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/versions")
+
+    def read(self) -> DataFrame:
+        """One record per formula, defaults in place."""
+        return latest(self.versions(), at="seq").drop("seq")
+
+    def upsert(self, rows: DataFrame) -> None:
+        """New versions of the records in ``rows`` (any of the catalogue's columns; what they lack is kept from before)."""
+        now = self.versions()
+        seq = (now.agg(F.max("seq")).first()[0] or 0) + 1
+        before = latest(now, at="seq").drop("seq")
+        columns = [c for c in before.columns if c != "formula"]
+        # no catalogue is larger than what mining accepted, so both sides are small
+        j = rows.select("formula", *[F.col(c).alias(f"__{c}") for c in rows.columns if c != "formula"]).join(before, "formula", "left")
+        value = {c: F.coalesce(F.col(f"__{c}").cast(before.schema[c].dataType), F.col(c)) if c in rows.columns else F.col(c) for c in columns}
+        value["live"] = F.coalesce(value["live"], F.lit(True))
+        value["source"] = F.coalesce(value["source"], F.lit("unknown"))
+        out = j.select("formula", *[v.alias(c) for c, v in value.items()]).withColumn("_schema", F.lit(5)).withColumn("seq", F.lit(seq).cast("bigint"))
+        out.write.mode("append").parquet(f"{self.path}/versions")
+
+    def deactivate(self, formulas: DataFrame, at: str) -> None:
+        """The named formulas are no longer live from ``at`` on."""
+        known = self.read().select("formula")
+        self.upsert(formulas.select("formula").distinct().join(known, "formula", "left_semi").select("formula", F.lit(False).alias("live"), F.lit(at).alias("deactivated_at")))
+
+    def snapshot(self, day: str, keep: int = 7) -> None:
+        """The valid records as they are, once a day; the oldest beyond ``keep`` go."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = sorted(x.getPath().getName() for x in fs.listStatus(root)) if fs.exists(root) else []
+        if f"day={day}" in there:
+            return
+        self.read().write.parquet(f"{self.path}/snapshots/day={day}")
+        for name in sorted([*there, f"day={day}"])[:-keep]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots/{name}"), True)
+
+    def export(self, path: str) -> None:
+        """The valid records as CSV with plain columns."""
+        flatten(self.read()).write.mode("overwrite").option("header", True).csv(path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Ledgers only grow: new rows are new files."""
     rows.write.mode("append").parquet(path)
 
 
 def replay_buffer(samples: DataFrame, cap: int = 10_000) -> DataFrame:
-    """The newest ``cap`` of samples(ast, ic, visits, seq)."""
-    return samples.orderBy(F.desc("seq")).limit(cap)
+    """The newest ``cap`` of samples(ast, ic, visits, seq); of equal ``seq`` the lower ``ast``."""
+    return samples.orderBy(F.desc("seq"), "ast").limit(cap)
+
+
+def put_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small state (a model, a switch) as a text file, replaced as a whole."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect()).strip() or None
 
 
 class KillSwitch:

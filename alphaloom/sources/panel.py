@@ -58,8 +58,10 @@ def next_return() -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows win over old ones with their keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+    """New rows win over old ones with their keys; of several new rows with one key, the greatest by their other columns."""
+    others = [F.col(c) for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row")).select(*keys, "__row.*") if others else new.distinct()
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def split_date(panel: DataFrame, share: float = 0.7):
@@ -79,6 +81,38 @@ def benchmark(panel: DataFrame) -> DataFrame:
     return panel.groupBy("date").agg((F.sum(F.col("pclose") * F.col("vlot")) / F.sum("vlot")).alias("close"))
 
 
+def read_benchmark(spark: SparkSession, *paths: str) -> DataFrame:
+    """(date, close) from the first of ``paths`` that is there (Parquet, or CSV with a header), by its first known price column."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            continue
+        rows = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+        price = next((c for c in ("Close", "Pclose", "close", "CLOSE") if c in rows.columns), None)
+        day = next((c for c in ("Date", "date") if c in rows.columns), None)
+        if price and day:
+            return rows.select(F.to_date(F.col(day)).alias("date"), F.col(price).cast("double").alias("close"))
+    raise FileNotFoundError(f"no benchmark with a date and a price in {', '.join(paths)}")
+
+
+def require_fresh(panel: DataFrame, today, days: int = 3) -> None:
+    """An error where the panel's last date is more than ``days`` days before ``today`` (or there is none)."""
+    last = panel.agg(F.max("date")).first()[0]
+    if last is None or (today - last).days > days:
+        raise RuntimeError(f"SAFE_MODE: the last date is {last}, today is {today}")
+
+
+def returns_by_code(prices: DataFrame, codes: list[str]) -> DataFrame:
+    """``prices(date, code, price)`` -> one row per date with ``<code>_RET``, each price over the code's one before.
+
+    Returns are made in long form, a window per code; the columns of the named codes are only how they are shown.
+    Of several prices on a date the greatest counts; a date without a price of a code has a null.
+    """
+    one = prices.groupBy("code", "date").agg(F.max("price").alias("price"))
+    r = one.select("date", "code", (F.try_divide(F.col("price"), F.lag("price").over(Window.partitionBy("code").orderBy("date"))) - 1).alias("r"))
+    return r.groupBy("date").agg(*[F.max(F.when(F.col("code") == c, F.col("r"))).alias(f"{c}_RET") for c in codes])
+
+
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str]) -> DataFrame:
     """Each left row with the latest right values at or before it: a union and one window, one shuffle by ``by``.
 

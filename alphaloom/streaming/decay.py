@@ -48,11 +48,13 @@ def upsert_sink(path: str, keys: list[str]):
     """A foreachBatch function that keeps one row per key: the batch's rows win over those stored.
 
     Each batch is written beside the stored table and the reader takes the newest version, so a repeated batch
-    changes nothing.
+    changes nothing. Of a batch's rows with one key the greatest by its other columns, in their order, is kept.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(keys).withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        others = [c for c in batch.columns if c not in keys]
+        one = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row")).select(*keys, "__row.*")
+        one.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
