@@ -131,30 +131,25 @@ def demean_by_size(rows: DataFrame, value: str = "signal", size: str = "size") -
 
 
 def folds(dates: list[dt.date], n: int = 5, embargo: int = 3, least: int = 60) -> list[tuple[int, list[dt.date]]]:
-    """Consecutive test folds of sorted distinct dates, ``embargo`` days cut at inner edges; short folds are left out."""
+    """Consecutive test folds of sorted distinct dates, ``embargo`` days cut at both ends of each; short folds are left out."""
     total = len(dates)
     if total < n * least:
         n = max(2, total // max(1, least))
     edges = np.linspace(0, total, n + 1).astype(int)
     out = []
     for k in range(n):
-        a, b = edges[k] + (embargo if k else 0), edges[k + 1] - (embargo if k < n - 1 else 0)
+        a, b = edges[k] + embargo, edges[k + 1] - embargo
         if b - a >= least:
             out.append((k, dates[a:b]))
     return out
 
 
-def purged_folds(dates: list[dt.date], n: int = 5, purge: int = 5, embargo: int = 3) -> list[dict]:
-    """Test folds with the training dates left after purging business days before, and embargoed days after, the test."""
-    edges = np.linspace(0, len(dates), n + 1).astype(int)
+def purged_folds(dates: list[dt.date], n: int = 5, purge: int = 10, embargo: int = 5, least: int = 20) -> list[dict]:
+    """The same test folds with their training dates: those ``purge`` business days before the test and earlier, and those after it."""
     out = []
-    for k in range(n):
-        test = dates[edges[k] : edges[k + 1]]
-        if not test:
-            continue
+    for k, test in folds(dates, n, embargo, least):
         limit = np.busday_offset(np.datetime64(test[0]), -purge, roll="backward").astype(object)
-        after = dates[min(len(dates) - 1, edges[k + 1] - 1 + embargo)]
-        out.append({"fold": k, "test": test, "train": [d for d in dates if d <= limit or d > max(after, test[-1])]})
+        out.append({"fold": k, "test": test, "train": [d for d in dates if d <= limit or d > test[-1]]})
     return out
 
 

@@ -83,16 +83,28 @@ def against_benchmark(returns: DataFrame, bench: DataFrame, keys: tuple[str, ...
     return a.select(*keys, "days", F.when(some, (F.col("g") - F.col("bg")) * 100).alias("excess"), F.when(some, F.coalesce(F.try_divide(F.col("m"), F.col("s")) * F.sqrt(F.lit(252.0)), F.lit(0.0))).alias("alpha_ir"), F.when(some, F.try_divide(F.col("c"), F.col("v"))).alias("beta"))
 
 
-def vol_scale(panel: DataFrame, target: float = 0.15, low: float = 0.1, high: float = 3.0) -> DataFrame:
-    """(ticker, date, scale): yesterday's target volatility over the larger of the 20-row and the weighted one, 1 where unknown."""
-    r = panel.select("ticker", "date", (F.try_divide(F.col("pclose"), F.lag("pclose").over(ts())) - 1).alias("r"))
+def scale_of(returns: DataFrame, target: float = 0.15, low: float = 0.1, high: float = 3.0) -> DataFrame:
+    """``returns(ticker, date, r)`` -> (ticker, date, scale): target volatility over the one known the row before.
+
+    That is the larger of the 20-row deviation and the weighted one; where there is none, or it is 0, the scale is 1.
+    """
     rolling = full(F.col("r"), 20, F.stddev_samp("r").over(last_rows(20)), least=5)
-    v = r.select("ticker", "date", (F.greatest(rolling, ewm_std(F.col("r"), 5, ts())) * F.sqrt(F.lit(252.0))).alias("v"))
-    # no known deviation, or none at all: as it is
+    v = returns.select("ticker", "date", (F.greatest(rolling, ewm_std(F.col("r"), 5, ts())) * F.sqrt(F.lit(252.0))).alias("v"))
     s = v.select("ticker", "date", F.when(F.col("v") > 0, F.greatest(F.lit(low), F.least(F.lit(high), target / F.col("v")))).otherwise(1.0).alias("s"))
     return s.select("ticker", "date", F.coalesce(F.lag("s").over(ts()), F.lit(1.0)).alias("scale"))
 
 
+def vol_scale(panel: DataFrame, target: float = 0.15, low: float = 0.1, high: float = 3.0) -> DataFrame:
+    """The scale of each ticker and date from the returns of its closes."""
+    return scale_of(panel.select("ticker", "date", (F.try_divide(F.col("pclose"), F.lag("pclose").over(ts())) - 1).alias("r")), target, low, high)
+
+
+def vol_targeted(rows: DataFrame, target: float = 0.15, low: float = 0.1, high: float = 3.0) -> DataFrame:
+    """``rows`` for a simulation with each return times its ticker's scale (see ``scale_of``), made of those returns."""
+    one = rows.groupBy("ticker", "date").agg(F.max("ret").alias("r"))  # a pool's formulas share their returns
+    return rows.join(scale_of(one, target, low, high), ["ticker", "date"]).withColumn("ret", F.col("ret") * F.col("scale")).drop("scale")
+
+
 def slippage_bps(gamma: Column, sigma: Column, value: Column, adv: Column, fallback: float = 10.0) -> Column:
     """Square-root impact in basis points; the fallback where an input is missing or not positive."""
     part = F.greatest(F.try_divide(value, adv), F.lit(1e-4))

@@ -46,6 +46,14 @@ def backtest_metrics(spark, d):
     return rounded(out, "net_return", "ir", "mdd", "annual", digits=4)
 
 
+@query("backtest_risk")
+def backtest_risk(spark, d):
+    """The same portfolio with returns at target volatility, and slippage by volatility and traded value."""
+    slip = simulate.unit_slippage(monthly(spark, d)).withColumn("slip", F.col("slip") / 1e4)
+    rows = simulate.vol_targeted(pool_rows(spark, d).join(slip, ["ticker", "date"]))
+    return rounded(simulate.topk_dropout(rows, 5, 1), "ret")
+
+
 @query("backtest_walk_forward")
 def backtest_walk_forward(spark, d):
     panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))

@@ -132,7 +132,7 @@ def _folds(spark, d, n=4, embargo=1, least=10):
 
 
 _FOLDS = f"""days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)),
-folds AS (SELECT k AS fold, date FROM days, range(4) AS t(k) WHERE i >= floor(n * k / 4.0) + CASE WHEN k > 0 THEN 1 ELSE 0 END AND i < floor(n * (k + 1) / 4.0) - CASE WHEN k < 3 THEN 1 ELSE 0 END)"""
+folds AS (SELECT k AS fold, date FROM days, range(4) AS t(k) WHERE i >= floor(n * k / 4.0) + 1 AND i < floor(n * (k + 1) / 4.0) - 1)"""
 
 
 @query("wf_folds", f"WITH {MONTHLY}, {_FOLDS} SELECT CAST(fold AS INTEGER) AS fold, date FROM folds")
@@ -166,15 +166,15 @@ def wf_fitness(spark, d):
     return rounded(out.select("formula_id", "status", "mean_ric", "fitness", "pos_folds", "n_folds", "verdict"), "mean_ric", "fitness")
 
 
-#: weeks start on Mondays, so five business days before one are seven days
-_PURGED = """days0 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)), edges AS (SELECT CAST(k AS INTEGER) AS fold, floor(n * k / 5.0) AS a, floor(n * (k + 1) / 5.0) AS b, n FROM range(5) t(k), (SELECT max(n) AS n FROM days0)), cut AS (SELECT fold, a, b, (SELECT date FROM days0 WHERE i = a) AS first_test, (SELECT date FROM days0 WHERE i = b - 1) AS last_test, (SELECT date FROM days0 WHERE i = least(edges.n - 1, b - 1 + 3)) AS after FROM edges)
-SELECT fold, 'test' AS role, date FROM cut JOIN days0 ON i >= a AND i < b UNION ALL SELECT fold, 'train', date FROM cut JOIN days0 ON date <= first_test - INTERVAL 7 DAY OR date > greatest(after, last_test)"""
+#: weeks start on Mondays, so ten business days before one are fourteen days
+_PURGED = """days0 AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)), edges AS (SELECT CAST(k AS INTEGER) AS fold, floor(n * k / 5.0) + 2 AS a, floor(n * (k + 1) / 5.0) - 2 AS b FROM range(5) t(k), (SELECT max(n) AS n FROM days0)), cut AS (SELECT fold, a, b, (SELECT date FROM days0 WHERE i = a) AS first_test, (SELECT date FROM days0 WHERE i = b - 1) AS last_test FROM edges WHERE b - a >= 10)
+SELECT fold, 'test' AS role, date FROM cut JOIN days0 ON i >= a AND i < b UNION ALL SELECT fold, 'train', date FROM cut JOIN days0 ON date <= first_test - INTERVAL 14 DAY OR date > last_test"""
 
 
 @query("purged_folds", f"WITH {WEEKLY}, {_PURGED}")
 def purged_folds(spark, d):
     days = sorted(r.date for r in weekly(spark, d).select("date").distinct().collect())
-    rows = [(f["fold"], role, x) for f in ic.purged_folds(days, 5) for role in ("test", "train") for x in f[role]]
+    rows = [(f["fold"], role, x) for f in ic.purged_folds(days, 5, 10, 2, 10) for role in ("test", "train") for x in f[role]]
     return spark.createDataFrame(rows, "fold int, role string, date date")
 
 

@@ -105,7 +105,7 @@ def test_folds():
     days = [d.date() for d in pd.bdate_range("2020-01-01", periods=300)]
     found = ic.folds(days, 5, 3, 20)
     flat = [d for _, f in found for d in f]
-    assert len(found) == 5 and len(flat) == len(set(flat)) == 300 - 8 * 3
+    assert len(found) == 5 and len(flat) == len(set(flat)) == 300 - 10 * 3
     for f in ic.purged_folds(days, 5, 5, 3):
         assert not set(f["test"]) & set(f["train"])
         before = [d for d in f["train"] if d < f["test"][0]]
