@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import with_columns
 
 
 _BYTES = [bytes((b,)) for b in range(256)]
@@ -303,6 +303,7 @@ class Codec:
     def rest(self) -> None:
         """Forgets all that was remembered, for other work that follows in this process."""
         self.older, self.units = {}, {}
+        self.fst._joins.clear()
         self.fst._reset()
 
 
@@ -317,6 +318,7 @@ def working(rank_path: str, pattern: str, release: bool):
         gc.enable()
         if release:
             c.rest()
+            gc.collect()
 
 
 @lru_cache(maxsize=2)
@@ -333,29 +335,20 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
     rows may repeat; an empty table gives an empty table. With ``release`` a task leaves nothing remembered in its
     Python worker, which costs the next task some time and leaves the memory to other stages.
     """
-    kept = [c for c in docs.columns if c not in (ids, decoded)]
-    src = docs.select(*kept, F.col(text).cast("string").alias(f"{OWN}text"))
-    made = [f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])]
 
-    def run(batches):
+    def run(parts):
         with working(rank_path, pattern, release) as c:
-            yield from made_of(c, batches)
-
-    def made_of(c, batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                all_ids = [c.encode(t.as_py()) for t in b.column(b.num_columns - 1)]
+            for _, texts in parts:
+                all_ids = [c.encode(t.as_py()) for t in texts]
                 ends = np.cumsum([0, *map(len, all_ids)], dtype=np.int32)
                 flat = np.fromiter(chain.from_iterable(all_ids), np.int32, int(ends[-1]))
-                cols = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded:
-                    cols.append(pa.array([c.decode(x) for x in all_ids], pa.string()))
+                    made.append(pa.array([c.decode(x) for x in all_ids], pa.string()))
                 c.trim()
-                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], ids, *([decoded] if decoded else [])])
+                yield made
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), *made])
-    return src.mapInArrow(run, schema)
+    return with_columns(docs, text, {ids: "array<int>", **({decoded: "string"} if decoded else {})}, run)
 
 
 def decode(rows: DataFrame, rank_path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 SCHEMA = "bucket int, kind string, payload binary"
 NAMES = ["bucket", "kind", "payload"]
 
@@ -47,6 +49,8 @@ def per_bucket(rows: DataFrame, f: Callable[[pa.Table], list[tuple[int, str, byt
     """Applies ``f`` to each bucket's packed rows; it returns packed rows again."""
 
     def run(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([as_batch(f(group))])
+        out = pa.Table.from_batches([as_batch(f(group))])
+        give_back()
+        return out
 
     return rows.groupBy("bucket").applyInArrow(run, SCHEMA)

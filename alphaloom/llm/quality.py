@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import slices, with_columns
 from .toxicity import sample
 
 #: Bins of each line feature: edges of the value's ranges.
@@ -62,24 +62,34 @@ def lines_of(text: str | None) -> list[bytes]:
     return found or [b""]
 
 
-def featurize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of every line (lines x features), lines per document, bytes per line."""
-    values, sizes, counts = [], [], []
+def featurize(texts: list[str | None], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers (16 bits) of every line (lines x features), lines per document, bytes per line."""
+    made, sizes, counts = [], [], []
+    values: list[tuple] = []
+
+    def binned():
+        table = np.array(values, float).reshape(-1, len(EDGES))
+        made.append(np.stack([np.searchsorted(e, table[:, k], side="right") + k * WIDTH for k, e in enumerate(EDGES)], axis=1).astype(np.int16))
+        values.clear()
+
     for text in texts:
         lines = lines_of(text)
         times = Counter(lines)
-        values += [line_values(x, times[x]) for x in lines]
+        for x in lines:
+            values.append(line_values(x, times[x]))
+            if len(values) >= at_once:
+                binned()
         sizes += [max(1, len(x)) for x in lines]
         counts.append(len(lines))
-    table = np.array(values, float).reshape(-1, len(EDGES))
-    bins = np.stack([np.searchsorted(e, table[:, k], side="right") + k * WIDTH for k, e in enumerate(EDGES)], axis=1)
+    binned()
+    bins = np.concatenate(made)
     counts = np.array(counts, np.int64)
     first = np.cumsum(counts) - counts
-    none = np.arange(len(EDGES)) * WIDTH + WIDTH - 1
+    none = (np.arange(len(EDGES)) * WIDTH + WIDTH - 1).astype(np.int16)
     before, after = np.roll(bins, 1, axis=0), np.roll(bins, -1, axis=0)
     before[first], after[first + counts - 1] = none, none
-    constant = np.full((len(bins), 1), FEATURES - 1)
-    return np.concatenate([bins, before + OWN_BINS, after + 2 * OWN_BINS, constant], axis=1), counts, np.array(sizes, float)
+    constant = np.full((len(bins), 1), FEATURES - 1, np.int16)
+    return np.concatenate([bins, before + np.int16(OWN_BINS), after + np.int16(2 * OWN_BINS), constant], axis=1), counts, np.array(sizes, float)
 
 
 @dataclass
@@ -89,8 +99,8 @@ class Model:
     weights: np.ndarray
     moves: np.ndarray
 
-    def marginals(self, odds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward over all documents at once, line by line: P(good) per line, pair marginals summed, log partition per document."""
+    def marginals(self, odds: np.ndarray, counts: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """Forward-backward over all documents at once, line by line: P(good) per line, pair marginals if asked for, log partition per document."""
         order = np.argsort(-counts, kind="stable")
         first = (np.cumsum(counts) - counts)[order]
         n = counts[order]
@@ -111,6 +121,8 @@ class Model:
         total[order] = np.logaddexp(fore[ends, 0], fore[ends, 1])
         line_total = np.repeat(total, counts)
         good = np.exp(np.minimum(0, fore[:, 1] + back[:, 1] - line_total))
+        if not pairs:
+            return good, None, total
         inner = np.ones(len(odds), bool)
         inner[np.cumsum(counts) - 1] = False
         a = np.flatnonzero(inner)
@@ -118,25 +130,24 @@ class Model:
         return good, pair, total
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, steps: int = 120, l2: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_lines: int = 2_000, steps: int = 120, l2: float = 1e-3) -> Model:
     """Fits the field from document labels: a labelled document's lines all carry its label.
 
     ``max_rows`` bounds the labelled documents used (at most half of each class, smallest hash of the id first,
-    weighted back to the classes' shares; documents of over 2,000 lines are left out of the fit). Features are
-    made on the executors; the bounded matrix is fitted by gradient ascent on the conditional likelihood.
+    weighted back to the classes' shares) and ``max_lines`` the lines that each of them gives to the fit (the
+    first ones; scoring takes all lines of all documents). Features are made on the executors; the bounded matrix is fitted by gradient ascent on the conditional likelihood.
     Without rows of both classes every line is equally likely good or bad.
     """
     rows = sample(docs, labels, "quality", max_rows)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            feats, counts, _ = featurize(texts)
+        for b in (part for whole in batches for part in slices(whole, 0)):
+            feats, counts, _ = featurize(b.column(0).to_pylist())
             ends = np.cumsum(counts)
-            cols = [pa.array([feats[e - n : e].astype(np.int16).tobytes() if n <= 2000 else None for e, n in zip(ends, counts)], pa.binary())]
+            cols = [pa.array([feats[e - n : e - n + min(n, max_lines)].tobytes() for e, n in zip(ends, counts)], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *cols], names=["y", "weight", "feats"])
 
-    data = [r for r in rows.select("text", F.col("y").cast("int").alias("y"), "weight").mapInArrow(run, "y int, weight double, feats binary").collect() if r.feats is not None]
+    data = rows.select("text", F.col("y").cast("int").alias("y"), "weight").mapInArrow(run, "y int, weight double, feats binary").collect()
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)))
     if len({r.y for r in data}) < 2:
         return model
@@ -177,19 +188,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shuffle; whole texts. Other columns pass through, but for those named like the new ones; rows may repeat;
     an empty table gives an empty table.
     """
-    made = ("quality", "bad_lines")
-    src = docs.select(*[c for c in docs.columns if c not in made], F.col(text).cast("string").alias(f"{OWN}text"))
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                feats, counts, sizes = featurize(b.column(b.num_columns - 1).to_pylist())
-                good, _, _ = model.marginals(model.weights[feats].sum(axis=1), counts)
-                first = np.cumsum(counts) - counts
-                quality = np.add.reduceat(good * sizes, first) / np.add.reduceat(sizes, first)
-                bad = [np.flatnonzero(good[f : f + n] < 0.5).tolist() for f, n in zip(first, counts)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.clip(quality, 0, 1)), pa.array(bad, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], *made])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "quality double, bad_lines array<int>"])
-    return src.mapInArrow(run, schema)
+    def run(parts):
+        for _, texts in parts:
+            feats, counts, sizes = featurize(texts.to_pylist())
+            odds = np.concatenate([model.weights[feats[x : x + 20_000]].sum(axis=1) for x in range(0, len(feats), 20_000)])
+            good, _, _ = model.marginals(odds, counts, pairs=False)
+            first = np.cumsum(counts) - counts
+            quality = np.add.reduceat(good * sizes, first) / np.add.reduceat(sizes, first)
+            bad = [np.flatnonzero(good[f : f + n] < 0.5).tolist() for f, n in zip(first, counts)]
+            yield [pa.array(np.clip(quality, 0, 1)), pa.array(bad, pa.list_(pa.int32()))]
+
+    return with_columns(docs, text, {"quality": "double", "bad_lines": "array<int>"}, run)

@@ -123,7 +123,7 @@ def _repeats(order, classes, key, text_hash, start):
     return order[~same], order[new]
 
 
-def _parts(batch: pa.RecordBatch, most: int = 8 << 20):
+def _parts(batch: pa.RecordBatch, most: int = 4 << 20):
     """A batch in slices of some megabytes of text (a longer text alone)."""
     ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -316,14 +316,28 @@ def _spans(runs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 5_000) -> DataFrame:
+def _whole_characters(spans: list[tuple[int, int]], t: bytes) -> list[tuple[int, int]]:
+    """Spans without the UTF-8 characters that they cover in part."""
+    out = []
+    for a, b in spans:
+        while a < b and t[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(t) and t[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 5_000, whole_characters: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``spans`` (array of (start, end)) and ``kept`` (the bytes left).
 
     A byte goes if a string of 100 bytes over it also starts earlier: in a document of smaller id, or earlier
     in its own. Overlaps count; strings are judged on the input. Texts are whole UTF-8 bytes, null is empty,
     and nothing matches across documents. A null id orders after all others; rows with one id are ordered by a
     hash of their texts, and rows equal in both are one document, so that a repeated row keeps what the row
-    itself keeps. Columns pass through, but for those named like the new ones; an empty table stays empty.
+    itself keeps. With ``whole_characters`` a character that a span covers in part stays, so ``kept`` is text again.
+    Columns pass through, but for those named like the new ones; an empty table stays empty.
 
     A string's least q-gram (by hash) is the same wherever the string stands, so strings meet by that q-gram:
     the strings of about 38 starts in a row travel as one run. Copies of a run are settled by one hash of all
@@ -335,7 +349,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "suffix")
     src = docs.select(F.col(doc_id).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
     total = src.agg(F.sum(F.length("raw"))).first()[0] or 0
-    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (32 << 20)))
+    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 << 20)))
     matched = scratch.keep(per_bucket(src.mapInArrow(sample_runs(buckets), SCHEMA), match_runs(buckets, hot)), "matched")
 
     def pack(batches):
@@ -370,6 +384,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         spans, kept = [], []
         for k, h, t in zip(key.tolist(), text_hash.tolist(), raw):
             found = _spans(runs[(k, h)], len(t)) if (k, h) in runs else []
+            if whole_characters:
+                found = _whole_characters(found, t)
             at = [0, *(x for ab in found for x in ab), len(t)]
             spans.append([{"start": a, "end": b} for a, b in found])
             kept.append(b"".join(t[a:b] for a, b in zip(at[::2], at[1::2])) if found else t)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,21 +11,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, held_out
+from .common import held_out, slices, with_columns
 
 SENTENCE_END = r"[.!?\n]+"
 WORD = r"[^\W\d_]+"
+STEMS = (3, 4, 5, 6, 7)  # lengths of the beginnings of words that are features too, so that inflected forms count
+
+
+def features(word: str) -> list[str]:
+    """What a word stands for: itself and its beginnings."""
+    return [word, *(word[:k] + "-" for k in STEMS if len(word) > k)]
 
 
 @dataclass
 class Model:
-    """``bias`` is the score of a sentence without known words; ``weights`` has the learned words."""
+    """``bias`` is the score of a sentence without known words; ``weights`` has the learned features of words."""
 
     bias: float = -12.0
     weights: dict[str, float] = field(default_factory=dict)
 
-    def sentence(self, words) -> float:
-        return self.bias + sum(self.weights.get(w, 0.0) for w in set(words))
+    def word(self, word: str) -> float:
+        return sum(self.weights.get(f, 0.0) for f in features(word))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
@@ -32,7 +39,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> Dat
 
     At most ``max_rows / 2`` rows of each class, those with the smallest hash of their id; ``weight`` restores
     the classes' shares. Rows whose label or id is null, and ids without a text, take no part. The sample's ids
-    are at most ``max_rows`` longs, so they are broadcast.
+    are at most ``max_rows`` longs, so they are broadcast. A labelled id that several rows of ``docs`` share counts
+    once, with the least of its texts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -42,48 +50,93 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> Dat
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionAll(p)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y", "weight")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y", "weight").agg(F.min("text").alias("text")).select("text", "y", "weight")
+
 
+def lexicon(rows: DataFrame, least: int, excess: float) -> list[str]:
+    """Features that stand in toxic documents more often than chance: by ``excess`` standard deviations or more.
 
-def lexicon(rows: DataFrame, size: int, least: int) -> list[str]:
-    """Words that set the classes apart, counted over distinct sentences so that copies of a document count once."""
-    sentences = rows.select("y", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), SENTENCE_END)).alias("s")).distinct()
-    words = sentences.select("y", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(r"(\p{L}+)"), F.lit(1)))).alias("w"))
-    per = words.groupBy("w").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).where(F.col("n") >= least)
-    total = sentences.agg(F.sum("y"), F.count("*")).first()
-    rate = (total[0] or 0) / max(1, total[1])
-    excess = F.col("pos") - F.col("n") * rate
-    return [r.w for r in per.orderBy(F.desc(F.abs(excess) / F.sqrt(F.col("n") * (rate * (1 - rate) + 1e-9))), "w").limit(size).collect()]
+    Counted over the words of distinct sentences, so that copies of a document count once. The sample's bound and
+    ``least`` bound how many there can be; there is no other cap.
+    """
+
+    def sentences(batches):
+        cut = re.compile(SENTENCE_END)
+        for whole in batches:
+            for b in slices(whole, 0):
+                found = [(s, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in set(cut.split((t or "").lower()))]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], names=["s", "y"])
+
+    def count(batches):
+        word = re.compile(WORD)
+        for whole in batches:
+            for b in slices(whole, 0):
+                n, pos = Counter(), Counter()
+                for s, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    found = set(word.findall(s))
+                    n.update(found)
+                    if y:
+                        pos.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([pos[w] for w in n], pa.int64())], names=["w", "n", "pos"])
+
+    distinct = rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(sentences, "s string, y int").distinct()
+    words = distinct.mapInArrow(count, "w string, n bigint, pos bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).persist()
+    try:
+        total = words.agg(F.sum("pos"), F.sum("n")).first()
+        rate = (total[0] or 0) / max(1, total[1] or 0)
+        of = F.array(F.col("w"), *[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("-"))) for k in STEMS])
+        per = words.select(F.explode(of).alias("f"), "n", "pos").where("f is not null").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+        beyond = (F.col("pos") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1e-9)
+        return sorted(r.f for r in per.where((F.col("n") >= least) & (beyond >= excess)).select("f").collect())
+    finally:
+        words.unpersist()
 
 
-def bags(rows: DataFrame, words: list[str]) -> list:
-    """The sample as (y, weight, sentences, word indices with their sentence's number): bounded by the sample's bound."""
-    at = {w: i for i, w in enumerate(words)}
+def bags(rows: DataFrame, known: list[str]) -> list:
+    """The sample as (y, weight, sentences without a known feature, features with their sentence's number): bounded by the sample's bound."""
+    at = {f: i for i, f in enumerate(known)}
 
     def run(batches):
         cut, word = re.compile(SENTENCE_END), re.compile(WORD)
-        for b in batches:
-            out = []
-            for text in b.column(0):
-                found = [sorted({at[w] for w in word.findall(s) if w in at}) for s in cut.split((text.as_py() or "").lower())]
-                full = [f for f in found if f]
-                out.append((max(1, len(found)) - len(full), [i for f in full for i in f], [k for k, f in enumerate(full) for _ in f]))
-            none, idx, sent = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(none, pa.int32()), pa.array(idx, pa.list_(pa.int32())), pa.array(sent, pa.list_(pa.int32()))], names=["y", "weight", "none", "idx", "sent"])
+        of = Remembered(lambda w: [at[f] for f in features(w) if f in at])
+        heads = {f[:3].rstrip("-") for f in known}
+        for whole in batches:
+            for b in slices(whole, 0):
+                out = []
+                for text in b.column(0):
+                    found = [[i for w in sorted(set(word.findall(s))) if w[:3] in heads for i in of[w]] for s in cut.split((text.as_py() or "").lower())]
+                    full = [f for f in found if f]
+                    out.append((max(1, len(found)) - len(full), [i for f in full for i in f], [k for k, f in enumerate(full) for _ in f]))
+                none, idx, sent = zip(*out) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(none, pa.int32()), pa.array(idx, pa.list_(pa.int32())), pa.array(sent, pa.list_(pa.int32()))], names=["y", "weight", "none", "idx", "sent"])
 
     return rows.select("text", F.col("y").cast("int").alias("y"), "weight").mapInArrow(run, "y int, weight double, none int, idx array<int>, sent array<int>").collect()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, words: int = 512, least: int = 4, steps: int = 400, l2: float = 0.02) -> Model:
-    """Fits word weights and the bias from document labels alone.
+class Remembered(dict):
+    """Values made on first use, remembered up to a bound."""
+
+    def __init__(self, make, bound: int = 200_000):
+        self.make, self.bound = make, bound
+
+    def __missing__(self, key):
+        if len(self) >= self.bound:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
 
-    A sentence is toxic with probability s = sigmoid(bias + weights of its words); a document with
-    1 - prod(1 - s). ``max_rows`` bounds the labelled rows used (documented sample, see ``sample``); the
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least: int = 4, excess: float = 3.0, steps: int = 400, l2: float = 0.02) -> Model:
+    """Fits weights of words and their beginnings, and the bias, from document labels alone.
+
+    A sentence is toxic with probability s = sigmoid(bias + weights of its different words' features); a document
+    with 1 - prod(1 - s). ``max_rows`` bounds the labelled rows used (documented sample, see ``sample``); the
     held-out fifth never takes part. Without rows of both classes the model has no words.
     """
     rows = sample(docs, labels, "toxic", max_rows).persist()
     try:
-        known = lexicon(rows, words, least)
+        known = lexicon(rows, least, excess)
         data = bags(rows, known)
     finally:
         rows.unpersist()
@@ -112,43 +165,42 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, words: int
         g[k] = (dz.sum() + (d * none).sum() / (1 + np.exp(-theta[k]))) / n * 50
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * min(1.0, 4 * (steps - t + 1) / steps)
-    return Model(float(theta[k]), {w: float(x) for w, x in zip(known, theta) if abs(x) > 0.05})
+    return Model(float(theta[k]), {w: float(x) for w, x in zip(known, theta)})
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (double), ``n_sentences``, and ``offending``: sentences whose own score reaches the threshold.
 
-    ``offending`` is an array of (sentence number from 0, its text, its score). One pass, no shuffle. A null or
-    empty text is one empty sentence and scores as the bias alone. Other columns pass through, but for those
-    named like the new ones; rows may repeat; an empty table gives an empty table.
+    ``offending`` is an array of (sentence number from 0, its text, its score). One pass, no shuffle; texts are
+    scored whole, however long. A null or empty text is one empty sentence and scores as the bias alone. Other
+    columns pass through, but for those named like the new ones; rows may repeat; an empty table gives an empty table.
     """
-    made = ("toxicity", "n_sentences", "offending")
-    src = docs.select(*[c for c in docs.columns if c not in made], F.col(text).cast("string").alias(f"{OWN}text"))
-    weights, bias = model.weights, model.bias
+    bias = model.bias
+    kind = pa.list_(pa.struct([("sentence", pa.int32()), ("text", pa.string()), ("score", pa.float64())]))
 
-    def run(batches):
+    def run(parts):
         cut, word = re.compile(SENTENCE_END), re.compile(WORD)
         low = float(np.logaddexp(0, bias))
-        kind = pa.list_(pa.struct([("sentence", pa.int32()), ("text", pa.string()), ("score", pa.float64())]))
-        for b in batches:
+        of = Remembered(model.word)
+        heads = {f[:3].rstrip("-") for f in model.weights}  # a word with other first letters has no weight
+        for _, texts in parts:
             scores, counts, found = [], [], []
-            for value in b.column(b.num_columns - 1):
+            for value in texts:
                 raw = value.as_py() or ""
-                sentences = cut.split(raw)
+                sentences, lowered = cut.split(raw), cut.split(raw.lower())
                 act, bad = 0.0, []
-                for i, s in enumerate(cut.split(raw.lower())):
-                    hit = weights.keys() & word.findall(s)
-                    if not hit:
+                for i, s in enumerate(lowered):
+                    hits = [of[w] for w in set(word.findall(s)) if w[:3] in heads]
+                    if not any(hits):
                         act += low
                         continue
-                    z = bias + sum(weights[w] for w in sorted(hit))
+                    z = bias + sum(sorted(hits))
                     act += float(np.logaddexp(0, z))
                     if (p := 1 / (1 + float(np.exp(-z)))) >= threshold:
                         bad.append({"sentence": i, "text": sentences[i] if i < len(sentences) else s, "score": p})
                 scores.append(-float(np.expm1(-act)))
                 counts.append(len(sentences))
                 found.append(bad)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(counts, pa.int32()), pa.array(found, kind)], names=[*b.schema.names[:-1], *made])
+            yield [pa.array(scores, pa.float64()), pa.array(counts, pa.int32()), pa.array(found, kind)]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "toxicity double, n_sentences int, offending array<struct<sentence:int,text:string,score:double>>"])
-    return src.mapInArrow(run, schema)
+    return with_columns(docs, text, {"toxicity": "double", "n_sentences": "int", "offending": "array<struct<sentence:int,text:string,score:double>>"}, run)
