@@ -58,17 +58,24 @@ def probes(best: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
 
 
 def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For pairs of rows' bucket numbers (pairs, tables, probes): the first (table, bucket) they share with one of them at home, as one number."""
-    met = np.zeros((len(a), a.shape[1]), bool)
-    bucket = np.full((len(a), a.shape[1]), np.iinfo(np.int64).max)
-    for home, other in ((a, b), (b, a)):
-        hit = (home[:, :, :1] == other).any(axis=2)
-        bucket = np.where(hit, np.minimum(bucket, home[:, :, 0]), bucket)
-        met |= hit
-    table = np.argmax(met, axis=1)
+    """For pairs of rows' bucket numbers (pairs, tables, probes): the first (table, bucket) they share, at home or in a probe, as one number."""
+    none = np.iinfo(np.int64).max
+    bucket = np.full((len(a), a.shape[1]), none)
+    for p in range(a.shape[2]):
+        for q in range(b.shape[2]):
+            hit = a[:, :, p] == b[:, :, q]
+            bucket[hit] = np.minimum(bucket[hit], a[:, :, p][hit])
+    table = np.argmax(bucket < none, axis=1)
     return table * (1 << 40) + bucket[np.arange(len(a)), table]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; divided by their largest component first, so that squares neither vanish nor overflow."""
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def cell_links(ids, copies, x, buckets, here: int, chunk, pair, threshold: float):
     """Verified links inside one cell: (id, links to vectors of this cell's first meetings, id it hangs on)."""
     if pair[0] == pair[1]:
@@ -105,9 +112,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     copies costs one row. Repeated ids are one id in components, and each row counts as a vector; a null id has
     a null component unless others are linked to it. Other columns are ignored; an empty table stays empty.
 
-    Candidates share a bucket of one of ``tables`` tables, one of them at home and the other at home or in a
-    probe; all candidates are verified, so no link below the threshold is given, and recall is what hashing
-    finds (tests hold it against brute force). A bucket with over ``crowded`` vectors is compared in blocks
+    Candidates share a bucket of one of ``tables`` tables, each at home or in a probe; all candidates are verified, so no link below the threshold is given, and recall is what hashing
+    finds (tests hold it against brute force). Vectors travel in the precision they have (``array<float>`` at half the
+    bytes of doubles), bucket numbers as two vertices of each polytope. A bucket with over ``crowded`` vectors is compared in blocks
     that are tasks of their own. A pair counts only where it meets first, so no list of pairs is made.
     """
     scratch = Scratch(vectors.sparkSession, "embeddings")
@@ -122,6 +129,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
         "nodes",
     )
     width = 1 << 12
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind = np.dtype("<f4") if single else np.dtype("<f8")
 
     def place(batches):
         for b in batches:
@@ -132,11 +141,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
             for dim in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dim)
                 x = np.stack([flat[ends[r] - dim : ends[r]] for r in rows])
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                all_ = probes(*hashes(x, tables, polytopes), width)
-                raw = [r.tobytes() for r in x]
-                marks = [r.tobytes() for r in all_]
+                vertices = hashes(unit(x), tables, polytopes)
+                all_ = probes(*vertices, width)
+                raw = [r.tobytes() for r in x.astype(kind)]
+                marks = [r.tobytes() for r in np.stack(vertices, axis=1).astype("<i2")]
                 t, p = np.meshgrid(np.arange(tables), np.arange(polytopes + 1), indexing="ij")
                 here = (t.ravel()[None, :] * (1 << 40) + all_.reshape(len(x), -1)).ravel()
                 # one row per different bucket
@@ -161,8 +169,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
         held: list[pa.RecordBatch] = []
 
         def settle(t: pa.Table):
-            x = np.frombuffer(b"".join(t.column("x").to_pylist())).reshape(t.num_rows, -1)
-            marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.int64).reshape(t.num_rows, tables, polytopes + 1)
+            x = unit(np.frombuffer(b"".join(t.column("x").to_pylist()), kind).reshape(t.num_rows, -1))
+            vertices = np.frombuffer(b"".join(t.column("marks").to_pylist()), "<i2").astype(np.int64).reshape(t.num_rows, 2, tables, polytopes)
+            marks = probes(vertices[:, 0], vertices[:, 1], width)
             return cell_links(t.column("node").to_numpy(), t.column("copies").to_numpy(), x, marks, t.column("here")[0].as_py(), t.column("chunk").to_numpy(), (t.column("a")[0].as_py(), t.column("b")[0].as_py()), threshold)
 
         def out(parts):

@@ -80,11 +80,12 @@ def balanced_shards(rows: DataFrame, link: list[str], shards: int = 24) -> DataF
     linked rows propagate under quotas of the even share until none moves; at the end, shards over their share give
     away rows, those without links first, to shards under it. Classes larger than a shard's share (no more than
     there are shards) are placed before: each fills one shard after another. Nulls in ``link`` are equal to one another; repeated rows are rows of their
-    own; an empty table stays empty. Columns named shard or slot are replaced.
+    own; an empty table stays empty. Columns named shard or slot are replaced, all others pass through.
     """
     scratch = Scratch(rows.sparkSession, "shards")
     rows = rows.drop("shard", "slot")
-    base = scratch.keep(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("link", F.xxhash64(*link)), "rows")
+    whole = scratch.keep(rows.withColumn(f"{OWN}uid", F.monotonically_increasing_id()).withColumn(f"{OWN}link", F.xxhash64(*link)), "rows")
+    base = whole.select(F.col(f"{OWN}uid").alias("uid"), F.col(f"{OWN}link").alias("link"))
     total = base.count()
     exact = [total // shards + (s < total % shards) for s in range(shards)]
     buckets = max(256, total // (shards * 50_000))
@@ -119,4 +120,5 @@ def balanced_shards(rows: DataFrame, link: list[str], shards: int = 24) -> DataF
     final = ranked.select("uid", F.when(gives, to).otherwise(F.col("shard")).cast("int").alias("shard"))
     final = scratch.keep(final, "final")
     slots = _ranked(final, spot, buckets, "slot").select("uid", "shard", F.col("slot").cast("bigint").alias("slot"))
-    return base.join(slots, "uid").drop("uid", "link")
+    slots = slots.withColumnRenamed("uid", f"{OWN}uid")
+    return whole.join(slots, f"{OWN}uid").drop(f"{OWN}uid", f"{OWN}link")
