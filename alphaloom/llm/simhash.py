@@ -6,10 +6,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from xxhash import xxh64_intdigest
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, Scratch
+from .common import OWN, Scratch, checked_broadcast, slices
 from .graph import connected_components
 
 BITS = 64
@@ -23,16 +24,10 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "t
     gives 0. A bit is 1 if it is set in over half of the shingles' XXH64 values. Keys may be null or repeat;
     other columns are ignored. With ``width`` over 1 the fingerprint is a binary of so many 64-bit words, the
     further words from further mixings of the same hashes. With ``sets`` each distinct shingle counts once, and a
-    column of that name holds their sorted hashes.
+    column of that name holds a hash of the set.
     """
     src = docs.select(*[F.col(k).alias(f"{OWN}k{i}") for i, k in enumerate(keys)], F.col(text).cast("string").cast("binary").alias(f"{OWN}text"))
 
-    def shingles(raw: bytes | None):
-        found = raw.lower().split() if raw else []
-        total = max(1, len(found) - words + 1) if found else 0
-        for at in range(0, total, 1 << 14):  # bounded memory for very long texts
-            yield np.array([hashed(b" ".join(found[i : i + words]), seed) for i in range(at, min(total, at + (1 << 14)))], "<u8")
-
     def one(hashes) -> np.ndarray:
         ones, total = np.zeros((width, BITS), np.int64), 0
         for h in hashes:
@@ -41,30 +36,35 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "t
                 ones[k] += np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
-    def distinct(raw: bytes | None) -> np.ndarray:
-        return np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(raw)]))
-
-    from xxhash import xxh64_intdigest as hashed
-
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in slices(whole, whole.num_columns - 1):
                 raw = b.column(b.num_columns - 1)
-                own = [distinct(t.as_py()) for t in raw] if sets else []
-                made = [one(np.split(h, range(1 << 14, len(h), 1 << 14))) for h in own] if sets else [one(shingles(t.as_py())) for t in raw]
+                own = [distinct(t.as_py(), words, seed) for t in raw] if sets else []
+                made = [one(np.split(h, range(1 << 14, len(h), 1 << 14))) for h in own] if sets else [one(shingles(t.as_py(), words, seed)) for t in raw]
                 out = [pa.array([x.tobytes() for x in made], pa.binary()) if width > 1 else pa.array([int(x[0].astype(np.int64)) for x in made], pa.int64())]
                 if sets:
-                    edges = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(own).view(np.int64))))
+                    out.append(pa.array(np.array([xxh64_intdigest(h.tobytes(), seed) for h in own], np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], names=[*b.schema.names[:-1], *names])
 
     names = [name, sets] if sets else [name]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{name}` {'binary' if width > 1 else 'bigint'}", *([f"`{sets}` array<bigint>"] if sets else [])])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{name}` {'binary' if width > 1 else 'bigint'}", *([f"`{sets}` bigint"] if sets else [])])
     out = src.mapInArrow(run, schema)
     return out.select(*[F.col(f"{OWN}k{i}").alias(k) for i, k in enumerate(keys)], *names)
 
 
+def shingles(raw: bytes | None, words: int, seed: int):
+    """The hashes of a text's shingles in order, in arrays of bounded length."""
+    found = raw.lower().split() if raw else []
+    total = max(1, len(found) - words + 1) if found else 0
+    for at in range(0, total, 1 << 14):
+        yield np.array([xxh64_intdigest(b" ".join(found[i : i + words]), seed) for i in range(at, min(total, at + (1 << 14)))], "<u8")
+
+
+def distinct(raw: bytes | None, words: int, seed: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(raw, words, seed)]))
+
+
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent-looking hash made of one; the 0-th is itself."""
     if not k:
@@ -96,9 +96,9 @@ def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int |
     each batch's links is passed on, since components are all that is asked for.
 
     Where links are candidates, to be checked by the caller, ``pairs_a_row`` has all pairs passed on, as rows
-    (src, dst, part null): but for parts of a batch with more pairs a row than that, which give their forest and
-    a row (null, null, part), so that the caller asks again for what the forest does not settle. Rows may have
-    a further column, ``group``: pairs of one group are left out.
+    (src, dst, part null, differing bits): but for parts of a batch with more pairs a row than that, which give
+    their forest and a row (null, null, part, null), so that the caller asks again for what the forest does not
+    settle. Rows may have a further column, ``group``: pairs of one group are left out.
     """
     held = None
     for b in batches:
@@ -126,7 +126,7 @@ def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int |
                 found.append(np.stack([left, left + step], axis=1))
             step += 1
             if pairs_a_row and group is not None and sum(map(len, found)) > 1 << 18:  # what is final goes out at once
-                yield candidates(np.concatenate(found), node)
+                yield candidates(np.concatenate(found), node, fp)
                 found = []
         if found and pairs_a_row:
             pairs = np.concatenate(found)
@@ -139,8 +139,8 @@ def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int |
                     moved = np.flatnonzero(root != np.arange(len(fp)))
                     pairs = np.concatenate([pairs[~many[of]], np.stack([root[moved], moved], axis=1)])
                     none = pa.nulls(int(many.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(names[many])], names=["src", "dst", "part"])
-            yield candidates(pairs, node)
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(names[many]), none.cast(pa.int32())], names=["src", "dst", "part", "bits"])
+            yield candidates(pairs, node, fp)
         elif found:
             pairs = np.concatenate(found)
             root = forest(pairs, len(fp))
@@ -150,8 +150,9 @@ def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int |
         held = part[reach], node[reach], fp[reach], None if group is None else group[reach]
 
 
-def candidates(pairs: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node[pairs].min(axis=1)), pa.array(node[pairs].max(axis=1)), pa.nulls(len(pairs), pa.int64())], names=["src", "dst", "part"])
+def candidates(pairs: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    bits = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]).sum(axis=1).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(node[pairs].min(axis=1)), pa.array(node[pairs].max(axis=1)), pa.nulls(len(pairs), pa.int64()), pa.array(bits)], names=["src", "dst", "part", "bits"])
 
 
 def forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -168,6 +169,20 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
         root = fresh
 
 
+def thinned(links: DataFrame, n: int, at_once: int = 1_000_000) -> DataFrame:
+    """Links with the same components and fewer of them: tasks of ``at_once`` links each give a forest."""
+
+    def run(batches):
+        held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches]
+        if held:
+            names, pairs = np.unique(np.concatenate(held), return_inverse=True)
+            root = forest(pairs.reshape(-1, 2), len(names))
+            moved = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[root[moved]]), pa.array(names[moved])], names=["src", "dst"])
+
+    return links.select("src", "dst").repartition(n // at_once + 1).mapInArrow(run, "src bigint, dst bigint")
+
+
 def link(fps: DataFrame, scratch: Scratch, distance: int = 3, references: int = 24, hot: int = 20_000) -> DataFrame:
     """``fps(fp, first)``, one row per distinct fingerprint -> ``(fp, component)``, the smallest ``first`` reachable.
 
@@ -204,28 +219,57 @@ def link(fps: DataFrame, scratch: Scratch, distance: int = 3, references: int =
     return fps.join(found.withColumnRenamed("node", "first"), "first").select("fp", "component")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float, hot: int = 200) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose ``sets(node, shingles)`` have a Jaccard similarity of ``similarity`` or more.
+def shingle_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """``texts(node, text)`` -> ``(node, shingles)``: the sorted distinct hashes, 32 bits of each, as bytes.
 
-    A node's set is copied once for each ``hot`` pairs it is in, so that no task meets all pairs of one node.
+    Two different shingles of a pair of texts coincide with a chance of some n * n / 2^33 for n shingles in both.
     """
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(distinct(t.as_py(), words, seed).astype("<u4")).tobytes() for t in b.column(1)], pa.binary())], names=["node", "shingles"])
+
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node bigint, shingles binary")
+
+
+def alike(pairs: DataFrame, sets_of, similarity: float, hot: int = 200) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose sets have a Jaccard similarity of ``similarity`` or more, by count.
+
+    ``sets_of(nodes)`` gives ``(node, shingles)`` of the nodes that are in pairs. A node's set is copied once for
+    each ``hot`` pairs it is in, so that no task meets all pairs of one node.
+    """
+    both = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = sets_of(both)
     for side in ("src", "dst"):
         copies = pairs.groupBy(side).agg(F.ceil(F.count("*") / hot).cast("int").alias("copies"))
         own = sets.join(copies, F.col("node") == F.col(side)).select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
         dealt = pairs.join(copies, side).withColumn("salt", F.pmod(F.xxhash64("src", "dst"), "copies").cast("int")).drop("copies")
         pairs = dealt.join(own.drop("copies"), [side, "salt"]).drop("salt")
-    common = F.size(F.array_intersect("of_src", "of_dst"))
-    return pairs.where(common >= F.lit(similarity) * (F.size("of_src") + F.size("of_dst") - common)).select("src", "dst")
+
+    def check(batches):
+        for b in batches:
+            fine = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                fine.append(common >= similarity * (len(x) + len(y) - common))
+            keep = pa.array(fine, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["src", "dst"])
+
+    return pairs.select("src", "dst", "of_src", "of_dst").mapInArrow(check, "src bigint, dst bigint").distinct()
 
 
-def link_similar(nodes: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, distance: int, width: int, tables: int, sample: int, references: int = 8, seed: int = 21, pairs_a_row: int = 16) -> DataFrame:
+def link_similar(nodes: DataFrame, sets_of, scratch: Scratch, similarity: float, distance: int, width: int, tables: int, sample: int, references: int = 8, seed: int = 21, pairs_a_row: int = 16) -> DataFrame:
     """``nodes(fp binary, node)``, one row per distinct set -> ``(node, component)``; without a link absent.
 
     For distances too wide for an exact cover: fingerprints share a part if they agree in one of ``tables``
     random sets of ``sample`` bits. A pair that differs in a share p of its bits is missed with chance
     (1 - (1 - p)^sample)^tables. Inside a part the pivot table and the verification are those of ``link``. The
-    pairs found are candidates: those are linked whose ``sets(node, shingles)`` are ``similarity`` alike. Of a
-    crowded part a forest is checked first, then all its pairs that are not in one component by then.
+    pairs found are candidates: those are linked whose sets (``sets_of``, see ``alike``) are ``similarity`` alike.
+    Each node is first checked against its nearest candidate, by bits, then every pair that is not in one component
+    by then; of a crowded part, a forest of the candidates comes before all its pairs across components. No pair
+    is checked twice.
     """
     rng = np.random.default_rng(seed)
     picks = np.stack([rng.choice(width * BITS, sample, replace=False) for _ in range(tables)])
@@ -246,21 +290,60 @@ def link_similar(nodes: DataFrame, sets: DataFrame, scratch: Scratch, similarity
 
     def found(dealt: DataFrame, *more: str) -> DataFrame:
         rows = dealt.repartition("part").sortWithinPartitions("part", "d0").select("part", "node", "fp", *more)
-        return rows.mapInArrow(lambda bs: link_partition(bs, refs, distance, pairs_a_row), "src bigint, dst bigint, part bigint").distinct()
+        return rows.mapInArrow(lambda bs: link_partition(bs, refs, distance, pairs_a_row), "src bigint, dst bigint, part bigint, bits int").distinct()
+
+    def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+        """Pairs that are not in one component."""
+        for side in ("src", "dst"):
+            pairs = pairs.join(components.select(F.col("node").alias(side), F.col("component").alias(f"at_{side}")), side, "left")
+        return pairs.where(F.coalesce("at_src", "src") != F.coalesce("at_dst", "dst")).select("src", "dst")
 
     dealt = nodes.select("fp", "node").mapInArrow(deal, "part bigint, node bigint, fp binary, d0 int")
     first = scratch.keep(found(dealt), "candidates")
-    links = scratch.keep(alike(first.where("part is null").select("src", "dst"), sets, similarity), "similar")
+    pairs = first.where("part is null").select("src", "dst", "bits")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.struct("bits", F.col("dst").alias("other")).alias("to")), F.struct(F.col("dst").alias("node"), F.struct("bits", F.col("src").alias("other")).alias("to")))).alias("x"))
+    nearest = ends.groupBy("x.node").agg(F.min("x.to").alias("to")).select(F.least("node", "to.other").alias("src"), F.greatest("node", "to.other").alias("dst")).distinct()
+    done = scratch.keep(nearest, "nearest")
+    links = scratch.keep(alike(done, sets_of, similarity), "similar0")
     components = scratch.keep(connected_components(links, scratch), "components0")
     crowded = first.where("part is not null").select("part").distinct()
+
+    def settle(more: DataFrame, name: str):
+        nonlocal links, components, done
+        left = scratch.keep(apart(more, components).join(done, ["src", "dst"], "left_anti"), f"left_{name}")
+        if left.limit(1).count():
+            new = scratch.keep(alike(left, sets_of, similarity), f"similar_{name}")
+            done = done.unionAll(left)
+            if n := new.count():
+                links = links.unionAll(thinned(new, n))
+                components = scratch.keep(connected_components(links, scratch), f"components_{name}")
+
+    settle(pairs.select("src", "dst"), "rest")
     if crowded.limit(1).count():
-        grouped = dealt.join(crowded, "part").join(components, "node", "left").withColumn("group", F.coalesce("component", "node"))
-        across = scratch.keep(found(grouped, "group").select("src", "dst"), "across")
-        links = scratch.keep(links.unionAll(alike(across, sets, similarity)), "similar_all")
-        components = scratch.keep(connected_components(links, scratch), "components1")
+        grouped = dealt.join(checked_broadcast(crowded), "part").join(components, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        settle(found(grouped, "group").select("src", "dst").distinct(), "across")
     return components
 
 
+def text_components(docs: DataFrame, scratch: Scratch, words: int, seed: int, width: int, distance: int, tables: int, sample: int, doc_id: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_hash, node)`` for every row, and ``(node, component)`` for every distinct set of shingles."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    made = scratch.keep(fingerprints(rows, words, seed, width=width, sets="node", keys=("doc_id", "text_hash")), "fingerprints")
+    keyed = made.select("doc_id", "text_hash", "node")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text"))
+    nodes = scratch.keep(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min(row).alias("row")), "nodes")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """Sets of some nodes, from the text of one row of each."""
+        of = nodes.join(some, "node").select("node", "row.last", "row.id", "row.text")
+        keys = rows.select(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text"), F.col("text").alias("t"))
+        return shingle_sets(keys.join(checked_broadcast(of), ["last", "id", "text"]).select("node", F.col("t").alias("text")), words, seed)
+
+    found = link_similar(nodes.select("fp", "node"), sets_of, scratch, similarity, distance, width, tables, sample)
+    return keyed, nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def similar_texts(docs: DataFrame, words: int = 5, seed: int = 42, width: int = 4, distance: int = 48, tables: int = 42, sample: int = 14, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id`` for every row: texts whose sets of shingles of five words are 0.8 alike or more are linked.
 
@@ -270,14 +353,9 @@ def similar_texts(docs: DataFrame, words: int = 5, seed: int = 42, width: int =
     alike by count. Nulls, blanks, repeated rows and ids as in ``near_duplicates``.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    made = fingerprints(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), words, seed, width=width, sets="shingles")
-    made = scratch.keep(made.withColumn("node", F.xxhash64("shingles")), "shingles")
-    keyed = scratch.keep(made.select("doc_id", "node"), "ids")
-    nodes = scratch.keep(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low")), "nodes")
-    found = link_similar(nodes, made.select("node", "shingles").dropDuplicates(["node"]), scratch, similarity, distance, width, tables, sample)
-    scratch.drop("shingles")
-    named = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    low = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    keyed, named = text_components(docs, scratch, words, seed, width, distance, tables, sample, doc_id, text, similarity)
+    per = keyed.groupBy("node").agg(F.min("doc_id").alias("low")).join(named, "node")
+    low = per.groupBy("component").agg(F.min("low").alias("component_id"))
     return keyed.join(named.join(low, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
@@ -299,13 +377,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
     return keyed.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: the smallest id's, and of rows sharing that id one.
+def keep_one(docs: DataFrame, words: int = 5, seed: int = 42, width: int = 4, distance: int = 48, tables: int = 42, sample: int = 14, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts.
 
-    Rows with a null id have no name to be told apart by; those whose component has an id go, the others stay.
+    Groups are of texts, as ``similar_texts`` links them, so two rows of one id with different texts are two rows.
+    Of a group the row with the smallest id stays; a null id is behind all others; of one id's rows that with the
+    least text hash; of rows equal in both, that with the least hash of the other columns. Null, empty and
+    blank texts are one group. All columns pass through; an empty table stays empty.
     """
-    marked = similar_texts(docs, doc_id=doc_id, **how)
-    kept = marked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{OWN}id")).distinct()
-    lost = marked.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).limit(1).count()
-    out = docs.join(kept, F.col(doc_id).cast("bigint") == F.col(f"{OWN}id"), "left_semi").dropDuplicates([doc_id])
-    return out.unionAll(docs.where(F.col(doc_id).isNull())) if lost else out
+    scratch = Scratch(docs.sparkSession, "keep")
+    keyed, named = text_components(docs, scratch, words, seed, width, distance, tables, sample, doc_id, text, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("text"))
+    first = keyed.groupBy("node").agg(F.min(order).alias("row")).join(named, "node").groupBy("component").agg(F.min("row").alias("row"))
+    winners = scratch.keep(first.select(*[F.col(f"row.{c}").alias(f"{OWN}{c}") for c in ("last", "id", "text")]), "winners")
+    own = F.col(f"`{doc_id}`").cast("bigint")
+    keys = {"last": own.isNull(), "id": F.coalesce(own, F.lit(0)), "text": F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))}
+    rows = docs.withColumns({f"{OWN}{k}": v for k, v in keys.items()}).join(winners, [f"{OWN}{k}" for k in keys], "left_semi")
+    others = [f"`{c}`" for c in docs.columns]
+    place = F.row_number().over(Window.partitionBy(*[f"{OWN}{k}" for k in keys]).orderBy(F.xxhash64(*others)))
+    return rows.withColumn(f"{OWN}place", place).where(f"{OWN}place = 1").select(*others)
