@@ -25,6 +25,17 @@ def repeats(docs, length=100):
     return out
 
 
+def without(b: bytes, mask) -> str:
+    """The characters that are not removed as a whole."""
+    out, at = [], 0
+    for c in b.decode():
+        n = len(c.encode())
+        if not all(mask[at : at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
 def simhash(text, words=3):
     w = (text or "").encode().lower().split()
     if not w:
