@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compiler import signals
 from ..plans.formula import Node
+from ..sources.catalog import keep
 from ..sources.panel import next_return
 from . import ic, overfit, regime, simulate
 
@@ -59,8 +60,8 @@ def refit(panel: DataFrame, pool: dict[str, str | Node], spans: DataFrame, k: in
 
 def full_evaluation(panel: DataFrame, pool: dict[str, str | Node], bench: DataFrame, k: int = 10, drop: int = 2) -> DataFrame:
     """One row per formula: IC, RankIC, portfolio measures and those against the benchmark."""
-    rows = signals(panel.withColumn("ret", next_return()), pool, "ret").persist()
-    returns = simulate.topk_dropout(rows, k, drop).persist()
+    rows = signals(panel.withColumn("ret", next_return()), pool, "ret")
+    returns = keep(simulate.topk_dropout(rows, k, drop), "returns")
     return ic.summary(ic.daily(rows)).join(simulate.metrics(simulate.equity(returns)).drop("days"), "formula_id").join(simulate.against_benchmark(returns, bench).drop("days"), "formula_id")
 
 

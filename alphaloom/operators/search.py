@@ -36,7 +36,7 @@ def score_pool(panel: DataFrame, pool: list[Node], n_folds: int = 4, embargo: in
     """Walk-forward fitness of a whole pool: one plan for all signals, one aggregation for all daily ICs."""
     named = {f"f{i:04d}": t for i, t in enumerate(pool)}
     rows = signals(panel, named, "ret", "size")
-    days = sorted(r.date for r in panel.select("date").distinct().collect())
+    days = sorted(r.date for r in rows.select("date").distinct().collect())
     table = ic.fold_table(panel.sparkSession, ic.folds(days, n_folds, embargo, least_days))
     per = ic.fold_ics(ic.daily(rows), table)
     cx = panel.sparkSession.createDataFrame([(k, str(t), t.size) for k, t in named.items()], "formula_id string, formula string, complexity int")

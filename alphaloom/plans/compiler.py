@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ewm_sums, full, last_rows, pct_rank, ts
+from ..sources.catalog import keep as written
 from .formula import Node, parse, status_of
 
 _TINY = 1e-6
@@ -54,10 +55,22 @@ def _mad(x: Column, w: int) -> Column:
     return full(x, w, F.aggregate(F.transform(rows, lambda v: F.abs(v - mean)), F.lit(0.0), lambda a, v: a + v) / w)
 
 
+def _moment(x: Column, w: int, k: int) -> Column:
+    """Mean k-th power of the deviations in the window."""
+    rows, mean = F.collect_list(x).over(last_rows(w)), F.avg(x).over(last_rows(w))
+    return F.aggregate(F.transform(rows, lambda v: F.pow(v - mean, F.lit(float(k)))), F.lit(0.0), lambda a, v: a + v) / w
+
+
+def _shape(x: Column, w: int, k: int) -> Column:
+    """The k-th standardised moment; the aggregates of that name fail where a tiny variance's power is 0."""
+    m2 = F.var_pop(x).over(last_rows(w))
+    return F.try_divide(_moment(x, w, k), F.pow(m2, F.lit(k / 2.0)))
+
+
 def _skew(x: Column, w: int) -> Column:
     if w < 3:
         return F.lit(None).cast("double")
-    value = F.skewness(x).over(last_rows(w)) * ((w * (w - 1)) ** 0.5 / (w - 2))
+    value = _shape(x, w, 3) * ((w * (w - 1)) ** 0.5 / (w - 2))
     constant = F.min(x).over(last_rows(w)) == F.max(x).over(last_rows(w))
     return full(x, w, F.when(constant, 0.0).otherwise(value))
 
@@ -65,7 +78,7 @@ def _skew(x: Column, w: int) -> Column:
 def _kurt(x: Column, w: int) -> Column:
     if w < 4:
         return F.lit(None).cast("double")
-    value = (w - 1) / ((w - 2) * (w - 3)) * ((w + 1) * F.kurtosis(x).over(last_rows(w)) + 6)
+    value = (w - 1) / ((w - 2) * (w - 3)) * ((w + 1) * (_shape(x, w, 4) - 3) + 6)
     constant = F.min(x).over(last_rows(w)) == F.max(x).over(last_rows(w))
     return full(x, w, F.when(constant, -3.0).otherwise(value))
 
@@ -225,9 +238,13 @@ def long(signals: DataFrame, ids: list[str], *keep: str) -> DataFrame:
 
 
 def signals(panel: DataFrame, pool: dict[str, str | Node], *keep: str, by: Column | None = None) -> DataFrame:
-    """Evaluated, filled, clipped (in each window, where ``by`` names one) and stacked."""
+    """Evaluated, filled, clipped (in each window, where ``by`` names one) and stacked.
+
+    The quantiles and what follows need several passes, so the evaluated columns are written once (``catalog.keep``).
+    """
     ids = list(pool)
-    return long(clip(evaluate(panel, pool), ids, by=by), ids, *keep)
+    wide = written(evaluate(panel, pool).select("ticker", "date", *keep, *ids), "signals")
+    return long(clip(wide, ids, by=by), ids, *keep)
 
 
 __all__ = ["evaluate", "clip", "long", "signals", "register"]

@@ -8,6 +8,7 @@ from ..operators import ic, regime
 from ..plans.compiler import clip, evaluate, signals
 from ..plans.formula import parse
 from ..sources import panel as P
+from ..sources.catalog import keep
 from .common import MONTHLY, RET, TS, WEEKLY, frame, monthly, query, rounded, weekly, with_ret
 
 POOL = {"momentum": "CSRank(Delta(Pclose, 5))", "level": "CSRank(Log(Vlot))", "trend": "Sub(Log(Pclose), Mean(Log(Pclose), 6))"}
@@ -126,8 +127,9 @@ def neutralize_factors(spark, d):
     return rounded(ic.neutralize(rows, ["size_rank", "vol_rank", "mom_rank"]), "neutral")
 
 
-def _folds(spark, d, n=4, embargo=1, least=10):
-    days = sorted(r.date for r in monthly(spark, d).select("date").distinct().collect())
+def _folds(spark, d, n=4, embargo=1, least=10, rows=None):
+    """Folds of the panel's dates, taken from ``rows`` where they are at hand."""
+    days = sorted(r.date for r in (monthly(spark, d) if rows is None else rows).select("date").distinct().collect())
     return ic.fold_table(spark, ic.folds(days, n, embargo, least))
 
 
@@ -145,7 +147,8 @@ _FOLD_RIC = f"{_POOL_SQL}, {_FOLDS}, ric AS (SELECT formula_id, fold, avg(rank_i
 
 @query("wf_fold_ric", f"WITH {_FOLD_RIC} SELECT formula_id, CAST(fold AS INTEGER) AS fold, round(ric, 6) + 0.0 AS ric, CAST(nrows AS BIGINT) AS n_rows FROM ric")
 def wf_fold_ric(spark, d):
-    return rounded(ic.fold_ics(ic.daily(pool_rows(spark, d)), _folds(spark, d)), "ric").withColumnRenamed("rows", "n_rows")
+    rows = pool_rows(spark, d)
+    return rounded(ic.fold_ics(ic.daily(rows), _folds(spark, d, rows=rows)), "ric").withColumnRenamed("rows", "n_rows")
 
 
 _SIZES = {k: parse(v).size for k, v in POOL.items()}
@@ -162,7 +165,7 @@ CASE WHEN status = 'size_factor' THEN 'Size-Factor' WHEN coalesce(n_folds, 0) =
 def wf_fitness(spark, d):
     rows = pool_rows(spark, d)
     cx = spark.createDataFrame(list(_SIZES.items()), "formula_id string, complexity int")
-    out = ic.fitness(ic.fold_ics(ic.daily(rows), _folds(spark, d)), cx, ic.size_corr(rows))
+    out = ic.fitness(ic.fold_ics(ic.daily(rows), _folds(spark, d, rows=rows)), cx, ic.size_corr(rows))
     return rounded(out.select("formula_id", "status", "mean_ric", "fitness", "pos_folds", "n_folds", "verdict"), "mean_ric", "fitness")
 
 
@@ -273,7 +276,7 @@ def meta_features(spark, d):
 
 @query("meta_model_scores")
 def meta_model_scores(spark, d):
-    data = meta_rows(spark, d).persist()
+    data = keep(meta_rows(spark, d), "meta")
     model, _ = regime.train_meta(data, "2000-01-01")
     return rounded(regime.predict_meta(model, data).select("ticker", "date", "p"), "p", digits=4)
 
@@ -291,7 +294,7 @@ def hmm_features(spark, d):
 def hmm_filtered_probs(spark, d):
     names = ["log_ret", "atr", "vol_ratio", "hl"]
     one = weekly(spark, d).groupBy("date").agg(F.lit("all").alias("ticker"), F.avg("pclose").alias("pclose"), F.avg("phigh").alias("phigh"), F.avg("plow").alias("plow"), F.sum("vlot").alias("vlot"))
-    scaled = regime.robust_scale(regime.hmm_features(one), names).persist()
+    scaled = keep(regime.robust_scale(regime.hmm_features(one), names), "hmm")
     model = regime.select_hmm(scaled, names, (2, 3), least=20)
     return regime.hmm_probabilities(scaled, names, model)
 

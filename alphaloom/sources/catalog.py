@@ -6,6 +6,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import uuid
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what several passes need is made once, and its lineage ends here.
+
+    A lost executor then costs a reread; the files stay for the folder's retention rule.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records of any version; what older ones lack takes its default. A broken file is an error."""
     raw = spark.read.schema(CATALOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
