@@ -86,7 +86,7 @@ def bands(distance: int, extra: int = 2) -> list[list[tuple[int, int]]]:
     return [list(x) for x in combinations(list(zip(edges, edges[1:])), extra)]
 
 
-def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int | None = None):
+def link_partition(batches, refs: np.ndarray, distance: int):
     """Links within the rows (part, node, fp) of a partition sorted by (part, first coordinate).
 
     Each fingerprint's distances to all references are tabulated once. A row meets those after it in its part
@@ -94,11 +94,6 @@ def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int |
     turn); pairs whose other coordinates differ by more go out one reference at a time; survivors are verified.
     What is carried from batch to batch are the rows of the last part still within reach. Only a forest of
     each batch's links is passed on, since components are all that is asked for.
-
-    Where links are candidates, to be checked by the caller, ``pairs_a_row`` has all pairs passed on, as rows
-    (src, dst, part null, differing bits): but for parts of a batch with more pairs a row than that, which give
-    their forest and a row (null, null, part, null), so that the caller asks again for what the forest does not
-    settle. Rows may have a further column, ``group``: pairs of one group are left out.
     """
     held = None
     for b in batches:
@@ -106,17 +101,14 @@ def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int |
         if not len(part):
             continue
         fp = np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(part), -1) if pa.types.is_binary(fp.type) else fp.to_numpy().view(np.uint64)[:, None]
-        group = b.column("group").to_numpy() if "group" in b.schema.names else None
         if held is not None:
             part, node, fp = np.concatenate([held[0], part]), np.concatenate([held[1], node]), np.concatenate([held[2], fp])
-            group = None if group is None else np.concatenate([held[3], group])
         table = np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
         rows, step, found = np.arange(len(fp) - 1), 1, []
         while len(rows):
             rows = rows[rows + step < len(fp)]
             near = (part[rows] == part[rows + step]) & (table[rows + step, 0] - table[rows, 0] <= distance)
-            rows = rows[near]
-            left = rows if group is None else rows[group[rows] != group[rows + step]]
+            left = rows = rows[near]
             for r in range(1, len(refs)):
                 if not len(left):
                     break
@@ -124,35 +116,17 @@ def link_partition(batches, refs: np.ndarray, distance: int, pairs_a_row: int |
             if len(left):
                 left = left[np.bitwise_count(fp[left] ^ fp[left + step]).sum(axis=1) <= distance]
                 found.append(np.stack([left, left + step], axis=1))
-            step += 1
-            if pairs_a_row and group is not None and sum(map(len, found)) > 1 << 18:  # what is final goes out at once
-                yield candidates(np.concatenate(found), node, fp)
-                found = []
-        if found and pairs_a_row:
-            pairs = np.concatenate(found)
-            if group is None:
-                names, at = np.unique(part, return_inverse=True)
-                of = at[pairs[:, 0]]
-                many = np.bincount(of, minlength=len(names)) > pairs_a_row * np.bincount(at)
-                if many.any():
-                    root = forest(pairs[many[of]], len(fp))
+                if sum(map(len, found)) > 1 << 20:  # what is linked already needs no list of pairs
+                    root = forest(np.concatenate(found), len(fp))
                     moved = np.flatnonzero(root != np.arange(len(fp)))
-                    pairs = np.concatenate([pairs[~many[of]], np.stack([root[moved], moved], axis=1)])
-                    none = pa.nulls(int(many.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(names[many]), none.cast(pa.int32())], names=["src", "dst", "part", "bits"])
-            yield candidates(pairs, node, fp)
-        elif found:
-            pairs = np.concatenate(found)
-            root = forest(pairs, len(fp))
+                    found = [np.stack([root[moved], moved], axis=1)]
+            step += 1
+        if found:
+            root = forest(np.concatenate(found), len(fp))
             moved = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
         reach = (part == part[-1]) & (table[-1, 0] - table[:, 0] <= distance)
-        held = part[reach], node[reach], fp[reach], None if group is None else group[reach]
-
-
-def candidates(pairs: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    bits = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]).sum(axis=1).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(node[pairs].min(axis=1)), pa.array(node[pairs].max(axis=1)), pa.nulls(len(pairs), pa.int64()), pa.array(bits)], names=["src", "dst", "part", "bits"])
+        held = part[reach], node[reach], fp[reach]
 
 
 def forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -233,43 +207,97 @@ def shingle_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
     return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node bigint, shingles binary")
 
 
-def alike(pairs: DataFrame, sets_of, similarity: float, hot: int = 200) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose sets have a Jaccard similarity of ``similarity`` or more, by count.
+def similar_in_cell(fp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest of the links of rows ``left`` and ``right`` (numbers of rows) of a cell.
 
-    ``sets_of(nodes)`` gives ``(node, shingles)`` of the nodes that are in pairs. A node's set is copied once for
-    each ``hot`` pairs it is in, so that no task meets all pairs of one node.
+    Pairs at ``distance`` bits or fewer are candidates, nearest first; those of rows that are not connected by then
+    are checked by their sets.
     """
-    both = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = sets_of(both)
-    for side in ("src", "dst"):
-        copies = pairs.groupBy(side).agg(F.ceil(F.count("*") / hot).cast("int").alias("copies"))
-        own = sets.join(copies, F.col("node") == F.col(side)).select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-        dealt = pairs.join(copies, side).withColumn("salt", F.pmod(F.xxhash64("src", "dst"), "copies").cast("int")).drop("copies")
-        pairs = dealt.join(own.drop("copies"), [side, "salt"]).drop("salt")
-
-    def check(batches):
+    found = []
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        d = np.bitwise_count(fp[rows][:, None, :] ^ fp[right][None]).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero(d <= distance)
+        i, j, d = rows[i], right[j], d[i, j]
+        once = i < j if left is right else np.ones(len(i), bool)
+        found.append(np.stack([d[once], i[once], j[once]], axis=1).astype(np.int32))
+    pairs = np.concatenate(found)
+    root = list(range(len(fp)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for _, i, j in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
+        a, b = find(i), find(j)
+        if a == b:
+            continue
+        x, y = sets[i], sets[j]
+        n = len(x) + len(y)
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+            continue
+        both = np.concatenate((x, y))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        if common >= similarity * (n - common):
+            root[max(a, b)] = min(a, b)
+            links.append((i, j))
+    return links
+
+
+def check_cells(distance: int, similarity: float):
+    """Rows (cell, node, chunk, a, b, fp, shingles) sorted by cell -> a forest of each cell's links, chunk a against chunk b."""
+
+    def settle(t: pa.Table) -> list[tuple[int, int]]:
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(t.num_rows, -1)
+        sets = [np.frombuffer(x, "<u4") for x in t.column("shingles").to_pylist()]
+        chunk, node = t.column("chunk").to_numpy(), t.column("node").to_numpy()
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        left = np.flatnonzero(chunk == a)
+        right = left if a == b else np.flatnonzero(chunk == b)
+        return [(int(node[i]), int(node[j])) for i, j in similar_in_cell(fp, sets, left, right, distance, similarity)] if len(left) and len(right) else []
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def closed():
+            found = settle(pa.Table.from_batches(held).combine_chunks()) if sum(h.num_rows for h in held) > 1 else []
+            held.clear()
+            return found
+
+        def out(links):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["src", "dst"])
+
         for b in batches:
-            fine = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                fine.append(common >= similarity * (len(x) + len(y) - common))
-            keep = pa.array(fine, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["src", "dst"])
+            cell = b.column("cell").to_numpy()
+            if not len(cell):
+                continue
+            edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            links = []
+            for k, (i, j) in enumerate(zip(edges, edges[1:])):
+                if held and (k or held[0].column("cell")[0].as_py() != int(cell[0])):
+                    links += closed()
+                held.append(b.slice(i, j - i))
+            yield out(links)
+        if held:
+            yield out(closed())
 
-    return pairs.select("src", "dst", "of_src", "of_dst").mapInArrow(check, "src bigint, dst bigint").distinct()
+    return run
 
 
-def link_similar(nodes: DataFrame, sets_of, scratch: Scratch, similarity: float, distance: int, width: int, tables: int, sample: int, references: int = 8, seed: int = 21, pairs_a_row: int = 16) -> DataFrame:
+def link_similar(nodes: DataFrame, sets_of, scratch: Scratch, similarity: float, distance: int, width: int, tables: int, sample: int, references: int = 8, seed: int = 21, most_rows: int = 2_000, most_bytes: int = 8 << 20) -> DataFrame:
     """``nodes(fp binary, node)``, one row per distinct set -> ``(node, component)``; without a link absent.
 
     For distances too wide for an exact cover: fingerprints share a part if they agree in one of ``tables``
     random sets of ``sample`` bits. A pair that differs in a share p of its bits is missed with chance
-    (1 - (1 - p)^sample)^tables. Inside a part the pivot table and the verification are those of ``link``. The
-    pairs found are candidates: those are linked whose sets (``sets_of``, see ``alike``) are ``similarity`` alike.
-    Each node is first checked against its nearest candidate, by bits, then every pair that is not in one component
-    by then; of a crowded part, a forest of the candidates comes before all its pairs across components. No pair
-    is checked twice.
+    (1 - (1 - p)^sample)^tables. Inside a part the pivot table and the verification are those of ``link``, and its
+    links make clusters of candidates. In a cluster all pairs within the distance are candidates; they are linked
+    if their sets (``sets_of(nodes)`` gives ``(node, shingles)``) are ``similarity`` alike. No list of pairs is made: each
+    node's set goes to its cluster's cell once, or, where a cluster has over ``most_rows`` nodes or ``most_bytes`` of
+    sets, to one cell for each chunk of it, and cells are tasks of their own that give a forest of their links.
     """
     rng = np.random.default_rng(seed)
     picks = np.stack([rng.choice(width * BITS, sample, replace=False) for _ in range(tables)])
@@ -288,41 +316,22 @@ def link_similar(nodes: DataFrame, sets_of, scratch: Scratch, similarity: float,
                 take = pa.array(np.repeat(np.arange(b.num_rows), tables))
                 yield pa.RecordBatch.from_arrays([pa.array(parts), b.column(1).take(take), raw.take(take), pa.array(d0).take(take)], names=["part", "node", "fp", "d0"])
 
-    def found(dealt: DataFrame, *more: str) -> DataFrame:
-        rows = dealt.repartition("part").sortWithinPartitions("part", "d0").select("part", "node", "fp", *more)
-        return rows.mapInArrow(lambda bs: link_partition(bs, refs, distance, pairs_a_row), "src bigint, dst bigint, part bigint, bits int").distinct()
-
-    def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs that are not in one component."""
-        for side in ("src", "dst"):
-            pairs = pairs.join(components.select(F.col("node").alias(side), F.col("component").alias(f"at_{side}")), side, "left")
-        return pairs.where(F.coalesce("at_src", "src") != F.coalesce("at_dst", "dst")).select("src", "dst")
-
     dealt = nodes.select("fp", "node").mapInArrow(deal, "part bigint, node bigint, fp binary, d0 int")
-    first = scratch.keep(found(dealt), "candidates")
-    pairs = first.where("part is null").select("src", "dst", "bits")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.struct("bits", F.col("dst").alias("other")).alias("to")), F.struct(F.col("dst").alias("node"), F.struct("bits", F.col("src").alias("other")).alias("to")))).alias("x"))
-    nearest = ends.groupBy("x.node").agg(F.min("x.to").alias("to")).select(F.least("node", "to.other").alias("src"), F.greatest("node", "to.other").alias("dst")).distinct()
-    done = scratch.keep(nearest, "nearest")
-    links = scratch.keep(alike(done, sets_of, similarity), "similar0")
-    components = scratch.keep(connected_components(links, scratch), "components0")
-    crowded = first.where("part is not null").select("part").distinct()
-
-    def settle(more: DataFrame, name: str):
-        nonlocal links, components, done
-        left = scratch.keep(apart(more, components).join(done, ["src", "dst"], "left_anti"), f"left_{name}")
-        if left.limit(1).count():
-            new = scratch.keep(alike(left, sets_of, similarity), f"similar_{name}")
-            done = done.unionAll(left)
-            if n := new.count():
-                links = links.unionAll(thinned(new, n))
-                components = scratch.keep(connected_components(links, scratch), f"components_{name}")
-
-    settle(pairs.select("src", "dst"), "rest")
-    if crowded.limit(1).count():
-        grouped = dealt.join(checked_broadcast(crowded), "part").join(components, "node", "left").withColumn("group", F.coalesce("component", "node"))
-        settle(found(grouped, "group").select("src", "dst").distinct(), "across")
-    return components
+    rows = dealt.repartition("part").sortWithinPartitions("part", "d0").select("part", "node", "fp")
+    near = scratch.keep(rows.mapInArrow(lambda bs: link_partition(bs, refs, distance), "src bigint, dst bigint").distinct(), "near")
+    clusters = scratch.keep(connected_components(thinned(near, near.count()), scratch).withColumnRenamed("component", "cluster"), "clusters")
+    members = clusters.join(nodes.select("node", "fp"), "node").join(sets_of(clusters.select("node")), "node")
+    members = scratch.keep(members.select("node", "cluster", "fp", "shingles"), "members")
+    parts = F.greatest(F.ceil(F.count("*") / most_rows), F.ceil(F.sum(F.length("shingles")) / most_bytes)).cast("int")
+    large = members.groupBy("cluster").agg(parts.alias("parts")).where("parts > 1")
+    placed = members.join(checked_broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a, b = F.least("chunk", "other"), F.greatest("chunk", "other")
+    cells = placed.select(F.xxhash64("cluster", a, b).alias("cell"), "node", "chunk", a.alias("a"), b.alias("b"), "fp", "shingles")
+    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(check_cells(distance, similarity), "src bigint, dst bigint")
+    links = scratch.keep(links, "similar")
+    scratch.drop("members")
+    return scratch.keep(connected_components(thinned(links, links.count()), scratch), "components")
 
 
 def text_components(docs: DataFrame, scratch: Scratch, words: int, seed: int, width: int, distance: int, tables: int, sample: int, doc_id: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
