@@ -69,8 +69,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checked_broadcast(small: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """``small`` with a broadcast hint where its counted rows are at most ``rows``; beyond, as it is, for a shuffled join."""
+def checked_broadcast(small: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``small``, rows of a few numbers, with a broadcast hint where at most ``rows`` are counted (some 50 MB); beyond, as it is, for a shuffled join."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 

@@ -22,6 +22,7 @@ def query(f):
 
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 100 bytes cut from whole texts. A null text has 0 bytes and an empty remainder; ids order documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove_repeats(docs)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -29,6 +30,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts, and what they decode to, as digests. A null or empty text has no ids; rows are as they are in the table."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded")
     return out.select(
@@ -41,12 +43,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 or more inside labels. Null, zero and non-finite vectors, and those without a label, link with nothing and are kept."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law ``rows``; documents with equal texts are linked."""
+    """Law ``rows``; documents with equal texts are linked, null and empty texts with one another."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("text_sha256"))
     out = sharding.balanced_shards(docs, ["text_sha256"], shards=24)
@@ -55,7 +58,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents labelled as good; background: all."""
+    """Target: documents labelled as good; background: all. A null or empty text is its end alone; repeated rows count as often."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = lm_score.score(docs, read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
     return out.select("doc_id", "n_tokens", "target_loss", "background_loss", "difference")
@@ -63,6 +66,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of whole texts by their lines. A null, empty or blank text is one empty line and gets a score as well."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     out = quality.score(docs, model)
@@ -71,7 +75,7 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaks alone: a row for each document and benchmark item found in it."""
+    """The leaks alone: a row for each document and benchmark item found in it. Null, empty and very short texts have none."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
     return out.select("doc_id", "leak.item_id", "leak.cosine", "leak.subsequence", "leak.answer")
@@ -79,18 +83,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of whole texts, however long. Null and empty texts have 0 bytes and 0 tokens."""
     out = token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and their groups. Null, empty and blank texts have fingerprint 0 and are one group."""
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole texts by their sentences. A null or empty text is one empty sentence and gets the lowest score."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model)
