@@ -233,3 +233,36 @@ def test_classifier_model_ignores_repeated_ids(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id bigint, toxic int")
     got = sorted((r.text, r.y) for r in toxicity.sample(docs, labels.where(~F.lit(False)), "toxic", 10).collect())
     assert set(got) <= {("a", 1), ("c", 0)}
+
+
+def test_large_clusters_in_chunks(spark):
+    """Clusters checked in chunks of a few rows, or a few bytes, give the groups of those checked whole."""
+    from alphaloom.llm.common import Scratch
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(120)] for _ in range(6)]
+    texts = []
+    for t in base:
+        for _ in range(15):
+            u = list(t)
+            for k in range(rng.randint(0, 4)):
+                u[rng.randrange(120)] = word()
+            texts.append(" ".join(u))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = simhash.fingerprints(df, 5, 42, width=4, sets="node", keys=("doc_id", "text"))
+    nodes = made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("text").alias("text"))
+    sets_of = lambda some: simhash.shingle_sets(nodes.join(some, "node").select("node", "text"), 5, 42)
+    found = []
+    for how in ({}, {"most_rows": 4}, {"most_bytes": 2_000}):
+        out = simhash.link_similar(nodes.select("fp", "node"), sets_of, Scratch(spark, "t"), 0.8, 48, 4, 42, 14, **how)
+        found.append({(r.node, r.component) for r in out.collect()})
+    assert found[0] and found[0] == found[1] == found[2]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    low = brute.components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    names = {r.text: r.node for r in nodes.collect()}
+    component = dict(found[0])
+    groups = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        groups[component.get(names[t], names[t])].add(low[i])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) <= 1.1 * len(set(low))
