@@ -8,16 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, lm_score, quality, sharding, simhash, suffix_dedup, token_count, toxicity
+from . import bpe, decontaminate, embedding_dedup, exact_dedup, importance, lm_score, quality, sharding, simhash, suffix_dedup, token_count, toxicity
+from . import oracles as sql
 from .common import held_out, read
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(f=None, sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add(f) if f else add
 
 
 @query
@@ -104,10 +110,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+@query(sql=sql.IMPORTANCE)
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents resampled towards the benchmark. Null and empty texts have no features, weight 0, and are never drawn; equal scores by id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(docs, read(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(sql=sql.EXACT_DEDUP)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts equal but for white space. Null texts are empty ones; a row for each row of the table, dropped ones too; very long texts are compared whole."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over ``documents``; null, empty and repeated rows as its stages say."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-if (sql := importlib.import_module("corpus_pipeline").ORACLE_SQL) is not None:
-    ORACLE["pipeline"] = sql
+if (whole := importlib.import_module("corpus_pipeline").ORACLE_SQL) is not None:
+    ORACLE["pipeline"] = whole
