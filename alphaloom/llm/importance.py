@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +21,13 @@ def words(text: Column) -> Column:
 def runs(found: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space."""
     each = [found]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(found) >= n, F.sequence(F.lit(0), F.size(found) - n)).otherwise(F.array().cast("array<int>"))
-        each.append(F.transform(starts, joined(found, n)))
+    for n in range(2, longest + 1):  # no lambda refers to a whole array, so the optimiser can move none into a loop
+        left = F.slice(each[-1], F.lit(1), F.greatest(F.size(each[-1]) - 1, F.lit(0)))
+        right = F.slice(found, F.lit(n), F.greatest(F.size(found) - (n - 1), F.lit(0)))
+        each.append(F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
     return F.concat(*each) if longest > 1 else found
 
 
-def joined(found: Column, n: int) -> Callable[[Column], Column]:
-    return lambda i: F.concat_ws(" ", *[F.get(found, i + k) for k in range(n)])
-
-
 def bucket(feature: Column, buckets: int) -> Column:
     return (F.crc32(feature.cast("binary")) % buckets).cast("int")
 
