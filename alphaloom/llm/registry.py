@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, exact_dedup, importance, lm_score, quality, sharding, simhash, suffix_dedup, token_count, toxicity
+from . import bpe, collocations, decontaminate, embedding_dedup, exact_dedup, importance, lm_score, quality, sharding, simhash, suffix_dedup, token_count, toxicity
 from . import oracles as sql
 from .common import held_out, read
 
@@ -110,6 +110,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+@query(sql=sql.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of two or three words of each language. A null language is ``und``, a null text empty; whole texts, repeated rows count again."""
+    return collocations.mine(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @query(sql=sql.IMPORTANCE)
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents resampled towards the benchmark. Null and empty texts have no features, weight 0, and are never drawn; equal scores by id."""
