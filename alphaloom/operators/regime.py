@@ -1,4 +1,4 @@
-"""Regimes: rule labels, probabilities, weights, triple barriers, meta labels and a Gaussian hidden Markov model."""
+"""Regimes: rule labels, probabilities, weights, triple barriers, meta labels, features and records of hidden Markov models (fitted in ``chain``)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,96 +163,6 @@ def robust_scale(rows: DataFrame, names: list[str], train_end=None) -> DataFrame
     return rows.select(*[c for c in rows.columns if c not in names], *[((F.col(n) - stats[n][1]) / ((stats[n][2] - stats[n][0]) or 1.0)).alias(n) for n in names])
 
 
-def _log_emission(x: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return -0.5 * (((x[:, None] - m) ** 2 / s) + np.log(2 * np.pi * s)).sum(axis=2)
-
-
-def _forward(logb: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered probabilities and the log scale of every step."""
-    top = logb.max(axis=1, keepdims=True)
-    b = np.exp(logb - top)
-    alpha, scale = np.empty_like(b), np.empty(len(b))
-    now = pi * b[0]
-    for t in range(len(b)):
-        if t:
-            now = (alpha[t - 1] @ a) * b[t]
-        scale[t] = max(now.sum(), 1e-300)
-        alpha[t] = now / scale[t]
-    return alpha, np.log(scale) + top[:, 0]
-
-
-def fit_hmm(x: np.ndarray, k: int, seed: int = 42, rounds: int = 60) -> dict:
-    """Expectation-maximisation of a diagonal Gaussian model with k states; states start from quantiles of the first feature."""
-    n, d = x.shape
-    order = np.argsort(x[:, 0], kind="stable")
-    part = np.empty(n, int)
-    part[order] = np.arange(n) * k // n
-    m = np.stack([x[part == j].mean(axis=0) for j in range(k)])
-    s = np.stack([x[part == j].var(axis=0) + 1e-3 for j in range(k)])
-    pi, a, last = np.full(k, 1 / k), np.full((k, k), 0.1 / k) + np.eye(k) * 0.9, -np.inf
-    for _ in range(rounds):
-        logb = _log_emission(x, m, s)
-        alpha, scale = _forward(logb, pi, a)
-        b = np.exp(logb - logb.max(axis=1, keepdims=True))
-        beta = np.ones((n, k))
-        for t in range(n - 2, -1, -1):
-            z = a @ (b[t + 1] * beta[t + 1])
-            beta[t] = z / z.sum()
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        xi = alpha[:-1, :, None] * a[None] * (b[1:] * beta[1:])[:, None, :]
-        xi /= xi.sum(axis=(1, 2), keepdims=True)
-        pi, a = gamma[0], xi.sum(axis=0) / np.maximum(gamma[:-1].sum(axis=0), 1e-12)[:, None]
-        w = np.maximum(gamma.sum(axis=0), 1e-12)[:, None]
-        m = gamma.T @ x / w
-        s = np.maximum(gamma.T @ (x * x) / w - m * m, 1e-4)
-        if scale.sum() - last < 1e-4 * n:
-            break
-        last = scale.sum()
-    free = k * k - 1 + k * d + k * d * (d + 1) // 2  # counted as for full covariances
-    states = np.bincount(np.argmax(gamma, axis=1), minlength=k)
-    return {"k": k, "pi": pi.tolist(), "a": a.tolist(), "m": m.tolist(), "s": s.tolist(), "bic": float(-2 * scale.sum() + free * math.log(n)), "least": int(states.min())}
-
-
-def select_hmm(features: DataFrame, names: list[str], ks=(2, 3, 4, 5, 6), least: int = 200) -> dict:
-    """The model of lowest BIC whose states all have ``least`` rows (else the fewest states); one task per number of states.
-
-    A model's data are one index's daily history, a few thousand rows.
-    """
-    rows = features.select("date", F.array(*names).alias("x")).groupBy().agg(F.sort_array(F.collect_list(F.struct("date", "x"))).alias("rows"))
-    tasks = rows.crossJoin(F.broadcast(features.sparkSession.createDataFrame([(k,) for k in ks], "k int")))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([list(r["x"]) for r in df["rows"].iloc[0]], float)
-        return pd.DataFrame({"model": [json.dumps(fit_hmm(x, int(df["k"].iloc[0])))]})
-
-    found = [json.loads(r.model) for r in tasks.groupBy("k").applyInPandas(run, "model string").collect()]
-    fine = [f for f in found if f["least"] >= least]
-    return min(fine, key=lambda f: f["bic"]) if fine else min(found, key=lambda f: f["k"])
-
-
-def hmm_probabilities(features: DataFrame, names: list[str], model: dict, smooth: bool = False, key: str = "ticker") -> DataFrame:
-    """(key, date, p array): filtered (causal) or smoothed state probabilities of each series in date order."""
-    pi, a, m, s = (np.array(model[x]) for x in ("pi", "a", "m", "s"))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("date", kind="stable")
-        logb = _log_emission(df[names].to_numpy(float), m, s)
-        p, _ = _forward(logb, pi, a)
-        if smooth:
-            b = np.exp(logb - logb.max(axis=1, keepdims=True))
-            beta = np.ones_like(b)
-            for t in range(len(b) - 2, -1, -1):
-                z = a @ (b[t + 1] * beta[t + 1])
-                beta[t] = z / z.sum()
-            p = p * beta
-            p /= p.sum(axis=1, keepdims=True)
-        return pd.DataFrame({key: df[key].to_numpy(), "date": df["date"].to_numpy(), "p": list(p)})
-
-    kind = features.schema[key].dataType.simpleString()
-    return features.select(key, "date", *names).groupBy(key).applyInPandas(run, f"{key} {kind}, date date, p array<double>")
-
-
 def save_hmm(spark, model: dict, path: str, **about) -> None:
     """Parameters and what is known about them (dates, features) as JSON."""
     put_text(spark, json.dumps({"model": model, "about": about}), path)

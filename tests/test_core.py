@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from alphaloom.operators import ic, overfit, regime, search, simulate
+from alphaloom.operators import chain, ic, overfit, regime, search, simulate
 from alphaloom.plans import compiler
 from alphaloom.plans import formula as L
 from alphaloom.sources import catalog, panel
@@ -132,10 +132,10 @@ def test_hidden_markov(spark):
     days = pd.bdate_range("2018-01-01", periods=600)
     rows = [("i", d.date(), float(a), float(b)) for d, (a, b) in zip(days, x)]
     df = spark.createDataFrame(rows, "ticker string, date date, a double, b double")
-    model = regime.select_hmm(df, ["a", "b"], (2, 3), 50)
-    p = regime.hmm_probabilities(df, ["a", "b"], model).orderBy("date").collect()
-    assert all(abs(sum(r.p) - 1) < 1e-9 for r in p)
-    state = np.array([int(np.argmax(r.p)) for r in p])
+    model = chain.select(df, ["a", "b"], (2, 3), 50, rounds=25)
+    p = chain.probabilities(df, ["a", "b"], model).orderBy("date").collect()
+    assert all(abs(sum(r.filtered) - 1) < 1e-9 for r in p)
+    state = np.array([int(np.argmax(r.filtered)) for r in p])
     assert np.mean(state[20:300] == np.bincount(state[20:300]).argmax()) > 0.9
     assert regime.align_states(np.array([[0.0], [5.0]]), np.array([[5.1], [0.2]])) == [1, 0]
 

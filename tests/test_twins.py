@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaloom import registry
-from alphaloom.operators import ic, overfit, regime, simulate
+from alphaloom.operators import chain, ic, overfit, regime, simulate
 from alphaloom.plans import compiler
 from alphaloom.plans.formula import parse
 from alphaloom.queries import common, stats
@@ -132,7 +132,7 @@ def test_hidden_states(spark):
     b = np.exp(-0.5 * (x[:, None] - m[:, 0]) ** 2 / s[:, 0]) / np.sqrt(s[:, 0])
     weight = {z: pi[z[0]] * np.prod([a[i, j] for i, j in zip(z, z[1:])]) * np.prod([b[t, i] for t, i in enumerate(z)]) for z in itertools.product((0, 1), repeat=len(x))}
     for smooth in (False, True):
-        got = [r.p for r in sorted(regime.hmm_probabilities(df, ["x"], model, smooth=smooth).collect(), key=lambda r: r.date)]
+        got = [r.smoothed if smooth else r.filtered for r in sorted(chain.probabilities(df, ["x"], model, days=2, width=2).collect(), key=lambda r: r.date)]
         for t, p in enumerate(got):
             some = weight if smooth else {z: pi[z[0]] * np.prod([a[i, j] for i, j in zip(z, z[1:])]) * np.prod([b[u, i] for u, i in enumerate(z)]) for z in itertools.product((0, 1), repeat=t + 1)}
             want = sum(w for z, w in some.items() if z[t] == 1) / sum(some.values())
