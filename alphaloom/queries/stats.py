@@ -291,8 +291,8 @@ def hmm_features(spark, d):
     return rounded(rounded(regime.hmm_features(monthly(spark, d)), "log_ret", "vol_ratio"), "atr", "hl", digits=5)
 
 
-#: A three-state model of monthly (log return, range over close), given, not fitted.
-CHAIN = {"k": 3, "pi": [0.5, 0.3, 0.2], "a": [[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.15, 0.25, 0.6]], "m": [[0.0, 0.2], [0.1, 0.5], [-0.1, 0.9]], "s": [[0.02, 0.04], [0.06, 0.05], [0.2, 0.16]]}
+#: A three-state model of monthly (log return, log of high over low), given, not fitted.
+CHAIN = {"k": 3, "pi": [0.5, 0.3, 0.2], "a": [[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.15, 0.25, 0.6]], "m": [[0.0, 2.0], [0.5, 3.5], [-0.5, 5.0]], "s": [[2.0, 1.5], [3.0, 1.5], [5.0, 2.0]]}
 
 
 def _chain_sql(model: dict) -> str:
@@ -306,7 +306,7 @@ def _chain_sql(model: dict) -> str:
     begin = ", ".join(f"{model['pi'][j]} * b{j} AS u{j}" for j in k)
     total = " + ".join(f"f{j} * g{j}" for j in k)
     out = ", ".join([*(f"round(f{j}, 6) + 0.0 AS filtered_{j}" for j in k), *(f"round(f{j} * g{j} / ({total}), 6) + 0.0 AS smoothed_{j}" for j in k)])
-    return f"""WITH RECURSIVE {MONTHLY}, x AS (SELECT ticker, date, ln(pclose / lag(pclose) OVER ({TS})) AS log_ret, (phigh - plow) / pclose AS hl FROM panel),
+    return f"""WITH RECURSIVE {MONTHLY}, x AS (SELECT ticker, date, ln(pclose / lag(pclose) OVER ({TS})) AS log_ret, ln(phigh / plow) AS hl FROM panel),
 e AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n, count(*) OVER (PARTITION BY ticker) AS last, {emit} FROM x WHERE log_ret IS NOT NULL),
 f AS (SELECT ticker, n, {norm('f')} FROM (SELECT ticker, n, {begin} FROM e WHERE n = 1) UNION ALL SELECT ticker, n, {norm('f')} FROM (SELECT e.ticker, e.n, {into} FROM f JOIN e ON e.ticker = f.ticker AND e.n = f.n + 1)),
 g AS (SELECT ticker, n, {', '.join(f'1.0::DOUBLE AS g{j}' for j in k)} FROM e WHERE n = last UNION ALL SELECT ticker, n, {norm('g')} FROM (SELECT g.ticker, g.n - 1 AS n, {back} FROM g JOIN e ON e.ticker = g.ticker AND e.n = g.n WHERE g.n > 1))
@@ -316,7 +316,7 @@ SELECT e.ticker, e.date, {out} FROM e JOIN f USING (ticker, n) JOIN g USING (tic
 @query("chain_probs", _chain_sql(CHAIN))
 def chain_probs(spark, d):
     """Filtered and smoothed state probabilities of every ticker under a given model; chunks of half a year, so that carries go through several levels."""
-    x = monthly(spark, d).select("ticker", "date", F.ln(F.try_divide("pclose", F.lag("pclose").over(Window.partitionBy("ticker").orderBy("date")))).alias("log_ret"), F.try_divide(F.col("phigh") - F.col("plow"), F.col("pclose")).alias("hl"))
+    x = monthly(spark, d).select("ticker", "date", F.ln(F.try_divide("pclose", F.lag("pclose").over(Window.partitionBy("ticker").orderBy("date")))).alias("log_ret"), F.ln(F.try_divide("phigh", "plow")).alias("hl"))
     out = chain.probabilities(x, ["log_ret", "hl"], CHAIN, days=183, width=4)
     each = [(f"{n}_{j}", F.round(F.get(n, j), 6) + F.lit(0.0)) for n in ("filtered", "smoothed") for j in range(3)]
     return out.select("ticker", "date", *[c.alias(n) for n, c in each])
