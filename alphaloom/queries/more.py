@@ -160,7 +160,7 @@ def _names() -> str:
 
 
 def catalogue(spark, d) -> C.Catalog:
-    """A catalogue filled from the pool's results: first what the years before 2000 gave, then the whole span; one formula taken out."""
+    """A catalogue filled from the pool's results: first what the years before 2000 gave, then the whole span; a regime's crown changes hands, one formula is taken out."""
     store = C.Catalog(spark, f"{C.shared_folder(spark)}/catalogue-{uuid.uuid4().hex[:12]}")
     names = spark.createDataFrame(list(POOL.items()), "formula_id string, formula string")
     rows = pool_rows(spark, d)
@@ -169,17 +169,18 @@ def catalogue(spark, d) -> C.Catalog:
     store.upsert(first.select("formula", "rank_ic", F.lit("first half").alias("source"), F.lit("2000-01-01").alias("updated_at")))
     complexity = spark.createDataFrame([(k, parse(v).size) for k, v in POOL.items()], "formula_id string, complexity int")
     fitted = ic.fitness(ic.fold_ics(days, _folds(spark, d)), complexity, ic.size_corr(rows))
-    wf = F.struct("mean_ric", "std_ric", F.col("pos_folds").cast("int").alias("pos_folds"), F.col("n_folds").cast("int").alias("n_folds"), F.when(F.col("status") == "ok", F.col("fitness")).alias("fitness"), F.lit(None).cast("array<double>").alias("fold_rics"))
+    wf = F.struct("mean_ric", "std_ric", F.col("pos_folds").cast("int").alias("pos_folds"), F.col("n_folds").cast("int").alias("n_folds"), F.when(F.col("status") == "ok", F.col("fitness")).alias("fitness"), F.lit(None).cast("array<double>").alias("fold_rics"), F.lit(None).cast("double").alias("size_corr"))
     whole = ic.summary(days).join(fitted.select("formula_id", wf.alias("wf"), "complexity"), "formula_id").join(names, "formula_id")
-    regime_of = F.when(F.col("formula_id") == "level", 1).otherwise(0)
-    store.upsert(whole.select("formula", "rank_ic", "wf", "complexity", regime_of.alias("regime_champion_for"), F.lit("2001-01-01").alias("updated_at")))
+    store.upsert(whole.select("formula", "rank_ic", "wf", "complexity", F.lit("2001-01-01").alias("updated_at")))
+    for state, formula_id in ((0, "trend"), (1, "level"), (0, "momentum")):
+        store.crown(state, POOL[formula_id], "2001-01-15")
     store.deactivate(names.where("formula_id = 'trend'"), "2001-02-01")
     return store
 
 
 #: the same records: RankIC of the whole span, fitness where the status is ok, one formula no longer live
 _CATALOG = f"""{_FITTED}, {_names()}, su AS (SELECT formula_id, avg(rank_ic) AS rank_ic FROM ics GROUP BY formula_id),
-cat AS (SELECT formula, formula_id, rank_ic, mean_ric, CASE WHEN status = 'ok' THEN mean_ric - 0.5 * std_ric - 0.001 * complexity - 0.5 * greatest(0.0, abs(size_corr) - 0.3) END AS fitness, complexity, CASE WHEN formula_id = 'level' THEN 1 ELSE 0 END AS champion, formula_id <> 'trend' AS live FROM f JOIN su USING (formula_id) JOIN names USING (formula_id)),
+cat AS (SELECT formula, formula_id, rank_ic, mean_ric, CASE WHEN status = 'ok' THEN mean_ric - 0.5 * std_ric - 0.001 * complexity - 0.5 * greatest(0.0, abs(size_corr) - 0.3) END AS fitness, complexity, CASE formula_id WHEN 'level' THEN 1 WHEN 'momentum' THEN 0 END AS champion, formula_id <> 'trend' AS live FROM f JOIN su USING (formula_id) JOIN names USING (formula_id)),
 placed AS (SELECT *, row_number() OVER (ORDER BY fitness IS NOT NULL DESC, coalesce(fitness, abs(rank_ic)) DESC, formula) AS place FROM cat)"""
 
 
@@ -190,12 +191,12 @@ def catalog_ranking(spark, d):
     return C.ranked(catalogue(spark, d).read()).select("formula", place.alias("place"))
 
 
-@query("catalog_champions", f"WITH {_CATALOG}, c AS (SELECT *, row_number() OVER (PARTITION BY champion ORDER BY coalesce(fitness, rank_ic) DESC, formula) AS n FROM cat WHERE live) SELECT CAST(champion AS INTEGER) AS regime_champion_for, formula, round(coalesce(mean_ric, rank_ic), 6) + 0.0 AS mean FROM c WHERE n = 1")
+@query("catalog_champions", f"WITH {_CATALOG}, c AS (SELECT *, row_number() OVER (PARTITION BY champion ORDER BY coalesce(fitness, rank_ic) DESC, formula) AS n FROM cat WHERE live AND champion IS NOT NULL) SELECT CAST(champion AS INTEGER) AS regime_champion_for, formula, round(coalesce(mean_ric, rank_ic), 6) + 0.0 AS mean FROM c WHERE n = 1")
 def catalog_champions(spark, d):
     return rounded(C.champions(catalogue(spark, d).read()).select("regime_champion_for", "formula", "mean"), "mean")
 
 
-@query("catalog_export", f"WITH {_CATALOG} SELECT formula, round(rank_ic, 6) + 0.0 AS rank_ic, round(fitness, 6) + 0.0 AS wf_fitness, CAST(complexity AS INTEGER) AS complexity, live, 'first half' AS source, '2001-01-01' AS updated_at FROM cat")
+@query("catalog_export", f"WITH {_CATALOG} SELECT formula, round(rank_ic, 6) + 0.0 AS rank_ic, round(fitness, 6) + 0.0 AS wf_fitness, CAST(complexity AS INTEGER) AS complexity, live, 'first half' AS source, CASE formula_id WHEN 'trend' THEN '2001-02-01' ELSE '2001-01-15' END AS updated_at FROM cat")
 def catalog_export(spark, d):
     store = catalogue(spark, d)
     store.export(f"{store.path}/export")
@@ -203,11 +204,29 @@ def catalog_export(spark, d):
     return rounded(out, "rank_ic", "wf_fitness")
 
 
-@query("ensemble_promotion", f"WITH {_CATALOG} SELECT formula FROM cat WHERE live ORDER BY rank_ic * CASE champion WHEN 0 THEN 0.9 ELSE 0.1 END DESC, formula LIMIT 1")
+@query("ensemble_promotion", f"WITH {_CATALOG} SELECT formula FROM cat WHERE live ORDER BY rank_ic * CASE champion WHEN 0 THEN 0.9 WHEN 1 THEN 0.1 ELSE 0.0 END DESC, formula LIMIT 1")
 def ensemble_promotion(spark, d):
     return C.promote(catalogue(spark, d).read().where("live"), {0: 0.9, 1: 0.1}).select("formula")
 
 
+_OLD = f"""{_FITTED}, {_names()}, su AS (SELECT formula_id, avg(ic) AS ic, avg(rank_ic) AS rank_ic FROM ics GROUP BY formula_id),
+old AS (SELECT formula_id || '/' || v AS formula, rank_ic, v FROM su, range(1, 6) r(v))"""
+
+
+@query("catalog_migrated", f"WITH {_OLD} SELECT formula, round(rank_ic, 6) + 0.0 AS rank_ic, round(CASE WHEN v = 1 THEN abs(rank_ic) ELSE 0.5 * rank_ic END, 6) + 0.0 AS adj_ic, CASE WHEN v < 5 THEN 1 ELSE 2 END AS ast_schema, CASE WHEN v >= 3 THEN round(rank_ic, 6) + 0.0 END AS wf_fitness, CASE WHEN v >= 4 THEN round(0.1 * rank_ic, 6) + 0.0 END AS wf_size_corr, 5 AS version, true AS live FROM old")
+def catalog_migrated(spark, d):
+    """The pool's results as JSON records of versions 1 to 5, each with what its version had, read into a catalogue."""
+    store = C.Catalog(spark, f"{C.shared_folder(spark)}/catalogue-{uuid.uuid4().hex[:12]}")
+    each = ic.summary(ic.daily(pool_rows(spark, d))).withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("formula", F.concat_ws("/", "formula_id", "v"))
+    since = lambda version, c: F.when(F.col("v") >= version, c)
+    wf = F.struct(F.col("rank_ic").alias("fitness"), since(4, 0.1 * F.col("rank_ic")).alias("size_corr"))
+    old = each.select("formula", "rank_ic", since(2, 0.5 * F.col("rank_ic")).alias("adj_ic"), since(3, wf).alias("wf"), since(5, F.lit(2)).alias("ast_schema"), since(2, F.col("v")).alias("_schema"))
+    old.write.json(f"{store.path}/import")
+    store.import_json(f"{store.path}/import", lines=True)
+    out = store.read().select("formula", "rank_ic", "adj_ic", "ast_schema", F.col("wf.fitness").alias("wf_fitness"), F.col("wf.size_corr").alias("wf_size_corr"), F.col("_schema").alias("version"), "live")
+    return rounded(out, "rank_ic", "adj_ic", "wf_fitness", "wf_size_corr")
+
+
 @query("tuned_parameters")
 def tuned_parameters(spark, d):
     """Penalties tuned on each span's scores by what the formulas do in the next, and their medians over the spans."""

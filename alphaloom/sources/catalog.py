@@ -7,15 +7,21 @@ import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .commits import CommitLog, Conflict
+
+#: Version of the records that are written.
+VERSION = 5
 
 CATALOG = """formula string, ast string, ast_schema int, ic double, rank_ic double, adj_ic double, source string,
 discovered_at string, updated_at string, split_date string, max_k int, population int, mcts_iters int, complexity int,
-wf struct<mean_ric:double,std_ric:double,pos_folds:int,n_folds:int,fitness:double,fold_rics:array<double>>,
+wf struct<mean_ric:double,std_ric:double,pos_folds:int,n_folds:int,fitness:double,fold_rics:array<double>,size_corr:double>,
 overfit struct<train_ric:double,test_ric:double,degradation_pct:double,ic_drop_pct:double,verdict:string>,
 backtests map<string,struct<net_return:double,ir:double,mdd:double,annual:double,at:string>>,
 regime_champion_for int, live boolean, deactivated_at string, _schema int"""
@@ -44,10 +50,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records of any version; what older ones lack takes its default. A broken file is an error."""
-    raw = spark.read.schema(CATALOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return raw.withColumns({"source": F.coalesce("source", F.lit("unknown")), "live": F.coalesce("live", F.lit(True)), "backtests": F.coalesce("backtests", F.create_map().cast(raw.schema["backtests"].dataType)), "_schema": F.lit(5)})
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of records of any version (or files with a record a line); what older ones lack takes its default. A broken file is an error."""
+    return migrated(spark.read.schema(CATALOG).option("multiLine", not lines).option("mode", "FAILFAST").json(path))
+
+
+def migrated(raw: DataFrame) -> DataFrame:
+    """Records of versions 1 (which do not say so) to 5 as the newest version.
+
+    Before 2 there is no adjusted RankIC: the size of the RankIC stands for it. Before 5 there is no version of the
+    tree's form: it is the first. What came with 3 and 4 (walk-forward block, its fold values and size correlation, the
+    fall of the IC) is null where a record lacks it.
+    """
+    version = F.coalesce("_schema", F.lit(1))
+    given = {
+        "adj_ic": F.when(version < 2, F.coalesce("adj_ic", F.abs(F.coalesce("rank_ic", F.lit(0.0))))).otherwise(F.col("adj_ic")),
+        "ast_schema": F.when(version < 5, F.coalesce("ast_schema", F.lit(1))).otherwise(F.col("ast_schema")),
+        "source": F.coalesce("source", F.lit("unknown")),
+        "live": F.coalesce("live", F.lit(True)),
+        "backtests": F.coalesce("backtests", F.create_map().cast(raw.schema["backtests"].dataType)),
+    }
+    return raw.withColumns(given).withColumn("_schema", F.lit(VERSION))
 
 
 def latest(versions: DataFrame, key: str = "formula", at: str = "updated_at") -> DataFrame:
@@ -91,44 +114,108 @@ def flatten(catalog: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """The formula catalogue in a folder: versions of records that only grow, the newest of each formula valid.
+    """The formula catalogue in a folder: records by formula, changed by numbered commits.
 
-    A write is new Parquet files that Spark commits at once, so a reader sees a whole batch or none of it, and a
-    failed write leaves nothing. ``seq`` numbers the writes; of a formula's versions the last written is valid.
+    A change is a function of the records valid before it. Its rows are written as Parquet that nothing refers to yet,
+    checked, and made valid by taking the next commit number; if another writer took that number first, the change is made
+    again on what is valid then, so no writer undoes another's work. Readers see whole commits only, and any number back.
+    Every tenth commit holds all valid records, so a reader opens ten folders at most.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> DataFrame:
-        schema = StructType([*self.spark.createDataFrame([], CATALOG).schema.fields, StructField("seq", LongType())])
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/versions")
-
-    def read(self) -> DataFrame:
-        """One record per formula, defaults in place."""
-        return latest(self.versions(), at="seq").drop("seq")
-
-    def upsert(self, rows: DataFrame) -> None:
-        """New versions of the records in ``rows`` (any of the catalogue's columns; what they lack is kept from before)."""
-        now = self.versions()
-        seq = (now.agg(F.max("seq")).first()[0] or 0) + 1
-        before = latest(now, at="seq").drop("seq")
-        columns = [c for c in before.columns if c != "formula"]
-        # no catalogue is larger than what mining accepted, so both sides are small
-        j = rows.select("formula", *[F.col(c).alias(f"__{c}") for c in rows.columns if c != "formula"]).join(before, "formula", "left")
-        value = {c: F.coalesce(F.col(f"__{c}").cast(before.schema[c].dataType), F.col(c)) if c in rows.columns else F.col(c) for c in columns}
-        value["live"] = F.coalesce(value["live"], F.lit(True))
-        value["source"] = F.coalesce(value["source"], F.lit("unknown"))
-        out = j.select("formula", *[v.alias(c) for c, v in value.items()]).withColumn("_schema", F.lit(5)).withColumn("seq", F.lit(seq).cast("bigint"))
-        out.write.mode("append").parquet(f"{self.path}/versions")
-
-    def deactivate(self, formulas: DataFrame, at: str) -> None:
-        """The named formulas are no longer live from ``at`` on."""
-        known = self.read().select("formula")
-        self.upsert(formulas.select("formula").distinct().join(known, "formula", "left_semi").select("formula", F.lit(False).alias("live"), F.lit(at).alias("deactivated_at")))
+    def __init__(self, spark: SparkSession, path: str, full_every: int = 10):
+        self.spark, self.path, self.full_every = spark, path.rstrip("/"), full_every
+        self.log = CommitLog(spark, f"{self.path}/commits")
+
+    def read(self, number: int | None = None) -> DataFrame:
+        """One record per formula, as of a commit (default: the last)."""
+        schema = StructType([*self.spark.createDataFrame([], CATALOG).schema.fields, StructField("txn", StringType())])
+        there = [n for n in self.log.numbers() if number is None or n <= number]
+        used: dict[str, int] = {}
+        for n in reversed(there):
+            commit = self.log.read(n)
+            used[commit["txn"]] = n
+            if commit["full"]:
+                break
+        if not used:
+            return self.spark.createDataFrame([], schema).drop("txn")
+        seq = F.element_at(F.create_map(*[F.lit(x) for pair in used.items() for x in pair]), F.col("txn"))
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{t}" for t in used])
+        return latest(rows.withColumn("seq", seq).drop("txn"), at="seq").drop("seq")
+
+    def transact(self, change: Callable[[DataFrame], DataFrame], full: bool = False, attempts: int = 50) -> int:
+        """Puts the whole records that ``change`` makes of the valid ones; the number of the commit.
+
+        A batch with a formula twice, or after which a regime has two live champions, is an error and changes nothing.
+        """
+        for _ in range(attempts):
+            last = max(self.log.numbers(), default=0)
+            before = self.read(last)
+            txn = uuid.uuid4().hex
+            data = f"{self.path}/data/{txn}"
+            change(before).select(*before.columns).withColumn("txn", F.lit(txn)).write.parquet(data)
+            rows = self.spark.read.schema(before.schema).parquet(data)
+            try:
+                self._check(before, rows)
+            except ValueError:
+                self._delete(data)
+                raise
+            if self.log.create(last + 1, {"txn": txn, "full": full, "rows": rows.count()}):
+                if not full and (last + 1) % self.full_every == 0:
+                    self.compact()
+                return last + 1
+            self._delete(data)
+        raise Conflict(f"{attempts} times another writer was first")
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    @staticmethod
+    def _check(before: DataFrame, rows: DataFrame) -> None:
+        twice = [r.formula for r in rows.groupBy("formula").count().where("count > 1 or formula is null").limit(5).collect()]
+        if twice:
+            raise ValueError(f"a formula may stand in a batch once only: {twice}")
+        after = before.join(rows.select("formula"), "formula", "left_anti").select("regime_champion_for", "live").unionByName(rows.select("regime_champion_for", "live"))
+        many = [r.regime_champion_for for r in after.where("live and regime_champion_for is not null").groupBy("regime_champion_for").count().where("count > 1").limit(5).collect()]
+        if many:
+            raise ValueError(f"a regime has one champion only: {many}")
+
+    def compact(self) -> int:
+        """A commit of all valid records, from which readers start."""
+        return self.transact(lambda before: before, full=True)
+
+    def upsert(self, rows: DataFrame) -> int:
+        """New values of the records in ``rows`` (any of the catalogue's columns; what they lack, or have as null, is kept from before)."""
+
+        def change(before: DataFrame) -> DataFrame:
+            columns = [c for c in before.columns if c != "formula"]
+            j = rows.select("formula", *[F.col(c).alias(f"__{c}") for c in rows.columns if c != "formula"]).join(before, "formula", "left")
+            value = {c: F.coalesce(F.col(f"__{c}").cast(before.schema[c].dataType), F.col(c)) if c in rows.columns else F.col(c) for c in columns}
+            value |= {"live": F.coalesce(value["live"], F.lit(True)), "source": F.coalesce(value["source"], F.lit("unknown")), "_schema": F.lit(VERSION)}
+            return j.select("formula", *[v.alias(c) for c, v in value.items()])
+
+        return self.transact(change)
+
+    def import_json(self, path: str, lines: bool = False) -> int:
+        """Records of JSON files of any version."""
+        return self.upsert(read_catalog(self.spark, path, lines))
+
+    def crown(self, regime: int, formula: str, at: str) -> int:
+        """``formula`` (a known one that is live, else an error) becomes the regime's one champion; who was it before is not any more."""
+
+        def change(before: DataFrame) -> DataFrame:
+            new = before.where((F.col("formula") == formula) & F.col("live"))
+            if new.isEmpty():
+                raise ValueError(f"no live record of {formula}")
+            old = before.where((F.col("regime_champion_for") == regime) & (F.col("formula") != formula)).withColumn("regime_champion_for", F.lit(None).cast("int"))
+            return new.withColumns({"regime_champion_for": F.lit(regime), "updated_at": F.lit(at)}).unionByName(old)
+
+        return self.transact(change)
+
+    def deactivate(self, formulas: DataFrame, at: str) -> int:
+        """The named formulas are no longer live, nor champions, from ``at`` on; unknown names change nothing."""
+        off = {"live": F.lit(False), "deactivated_at": F.lit(at), "updated_at": F.lit(at), "regime_champion_for": F.lit(None).cast("int")}
+        return self.transact(lambda before: before.join(formulas.select("formula").distinct(), "formula", "left_semi").withColumns(off))
 
     def snapshot(self, day: str, keep: int = 7) -> None:
         """The valid records as they are, once a day; the oldest beyond ``keep`` go."""
@@ -139,7 +226,7 @@ class Catalog:
             return
         self.read().write.parquet(f"{self.path}/snapshots/day={day}")
         for name in sorted([*there, f"day={day}"])[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots/{name}"), True)
+            self._delete(f"{self.path}/snapshots/{name}")
 
     def export(self, path: str) -> None:
         """The valid records as CSV with plain columns."""
