@@ -18,7 +18,7 @@ from .common import OWN, Scratch, give_back
 from .lm_score import first_of, squeezed, unsqueezed
 from .packed import deal, unpack
 
-BLOCK = 8 << 20  # bytes of text whose positions form one block
+BLOCK = 4 << 20  # bytes of text whose positions form one block
 #: Characters that end a piece; phrases do not cross them.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(ENDS))
@@ -198,7 +198,7 @@ def pairs(buckets: int):
             at = np.flatnonzero(ids)
             found, word = np.unique(ids[at], return_inverse=True)
             words = Lists(at, word, found.reshape(-1, 1))
-            out.append(sent(block, words.extended(words), [words, words], buckets))
+            out.append(sent(block, words.extended(words), [words], buckets))
         give_back()
         return pa.concat_tables(out) if out else _rows([])
 
@@ -212,7 +212,8 @@ def longer(buckets: int):
         out = []
         for block, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist()):
             columns = unsqueezed(payload)
-            words, before = Lists.unpacked(*columns[:4]), Lists.unpacked(*columns[4:])
+            words = Lists.unpacked(*columns[:4])
+            before = Lists.unpacked(*columns[4:]) if len(columns) > 4 else words  # one word each
             now = before.extended(words)
             order = np.argsort(bucket_of(now.ids, buckets), kind="stable")
             frequent = np.zeros(len(now.ids), bool)
