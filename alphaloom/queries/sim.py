@@ -13,6 +13,7 @@ from ..operators import ic, overfit, search, simulate
 from ..plans.compiler import clip, evaluate, signals
 from ..sources import panel as P
 from ..sources.catalog import shared_folder
+from ..streaming import decay, paper
 from ..streaming.decay import decay_stream, read_upserted, upsert_sink
 from .common import MONTHLY, ORACLE, TS, WEEKLY, frame, monthly, query, rounded, weekly, with_ret
 from .stats import _AVG, _BENCH, _CLIP, _POOL_SQL, _PROBS, POOL, pool_rows, probabilities
@@ -421,3 +422,53 @@ def stream_decay(spark, d):
     q = decay_stream(stream, patience=2).writeStream.outputMode("update").foreachBatch(upsert_sink(f"{base}/out", ["formula_id"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return rounded(read_upserted(spark, f"{base}/out", ["formula_id"]), "m").withColumn("triggered_at", F.to_date("triggered_at"))
+
+
+@query("stream_paper_pnl", ORACLE["paper_realized_pnl"])
+def stream_paper_pnl(spark, d):
+    """The ledger's trades filled by a stream of prices that stops half-way and is started again; unfilled ones come out at the end."""
+    base = f"{shared_folder(spark)}/paper-{uuid.uuid4().hex[:12]}"
+    panel = monthly(spark, d)
+    days = F.broadcast(P.trading_calendar(panel).withColumnRenamed("idx", "day"))  # a row per day
+    dated = panel.join(days, "date").withColumn("date", F.col("date").cast("timestamp"))
+    entries = simulate.log_trades(dated.select("ticker", "date", (F.col("day") + 2).alias("exit_day"), F.col("pclose").alias("entry_px"), F.lit(0.1).alias("weight"), F.lit(20.0).alias("slippage_bps")))
+    prices = dated.select("ticker", "date", "day", "pclose")
+    half = panel.agg(F.date_add(F.min("date"), F.floor(F.date_diff(F.max("date"), F.min("date")) / 2).cast("int")).alias("half"), F.date_add(F.max("date"), 400).alias("end")).first()
+    for part in (f"date < '{half.half}'", f"date >= '{half.half}'", None):
+        for name, rows in (("entries", entries), ("prices", prices)):
+            (paper.heartbeat(rows, str(half.end)) if part is None else rows.where(part)).write.mode("append").parquet(f"{base}/{name}")
+        streams = [spark.readStream.schema(rows.schema).parquet(f"{base}/{name}") for name, rows in (("entries", entries), ("prices", prices))]
+        out = paper.fills(*streams).writeStream.outputMode("append").foreachBatch(upsert_sink(f"{base}/out", ["ticker", "date"]))
+        out.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = read_upserted(spark, f"{base}/out", ["ticker", "date"]).withColumn("date", F.to_date("date"))
+    return rounded(out.select("ticker", "date", "gross_pnl_pct", "net_pnl_pct"), "gross_pnl_pct", "net_pnl_pct")
+
+
+@query(
+    "stream_kill_switch",
+    f"""WITH {_DAYPNL}, a AS (SELECT CAST(date AS TIMESTAMP) AS t FROM dp WHERE pnl <= -0.03)
+SELECT 'book' AS account, t AS "at", 'on' AS turned, 'daily loss' AS reason FROM a UNION ALL SELECT 'book', t + INTERVAL 24 HOUR, 'off', 'daily loss' FROM a""",
+)
+def stream_kill_switch(spark, d):
+    """Days of a loss beyond the limit stop the book for 24 hours; half the stops end by a later alarm, the last one by its timer."""
+    base = f"{shared_folder(spark)}/switch-{uuid.uuid4().hex[:12]}"
+    alarms = simulate.daily_pnl(ledger(spark, d)).where("pnl <= -0.03").select(F.lit("book").alias("account"), F.col("date").cast("timestamp").alias("at"), F.lit("daily loss").alias("reason"))
+    end = alarms.agg(F.max("at") + F.expr("interval 3 days")).first()[0]
+    for rows in (alarms, paper.heartbeat(alarms, str(end or "2000-01-01"), "at").withColumn("account", F.lit("clock"))):
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = decay.kill_switch(spark.readStream.schema(alarms.schema).parquet(f"{base}/in")).where("account <> 'clock'")
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out", format="parquet").awaitTermination()
+    return spark.read.schema("account string, at timestamp, turned string, reason string").parquet(f"{base}/out")
+
+
+@query("stream_windowed_pnl", f"WITH {_DAYPNL} SELECT date, round(pnl, 6) + 0.0 AS pnl, n FROM dp")
+def stream_windowed_pnl(spark, d):
+    """Weighted results of the ledger's filled trades by day, as a stream that a watermark closes."""
+    base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex[:12]}"
+    trades = ledger(spark, d).where("net_pnl_pct is not null").select(F.col("date").cast("timestamp").alias("date"), "net_pnl_pct", "weight")
+    end = trades.agg(F.max("date") + F.expr("interval 30 days")).first()[0]
+    for rows in (trades, paper.heartbeat(trades, str(end or "2000-01-01"))):
+        rows.write.mode("append").parquet(f"{base}/in")
+    stream = decay.windowed_pnl(spark.readStream.schema(trades.schema).parquet(f"{base}/in"))
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out", format="parquet").awaitTermination()
+    return rounded(spark.read.schema(stream.schema).parquet(f"{base}/out").select(F.to_date("window.start").alias("date"), "pnl", "n"), "pnl")
