@@ -59,6 +59,17 @@ def regime_weights(probs: DataFrame, ref_date=None, low: float = 0.1, high: floa
     return cosine_to(probs, list(ref[0])).select("date", (low + (high - low) * F.exp(temperature * (F.col("similarity") - 1))).alias("weight"))
 
 
+def fold_similarity(probs: DataFrame, folds: list[tuple[int, list]]) -> dict[int, float]:
+    """The mean similarity of each fold's days (``ic.folds``) to the latest day among ``probs(date, p array)``."""
+    days = [d for _, ds in folds for d in ds]
+    ref = probs.orderBy(F.desc("date")).select("p").first()
+    if not days or ref is None:
+        return {}
+    table = probs.sparkSession.createDataFrame([(k, d) for k, ds in folds for d in ds], "fold int, date date")
+    like = cosine_to(probs, list(ref[0])).join(F.broadcast(table), "date").groupBy("fold").agg(F.avg("similarity").alias("s"))
+    return {r.fold: r.s for r in like.collect()}
+
+
 def triple_barrier(panel: DataFrame, horizon: int = 5, up: float = 2.0, down: float = 2.0, vol_window: int = 20, floor: float = 0.005, long_only: bool = False) -> DataFrame:
     """``label`` (1 up first, -1 down first, 0 neither) and ``weight`` for each row whose ticker is long enough.
 

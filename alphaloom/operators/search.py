@@ -1,17 +1,18 @@
-"""Search over formulas: mining windows, tree search and parameter tuning; pools are evaluated as one Spark job."""
+"""Search over formulas: mining windows and tree search; pools are evaluated as one Spark job."""
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
-from statistics import median
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.compiler import signals
-from ..plans.formula import Node, crossover, generate, mutate, status_of
+from ..plans.formula import Node, canonical, crossover, generate, mutate, parse, status_of
 from . import ic
 
 
@@ -39,31 +40,14 @@ def score_pool(panel: DataFrame, pool: list[Node], n_folds: int = 4, embargo: in
     days = sorted(r.date for r in rows.select("date").distinct().collect())
     table = ic.fold_table(panel.sparkSession, ic.folds(days, n_folds, embargo, least_days))
     per = ic.fold_ics(ic.daily(rows), table)
+    each = per.groupBy("formula_id").agg(F.sort_array(F.collect_list(F.struct("fold", "ric"))).alias("fold_rics"))
     cx = panel.sparkSession.createDataFrame([(k, str(t), t.size) for k, t in named.items()], "formula_id string, formula string, complexity int")
-    return ic.fitness(per, cx, ic.size_corr(rows))
-
-
-def penalised(row, lambda_std: float, lambda_cx: float = 0.001, lambda_size: float = 0.5) -> float:
-    """The fitness of a scored formula under other penalties."""
-    return row.mean_ric - lambda_std * row.std_ric - lambda_cx * row.complexity - lambda_size * max(0.0, abs(row.size_corr or 0.0) - 0.3)
-
-
-def tune_on(scored: list, ahead: dict[str, float], trials: int, seed: int, top: int = 3) -> dict:
-    """Penalties under which the best ``top`` formulas of one span's scores have the highest median RankIC in the next."""
-    rows = [r for r in scored if r.mean_ric is not None and r.formula in ahead]
-
-    def objective(p: dict) -> float:
-        best = sorted(rows, key=lambda r: (-penalised(r, p["lambda_std"], p["lambda_cx"]), r.formula))[:top]
-        return median(ahead[r.formula] for r in best) if best else -1e6
-
-    return tune(objective, {"lambda_std": (0.0, 2.0), "lambda_cx": (0.0, 0.01)}, trials, seed)[0]
+    return ic.fitness(per, cx, ic.size_corr(rows)).join(each, "formula_id", "left")
 
 
 def mine(panel: DataFrame, seed: int = 42, population: int = 20, rounds: int = 2, least_ric: float = 0.003, least_share: float = 0.4) -> DataFrame:
     """Generations of formulas: each bred from those accepted before; the accepted of all rounds, best first."""
     rng, parents, kept = random.Random(seed), [], {}
-    from ..plans.formula import parse
-
     for _ in range(rounds):
         for r in score_pool(panel, breed(rng, parents, population)).collect():
             if r.status == "ok" and r.mean_ric >= least_ric and r.pos_folds / r.n_folds >= least_share:
@@ -83,69 +67,134 @@ def sharpe_gate(mined: DataFrame, trials: int, top: int = 100, least: float = 0.
     return mined.orderBy(F.desc("fitness"), "formula").limit(top).withColumn("p", normal_cdf(z)).where(F.col("p") >= least)
 
 
-class _Branch:
-    def __init__(self, tree: Node):
-        self.tree, self.visits, self.total, self.children = tree, 0, 0.0, []
+# Formulas that a leaf grows, the number of branches that the balance term refers to, the chance of a mutation.
+GROWTH, BRANCHES, MUTATED = 4, 8, 0.5
+
+
+class Branch:
+    def __init__(self, tree: Node, parent: Branch | None = None):
+        self.tree, self.parent, self.visits, self.total, self.children = tree, parent, 0, 0.0, []
 
     @property
     def value(self) -> float:
         return self.total / self.visits if self.visits else 0.0
 
 
-def tree_search(rng: random.Random, iterations: int = 200, budget: int = 15, value: Callable[[list[Node]], list[float]] | None = None, explore: float = 1.4) -> Node:
-    """Upper-confidence search from a random formula: leaves grow four mutated or new formulas; the most visited child of the root wins.
+@dataclass
+class Root:
+    """A search of its own: its random numbers, length budget, weight of exploration, and leaves put out in a round."""
 
-    ``value`` values a leaf's new formulas together, so that each growth is one Spark job (``pool_values``).
-    """
-    value = value or (lambda trees: [0.5] * len(trees))
-    root = _Branch(generate(rng, budget))
-    for _ in range(iterations):
-        path = [root]
-        while path[-1].children:
-            here = path[-1]
-            prior = 1.0 / len(here.children)
-            total = sum(c.visits for c in here.children)
-            balance = math.sqrt(len(here.children) / 8)
-            path.append(max(here.children, key=lambda c: c.value + explore * balance * prior * math.sqrt(total + 1) / (1 + c.visits)))
-        leaf = path[-1]
-        leaf.children = [_Branch(mutate(rng, leaf.tree) if rng.random() < 0.5 else generate(rng, budget)) for _ in range(4)]
-        for child, v in zip(leaf.children, value([c.tree for c in leaf.children])):
-            for b in (*path, child):
-                b.visits += 1
-                b.total += v
-    return max(root.children, key=lambda c: (c.visits, c.value)).tree
-
-
-def pool_values(panel: DataFrame, least: float = 0.0) -> Callable[[list[Node]], list[float]]:
-    """Values for ``tree_search``: the size of each formula's mean fold RankIC, ``least`` where it has none."""
-
-    def value(trees: list[Node]) -> list[float]:
-        named = {str(t): t for t in trees if status_of(t) == "ok"}
-        found = {r.formula: abs(r.mean_ric) for r in score_pool(panel, list(named.values())).collect() if r.mean_ric is not None} if named else {}
-        return [found.get(str(t), least) for t in trees]
+    rng: random.Random
+    budget: int = 15
+    explore: float = 1.4
+    leaves: int = 1
+    branch: Branch = field(init=False)
 
-    return value
+    def __post_init__(self):
+        self.branch = Branch(generate(self.rng, self.budget))
 
+    def best(self) -> Branch:
+        """The child of the root with most visits, then value; the root where it has none."""
+        return max(self.branch.children, key=lambda c: (c.visits, c.value), default=self.branch)
 
-def tune(objective: Callable[[dict], float], space: dict[str, tuple[float, float]], trials: int = 20, seed: int = 42) -> tuple[dict, float]:
-    """Seeded random search with the second half of the trials near the best so far."""
-    rng, best = random.Random(seed), (None, -math.inf)
-    for t in range(trials):
-        if t < trials // 2 or best[0] is None:
-            p = {k: rng.uniform(*r) for k, r in space.items()}
-        else:
-            p = {k: min(r[1], max(r[0], rng.gauss(best[0][k], (r[1] - r[0]) / 8))) for k, r in space.items()}
-        s = objective(p)
-        if s > best[1]:
-            best = (p, s)
-    return best
+
+def softmax_priors(children: list[Branch], bonus: dict[str, float]) -> list[float]:
+    """Chances of the children: equal but for the frequency of their formulas among known good ones' subtrees."""
+    most = max(bonus.values(), default=0.0) or 1.0
+    raw = [math.exp(bonus.get(canonical(c.tree), 0.0) / most) for c in children]
+    return [r / sum(raw) for r in raw]
 
 
-def pool_objective(mined: list[float], top: int = 10) -> float:
-    """Median of the ten best mean RankICs; too few results count as failure."""
-    return median(sorted(mined, reverse=True)[:top]) if len(mined) >= 5 else -1e6
+def select_leaf(root: Root, bonus: dict[str, float]) -> Branch:
+    """Down the branches of highest upper confidence to one without children, which grows; one of the grown is the leaf."""
+    here = root.branch
+    while here.children:
+        total, balance = sum(c.visits for c in here.children), math.sqrt(len(here.children) / BRANCHES)
+        chances = dict(zip(map(id, here.children), softmax_priors(here.children, bonus)))
+        here = max(here.children, key=lambda c: c.value + root.explore * balance * chances[id(c)] * math.sqrt(total + 1) / (1 + c.visits))
+    here.children = [Branch(mutate(root.rng, here.tree) if root.rng.random() < MUTATED else generate(root.rng, root.budget), here) for _ in range(GROWTH)]
+    return root.rng.choice(here.children)
+
+
+def prune(branch: Branch, least: int = 2) -> None:
+    """Branches with fewer than ``least`` visits go where another has as many, and so on downwards; those that were never valued stay open."""
+    if any(c.visits >= least for c in branch.children):
+        branch.children = [c for c in branch.children if c.visits >= least or not c.visits]
+    for c in branch.children:
+        prune(c, least)
+
+
+def path(branch: Branch | None) -> Iterator[Branch]:
+    while branch is not None:
+        yield branch
+        branch = branch.parent
+
+
+def grow(roots: list[Root], rounds: int, value: Callable[[list[Node]], list[float]], bonus: dict[str, float] | None = None, prune_every: int = 0) -> dict[str, float]:
+    """Searches from all roots together; the values found, by canonical formula.
+
+    In a round every root puts out its leaves one after another, each counted as a visit without value (a virtual loss)
+    so that the next goes elsewhere. Then the formulas of all leaves that were not met before are valued in one call, that
+    is one Spark job, and their values go up the paths. With one leaf a round a root's tree is that of a serial search.
+    """
+    known: dict[str, float] = {}
+    for i in range(rounds):
+        leaves: list[Branch] = []
+        for k in range(max(r.leaves for r in roots)):
+            for r in roots:
+                if k < r.leaves:
+                    leaf = select_leaf(r, bonus or {})
+                    for b in path(leaf):
+                        b.visits += 1
+                    leaves.append(leaf)
+        new = {c: leaf.tree for leaf in leaves if (c := canonical(leaf.tree)) not in known}
+        if new:
+            known.update(zip(new, value(list(new.values()))))
+        for leaf in leaves:
+            for b in path(leaf):
+                b.total += known[canonical(leaf.tree)]
+        if prune_every and (i + 1) % prune_every == 0:
+            for r in roots:
+                prune(r.branch)
+    return known
+
+
+def tree_search(rng: random.Random, iterations: int = 200, budget: int = 15, value: Callable[[list[Node]], list[float]] | None = None, explore: float = 1.4, bonus: dict[str, float] | None = None) -> Node:
+    """One root, one leaf a round: the most visited child of the root."""
+    root = Root(rng, budget, explore)
+    grow([root], iterations, value or (lambda trees: [0.5] * len(trees)), bonus)
+    return root.best().tree
+
+
+def subtree_bonus(formulas: DataFrame, most: int = 10_000) -> dict[str, float]:
+    """How often each subtree of two nodes or more stands in ``formulas(formula)``, of all their subtrees; the ``most`` frequent."""
+
+    def run(batches):
+        for b in batches:
+            found = [canonical(n) for f in b["formula"] for n in parse(f).walk() if n.children]
+            yield pd.DataFrame({"subtree": pd.Series(found, dtype=object)})
+
+    counts = formulas.select("formula").distinct().mapInPandas(run, "subtree string").groupBy("subtree").count()
+    top = counts.orderBy(F.desc("count"), "subtree").limit(most).collect()
+    total = sum(r["count"] for r in top)
+    return {r.subtree: r["count"] / total for r in top}
+
+
+class PoolValues:
+    """Values for ``grow``: the size of each formula's mean fold RankIC, ``least`` where it has none.
+
+    ``jobs`` counts the scorings, ``rows`` holds what they found, by canonical formula.
+    """
+
+    def __init__(self, panel: DataFrame, least: float = 0.0, **folds):
+        self.panel, self.least, self.folds, self.jobs, self.rows = panel, least, folds, 0, {}
+
+    def __call__(self, trees: list[Node]) -> list[float]:
+        named = {str(t): t for t in trees if status_of(t) == "ok"}
+        if named:
+            self.jobs += 1
+            for r in score_pool(self.panel, list(named.values()), **self.folds).collect():
+                self.rows[canonical(named[r.formula])] = r
+        return [abs(r.mean_ric) if (r := self.rows.get(canonical(t))) is not None and r.mean_ric is not None else self.least for t in trees]
 
 
-def consensus(params: list[dict]) -> dict:
-    """The median of each parameter over overlapping windows' results."""
-    return {k: median(p[k] for p in params) for k in params[0]}

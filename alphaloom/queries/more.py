@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ic, overfit, records, regime, search, simulate
+from ..operators import ic, overfit, records, regime, search, simulate, tuning
 from ..plans import formula as L
 from ..plans.compiler import evaluate
 from ..plans.formula import parse
@@ -141,18 +141,20 @@ def formula_similarity(spark, d):
 
 @query("tree_search")
 def tree_search(spark, d):
-    """Upper-confidence searches from two seeds; a leaf's new formulas are scored on the panel in one job."""
+    """Searches from three roots that grow together, two leaves a root and round; priors from the pool's subtrees. A round is one scoring on the panel."""
     panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
-    found = [(s, str(search.tree_search(random.Random(s), 2, 8, search.pool_values(panel)))) for s in range(2)]
-    return spark.createDataFrame(found, "seed int, formula string")
+    bonus = search.subtree_bonus(spark.createDataFrame([(f,) for f in POOL.values()], "formula string"))
+    roots, value = [search.Root(random.Random(s), 8, leaves=2) for s in range(3)], search.PoolValues(panel)
+    search.grow(roots, 3, value, bonus)
+    found = [(s, str(b.tree), b.visits, b.value, value.jobs) for s, b in enumerate(r.best() for r in roots)]
+    return rounded(spark.createDataFrame(found, "seed int, formula string, visits int, value double, jobs int"), "value")
 
 
 @query("mined_pool")
 def mined_pool(spark, d):
     """Two generations of formulas, the second bred from what the first accepted, through the Sharpe gate."""
     panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
-    mined = search.mine(panel, 7, population=6, rounds=2, least_ric=-1.0, least_share=0.0)
-    return rounded(search.sharpe_gate(mined, trials=12, least=0.0), "mean_ric", "fitness", "p")
+    return rounded(search.sharpe_gate(search.mine(panel, 7, population=12, rounds=2), trials=24), "mean_ric", "fitness", "p")
 
 
 def _names() -> str:
@@ -229,14 +231,12 @@ def catalog_migrated(spark, d):
 
 @query("tuned_parameters")
 def tuned_parameters(spark, d):
-    """Penalties tuned on each span's scores by what the formulas do in the next, and their medians over the spans."""
+    """The six parameters of mining, tuned on two overlapping windows, and their medians; every trial is a search on the panel."""
     panel = with_ret(monthly(spark, d)).withColumn("size", F.ln("pclose"))
-    pool = search.breed(random.Random(11), [], 8, 8)
-    years = [f"{y}-01-01" for y in (1995, 1997, 1999, 2001)]
-    spans = [search.score_pool(panel.where((F.col("date") >= a) & (F.col("date") < b)), pool, 2, 1, 5).collect() for a, b in zip(years, years[1:])]
-    ahead = [{r.formula: r.mean_ric for r in s if r.mean_ric is not None} for s in spans[1:]]
-    c = search.consensus([search.tune_on(s, after, 40, k) for k, (s, after) in enumerate(zip(spans, ahead))])
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(c.items())], "parameter string, value double")
+    days = [r.date for r in panel.select("date").distinct().orderBy("date").collect()]  # a row per trading day
+    found = tuning.rolling_tune(panel, days, n_windows=2, length=len(days) * 3 // 4, batches=1, n=2, rungs=2, rounds=1, probs=probabilities(spark, d), n_folds=2, least_days=5)
+    rows = [(f"window {i}", k, float(v)) for i, w in enumerate(found["windows"]) for k, v in sorted(w["params"].items())] + [("consensus", k, float(v)) for k, v in sorted(found["consensus"].items())]
+    return rounded(spark.createDataFrame(rows, "span string, parameter string, value double"), "value")
 
 
 _FUNDS = "p AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_returnflag AS code, max(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2), r AS (SELECT date, code, price / lag(price) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM p)"

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from alphaloom.operators import chain, ic, overfit, regime, search, simulate
+from alphaloom.operators import chain, ic, overfit, regime, search, simulate, tuning
 from alphaloom.plans import compiler
 from alphaloom.plans import formula as L
 from alphaloom.sources import catalog, panel
@@ -174,9 +174,7 @@ def test_search(market):
     rng = random.Random(5)
     pool = search.breed(rng, [], 6, 8)
     assert len({str(t) for t in pool}) == 6
-    best, value = search.tune(lambda p: -abs(p["x"] - 3), {"x": (0, 10)}, 60)
-    assert abs(best["x"] - 3) < 1 and value <= 0
-    assert search.pool_objective([0.1] * 3) == -1e6 and search.pool_objective([0.1, 0.2, 0.3, 0.4, 0.5]) == 0.3
+    assert tuning.pool_objective([0.1] * 3) == -1e6 and tuning.pool_objective([0.1, 0.2, 0.3, 0.4, 0.5]) == 0.3
     assert search.tree_search(random.Random(1), 40, 8) == search.tree_search(random.Random(1), 40, 8)
 
 
