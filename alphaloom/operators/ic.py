@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, daily_ic, full, last_rows, ordinal_norm, ts
+from ..functions.ranges import average_ranks
+from ..sources.catalog import keep
 
 
 def daily(rows: DataFrame, target: str = "ret", *keys: str) -> DataFrame:
@@ -27,27 +29,12 @@ def summary(ics: DataFrame, *keys: str) -> DataFrame:
     return ics.groupBy("formula_id", *keys).agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.stddev_samp("rank_ic").alias("rank_ic_std"), F.count("rank_ic").alias("days"))
 
 
-def pooled_ranks(rows: DataFrame, value: str, name: str, parts: int = 128) -> DataFrame:
-    """(formula_id, value, name): average ranks over all rows of a formula.
-
-    Values are counted, then dealt into ranges by approximate quantiles; a rank is the rows of lower ranges plus
-    the place in the own one, so no task sorts a whole formula. The ranges only divide the work: ranks are exact.
-    """
-    counts = rows.groupBy("formula_id", value).agg(F.count("*").alias("c"))
-    edges = rows.groupBy("formula_id").agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("e"))
-    placed = counts.join(F.broadcast(edges), "formula_id").withColumn("part", F.size(F.filter("e", lambda x: x < F.col(value)))).drop("e")
-    sizes = placed.groupBy("formula_id", "part").agg(F.sum("c").alias("s"))
-    lower = F.coalesce(F.sum("s").over(Window.partitionBy("formula_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("c").over(Window.partitionBy("formula_id", "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    joined = placed.withColumn("inside", inside).join(sizes.select("formula_id", "part", lower.alias("lower")), ["formula_id", "part"])
-    return joined.select("formula_id", value, (F.col("lower") + F.col("inside") + (F.col("c") + 1) / 2.0).alias(name))
-
-
 def pooled_rank_ic(rows: DataFrame, target: str = "ret") -> DataFrame:
-    """Spearman correlation of each formula over all rows, dates together."""
-    there = rows.where(F.col("signal").isNotNull() & F.col(target).isNotNull())
-    both = there.join(pooled_ranks(there, "signal", "rs"), ["formula_id", "signal"]).join(pooled_ranks(there, target, "ry"), ["formula_id", target])
-    return both.groupBy("formula_id").agg(daily_ic(F.col("rs"), F.col("ry")).alias("rank_ic"), F.count("*").alias("n"))
+    """Spearman correlation of each formula over all rows, dates together; ranks by ranges of values, which travel with the rows."""
+    there = rows.where(F.col("signal").isNotNull() & F.col(target).isNotNull()).select("formula_id", "ticker", "date", "signal", target)
+    ranked = average_ranks(there, "formula_id", "signal", "rs", ["ticker", "date"], lambda df: keep(df, "ranks"))
+    ranked = average_ranks(ranked, "formula_id", target, "ry", ["ticker", "date"], lambda df: keep(df, "ranks"))
+    return ranked.groupBy("formula_id").agg(daily_ic(F.col("rs"), F.col("ry")).alias("rank_ic"), F.count("*").alias("n"))
 
 
 def factors(panel: DataFrame) -> DataFrame:

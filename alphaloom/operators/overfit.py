@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from itertools import combinations
 from statistics import NormalDist
 
@@ -74,12 +73,42 @@ def pnl_slices(returns: DataFrame, slices: int = 8) -> DataFrame:
     return returns.withColumn("i", i).withColumn("slice", part).groupBy("formula_id", "slice").agg(F.avg("ret").alias("pnl"))
 
 
+def unranked(slices: int, take: int, rank: Column) -> Column:
+    """The ``rank``-th way to take ``take`` of ``slices``, in lexicographic order, as an array of booleans.
+
+    The number of ways that take a slice is a binomial; a rank below it takes the slice, any other leaves it and goes on
+    by what is left over.
+    """
+    width = take + 1
+    ways = F.array(*[F.lit(math.comb(n, k)) for n in range(slices) for k in range(width)]).cast("array<bigint>")
+    of = lambda n, k: F.when(k > 0, F.get(ways, n * width + k - 1)).otherwise(F.lit(0))
+    begin = F.struct(rank.cast("bigint").alias("r"), F.lit(take).alias("k"), F.array().cast("array<boolean>").alias("in"))
+
+    def step(state: Column, s: Column) -> Column:
+        w = of(F.lit(slices - 1) - s, state["k"])
+        taken = state["r"] < w
+        return F.struct(F.when(taken, state["r"]).otherwise(state["r"] - w).alias("r"), F.when(taken, state["k"] - 1).otherwise(state["k"]).alias("k"), F.concat(state["in"], F.array(taken)).alias("in"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(slices - 1)), begin, step, lambda state: state["in"])
+
+
 def splits(spark: SparkSession, slices: int, most: int = 1000, seed: int = 42) -> DataFrame:
-    """(combo, slice, inside): the ways to take half of the slices, a seeded sample beyond ``most``; broadcast."""
-    found = list(combinations(range(slices), slices // 2))
-    if len(found) > most:
-        found = sorted(random.Random(seed).sample(found, most))
-    return spark.createDataFrame([(c, s, s in inside) for c, inside in enumerate(found) for s in range(slices)], "combo int, slice int, inside boolean")
+    """(combo, slice, inside): the ways to take half of the slices, a seeded sample of ``most`` where there are more.
+
+    Ways are numbered in lexicographic order and made from their numbers on the executors; nothing is listed. A
+    sample takes one number from each of ``most`` even parts of the range, by a hash of the seed and the part. At most
+    60 slices: the numbers are of 64 bits.
+    """
+    if not 2 <= slices <= 60:
+        raise ValueError("2 to 60 slices")
+    total = math.comb(slices, slices // 2)
+    n = min(total, most)
+    width, extra = divmod(total, n)
+    i = F.col("id")
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), i).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    rank = i * width + F.least(i, F.lit(extra)) + F.pmod(h, F.lit(width) + F.when(i < extra, 1).otherwise(0))
+    rows = spark.range(n).select(i.cast("int").alias("combo"), unranked(slices, slices // 2, rank).alias("in"))
+    return rows.select("combo", F.posexplode("in").alias("slice", "inside"))
 
 
 def pbo_combos(sliced: DataFrame, combos: DataFrame) -> DataFrame:
@@ -147,8 +176,10 @@ def overfit_table(train: DataFrame, test: DataFrame, top: int = 20, worst: float
 def windows(panel: DataFrame, months: int = 6, step: int = 3, start_share: float = 0.5) -> DataFrame:
     """(window_id, start, end): month-stepped test windows after a share of the span; a handful, broadcast."""
     low, high = panel.agg(F.min("date"), F.max("date")).first()
+    if low is None:
+        return panel.sparkSession.createDataFrame([], "window_id int, start date, end date")
     first = low + (high - low) * start_share
-    s = panel.sparkSession.range(0, 1000).select(F.col("id").cast("int").alias("window_id"), F.add_months(F.lit(first), (F.col("id") * step).cast("int")).alias("start"))
+    s = panel.sparkSession.range(0, (high - first).days // (28 * step) + 2).select(F.col("id").cast("int").alias("window_id"), F.add_months(F.lit(first), (F.col("id") * step).cast("int")).alias("start"))
     return s.select("window_id", "start", F.add_months("start", months).alias("end")).where(F.col("start") < F.lit(high))
 
 

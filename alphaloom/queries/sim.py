@@ -256,8 +256,12 @@ def portfolio_report(spark, d):
     return rounded(simulate.report(simulate.actions(raw), _scaled(spark, d)), "target_weight", "prev_weight", "weight_delta", "turnover", "total_return", "win_rate")
 
 
-_SLICES = f"""{_DAILY}, si AS (SELECT formula_id, ret, row_number() OVER (PARTITION BY formula_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY formula_id) AS n FROM daily),
-sl AS (SELECT formula_id, {' + '.join(f'CASE WHEN i >= floor(n * {k} / 6.0) THEN 1 ELSE 0 END' for k in range(1, 6))} AS slice, ret FROM si), sliced AS (SELECT formula_id, slice, avg(ret) AS pnl FROM sl GROUP BY formula_id, slice)"""
+def _sliced_sql(slices: int) -> str:
+    return f"""{_DAILY}, si AS (SELECT formula_id, ret, row_number() OVER (PARTITION BY formula_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY formula_id) AS n FROM daily),
+sl AS (SELECT formula_id, {' + '.join(f'CASE WHEN i >= floor(n * {k} / {slices}.0) THEN 1 ELSE 0 END' for k in range(1, slices))} AS slice, ret FROM si), sliced AS (SELECT formula_id, slice, avg(ret) AS pnl FROM sl GROUP BY formula_id, slice)"""
+
+
+_SLICES = _sliced_sql(6)
 
 
 @query("pnl_slices", f"WITH {_SLICES} SELECT formula_id, slice, round(pnl, 6) + 0.0 AS pnl FROM sliced")
@@ -289,6 +293,25 @@ def pbo_cscv(spark, d):
     return rounded(overfit.pbo(found).drop("degradation"), "pbo", "is_mean", "oos_mean")
 
 
+def _sampled_sql(slices: int, most: int, seed: int) -> str:
+    """The same numbered ways to take half of the slices, one for each part of the range, unranked slice by slice."""
+    half = slices // 2
+    return f"""{_sliced_sql(slices)}, size AS (SELECT (factorial({slices}) // factorial({half}) // factorial({slices - half}))::BIGINT AS total),
+ranks AS (SELECT i AS combo, i * (total // {most}) + least(i, total % {most}) + ('0x' || substr(md5('{seed}:' || i), 1, 15))::BIGINT % (total // {most} + CASE WHEN i < total % {most} THEN 1 ELSE 0 END) AS r FROM size, range({most}) t(i)),
+ways AS (SELECT n, k, (factorial(n::INTEGER) // factorial(k::INTEGER) // factorial((n - k)::INTEGER))::BIGINT AS c FROM range({slices}) a(n), range({half + 1}) b(k) WHERE k <= n),
+u AS (SELECT combo, -1 AS slice, r, {half} AS k, false AS inside FROM ranks UNION ALL
+SELECT combo, u.slice + 1, CASE WHEN u.r < coalesce(c, 0) THEN u.r ELSE u.r - coalesce(c, 0) END, CASE WHEN u.r < coalesce(c, 0) THEN u.k - 1 ELSE u.k END, u.r < coalesce(c, 0)
+FROM u LEFT JOIN ways ON n = {slices - 2} - u.slice AND ways.k = u.k - 1 WHERE u.slice < {slices - 1}),
+combos AS (SELECT combo, slice, inside FROM u WHERE slice >= 0)"""
+
+
+@query("pbo_sampled", f"WITH RECURSIVE {_sampled_sql(30, 200, 42)}, {_PBO[_PBO.index('m AS (SELECT combo'):]} SELECT CAST(combo AS INTEGER) AS combo, best, round(is_mean, 6) + 0.0 AS is_mean, round(oos_mean, 6) + 0.0 AS oos_mean, round(omega, 6) AS omega FROM w")
+def pbo_sampled(spark, d):
+    """A sample of 200 of the 155 million ways to take half of 30 slices."""
+    found = overfit.pbo_combos(overfit.pnl_slices(daily_returns(spark, d), 30), overfit.splits(spark, 30, most=200))
+    return rounded(found.select("combo", "best", "is_mean", "oos_mean", "omega"), "is_mean", "oos_mean", "omega")
+
+
 @query("pbo_single", f"WITH {_PBO} SELECT formula_id, round(avg(CASE WHEN is_mean > 0 AND oos_mean <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo FROM m GROUP BY formula_id")
 def pbo_single(spark, d):
     return rounded(overfit.single_pbo(overfit.pnl_slices(daily_returns(spark, d), 6), overfit.splits(spark, 6)), "pbo")

@@ -43,10 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: what several passes need is made once, and its lineage ends here.
 
-    A lost executor then costs a reread; the files stay for the folder's retention rule.
+    A lost executor then costs a reread. The files are removed when the driver's process ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
