@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def ts(*extra: str):
     """Rows of a ticker (and of ``extra`` keys) in date order."""
     return Window.partitionBy(*extra, "ticker").orderBy("date")
@@ -57,44 +60,50 @@ def ordinal_norm(x: Column, *keys) -> Column:
     return F.when(x.isNotNull(), F.when(n < 2, F.lit(0.0)).otherwise(F.try_divide(place.cast("double"), (n - 1).cast("double")) - 0.5))
 
 
-def ewm_sums(x: Column, span: float, window, adjust: bool = True) -> Column:
-    """Exponentially weighted mean at each row (nulls keep decaying the past), as a fold over the recent rows.
+#: A row's number in its series, from 0; what ``decayed_sum`` needs beside ``ticker`` and ``date``.
+ROW = "__row"
 
-    Rows older than where weights fall under 1e-18 of the newest cannot change a double, so the frame is bounded.
-    """
-    alpha = 2.0 / (span + 1)
-    import math
 
-    reach = max(2, math.ceil(42 / -math.log1p(-alpha)))
-    rows = F.collect_list(F.struct(x.cast("double").alias("x"))).over(window.rowsBetween(-reach, 0))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with each row's number among its ticker's rows."""
+    return df.withColumn(ROW, F.row_number().over(ts()) - 1)
 
-    def step(s, e):
-        return F.struct((s["n"] * (1 - alpha) + F.coalesce(e["x"], F.lit(0.0))).alias("n"), (s["d"] * (1 - alpha) + F.when(e["x"].isNull(), 0.0).otherwise(1.0)).alias("d"))
 
-    return F.aggregate(rows, start, step, lambda s: F.try_divide(s["n"], s["d"]))
+def decayed_sum(x: Column, keep: float) -> Column:
+    """The sum of ``x`` over this row and all before it, each times ``keep`` to the power of its age in rows; nulls are 0, rows are ``numbered``.
 
+    Series are cut into chunks long enough for what is older than the chunk before to weigh under 1e-18. In a pair of
+    neighbouring chunks the terms, scaled by their place, have a running sum, which this row's place scales back. Pairs
+    begin at even or at odd chunks, and a row takes the pair in which its chunk is second. So a row costs the same for any ``keep``.
+    """
+    rate = -math.log(keep)
+    span = max(2, math.ceil(42 / rate))
+    chunk = F.floor(F.col(ROW) / span)
 
-def ewm_std(x: Column, span: float, window) -> Column:
-    """Bias-corrected exponentially weighted standard deviation (nulls keep decaying the past)."""
-    alpha = 2.0 / (span + 1)
-    import math
+    def running(shift: int) -> Column:
+        pair = F.floor((chunk + shift) / 2)
+        place = (F.col(ROW) - (2 * pair - shift) * span).cast("double")
+        w = Window.partitionBy("ticker", pair).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum(F.coalesce(x.cast("double"), F.lit(0.0)) * F.exp(place * rate)).over(w) * F.exp(-place * rate)
 
-    reach = max(2, math.ceil(42 / -math.log1p(-alpha)))
-    rows = F.collect_list(F.struct(x.cast("double").alias("x"))).over(window.rowsBetween(-reach, 0))
-    names = ("w", "w2", "m", "s")
-    start = F.struct(*[F.lit(0.0).alias(k) for k in names])
+    return F.when(chunk % 2 == 1, running(0)).otherwise(running(1))
 
-    def step(a, e):
-        keep = 1 - alpha
-        w = a["w"] * keep + 1
-        d = e["x"] - a["m"]
-        fresh = F.struct(w.alias("w"), (a["w2"] * keep * keep + 1).alias("w2"), (a["m"] + d / w).alias("m"), (a["s"] * keep + d * d * (a["w"] * keep) / w).alias("s"))
-        idle = F.struct((a["w"] * keep).alias("w"), (a["w2"] * keep * keep).alias("w2"), a["m"].alias("m"), (a["s"] * keep).alias("s"))
-        return F.when(e["x"].isNull(), idle).otherwise(fresh)
 
-    def end(a):
-        free = a["w"] - F.try_divide(a["w2"], a["w"])
-        return F.when(free > 1e-12, F.sqrt(F.try_divide(a["s"], free)))
+def ewm_mean(x: Column, span: float) -> Column:
+    """Exponentially weighted mean at each ``numbered`` row; nulls keep decaying the past."""
+    keep = 1 - 2.0 / (span + 1)
+    return F.try_divide(decayed_sum(x, keep), F.nullif(decayed_sum(F.when(x.isNotNull(), 1.0), keep), F.lit(0.0)))
 
-    return F.aggregate(rows, start, step, end)
+
+def ewm_std(x: Column, span: float) -> Column:
+    """Bias-corrected exponentially weighted standard deviation at each ``numbered`` row; nulls keep decaying the past.
+
+    From sums of powers: what is left of squares under a trillionth of their sum counts as none.
+    """
+    keep = 1 - 2.0 / (span + 1)
+    there = F.when(x.isNotNull(), 1.0)
+    w, w2 = F.nullif(decayed_sum(there, keep), F.lit(0.0)), decayed_sum(there, keep * keep)
+    first, second = decayed_sum(x, keep), decayed_sum(x * x, keep)
+    left = second - F.try_divide(first * first, w)
+    free = w - F.try_divide(w2, w)
+    return F.when(free > 1e-12, F.sqrt(F.try_divide(F.when(left > 1e-12 * second, left).otherwise(0.0), free)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ewm_std, ewm_sums, full, last_rows, ts
+from ..functions.columns import ROW, decayed_sum, ewm_mean, ewm_std, full, last_rows, numbered, ts
 
 
 def topk_dropout(rows: DataFrame, k: int = 10, drop: int = 2, buy_cost: float = 0.0005, sell_cost: float = 0.0015, keys: tuple[str, ...] = ("formula_id",)) -> DataFrame:
@@ -89,7 +89,7 @@ def scale_of(returns: DataFrame, target: float = 0.15, low: float = 0.1, high: f
     That is the larger of the 20-row deviation and the weighted one; where there is none, or it is 0, the scale is 1.
     """
     rolling = full(F.col("r"), 20, F.stddev_samp("r").over(last_rows(20)), least=5)
-    v = returns.select("ticker", "date", (F.greatest(rolling, ewm_std(F.col("r"), 5, ts())) * F.sqrt(F.lit(252.0))).alias("v"))
+    v = numbered(returns.select("ticker", "date", "r")).select("ticker", "date", (F.greatest(rolling, ewm_std(F.col("r"), 5)) * F.sqrt(F.lit(252.0))).alias("v"))
     s = v.select("ticker", "date", F.when(F.col("v") > 0, F.greatest(F.lit(low), F.least(F.lit(high), target / F.col("v")))).otherwise(1.0).alias("s"))
     return s.select("ticker", "date", F.coalesce(F.lag("s").over(ts()), F.lit(1.0)).alias("scale"))
 
@@ -125,9 +125,9 @@ def unit_slippage(panel: DataFrame, gamma: float = 0.1, fallback: float = 10.0,
 
 def adv(panel: DataFrame) -> DataFrame:
     """(ticker, date, adv): yesterday's lesser of the 20-row mean (5 at least) and the weighted mean (span 10, 3 at least) of traded value."""
-    v = panel.select("ticker", "date", (F.col("vlot") * F.col("pclose")).alias("v"))
+    v = numbered(panel.select("ticker", "date", (F.col("vlot") * F.col("pclose")).alias("v")))
     x = F.col("v")
-    weighted = F.when(F.count(x).over(ts().rowsBetween(Window.unboundedPreceding, 0)) >= 3, ewm_sums(x, 10, ts()))
+    weighted = F.when(F.count(x).over(ts().rowsBetween(Window.unboundedPreceding, 0)) >= 3, ewm_mean(x, 10))
     both = v.select("ticker", "date", F.least(full(x, 20, F.avg(x).over(last_rows(20)), least=5), weighted).alias("a"))
     return both.select("ticker", "date", F.lag("a").over(ts()).alias("adv"))
 
@@ -163,14 +163,12 @@ def blend_raw(signals: DataFrame, probs: DataFrame, top: int = 20, min_weight: f
 def blend_smooth(weights: DataFrame, dates: DataFrame, alpha: float = 0.3) -> DataFrame:
     """Exponentially smoothed weights over the dense (date, ticker) grid, renormalised per date.
 
-    Starts from the first date's weights; missing weights are 0. Each ticker's past is one bounded fold.
+    Starts from the first date's weights; missing weights are 0. A ticker's past is in running sums.
     """
     grid = weights.select("ticker").distinct().crossJoin(F.broadcast(dates.select("date").distinct()))
     x = grid.join(weights, ["ticker", "date"], "left").select("ticker", "date", F.coalesce("weight", F.lit(0.0)).alias("x"))
-    rows = F.collect_list("x").over(ts().rowsBetween(-120, 0))
-    n = F.row_number().over(ts())
-    # the first row of a ticker's history starts the average; older rows than the frame weigh under 1e-18
-    s = x.select("ticker", "date", F.aggregate(F.slice(rows, 2, 1000), rows[0] * F.when(n <= 121, 1.0).otherwise(alpha), lambda a, v: a * (1 - alpha) + v * alpha).alias("s"))
+    # the first row of a ticker's history starts the average, so it counts as if mixed in
+    s = numbered(x).select("ticker", "date", (alpha * decayed_sum(F.when(F.col(ROW) == 0, F.col("x") / alpha).otherwise(F.col("x")), 1 - alpha)).alias("s"))
     day = Window.partitionBy("date")
     return s.where("s > 0").select("date", "ticker", (F.col("s") / F.sum("s").over(day)).alias("weight"))
 

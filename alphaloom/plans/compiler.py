@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ewm_sums, full, last_rows, pct_rank, ts
+from ..functions.columns import ewm_mean, full, last_rows, numbered, pct_rank, ts
 from ..sources.catalog import keep as written
 from .formula import Node, parse, status_of
 
@@ -90,7 +90,7 @@ def _framed(f: Callable[[Column], Column]) -> Callable[[Column, int], Column]:
 ROLLING: dict[str, Callable[[Column, int], Column]] = {
     "Rank": _window_rank,
     "WMA": _wma,
-    "EMA": lambda x, w: F.when(F.count(x).over(ts().rowsBetween(Window.unboundedPreceding, 0)) >= w, ewm_sums(x, w, ts())),
+    "EMA": lambda x, w: F.when(F.count(x).over(ts().rowsBetween(Window.unboundedPreceding, 0)) >= w, ewm_mean(x, w)),
     "Ref": lambda x, w: F.lag(x, w).over(ts()),
     "Mean": _framed(F.avg),
     "Sum": _framed(F.sum),
@@ -170,6 +170,8 @@ def evaluate(panel: DataFrame, pool: dict[str, str | Node], raw: bool = False) -
         *data, w = n.children
         return (ROLLING if n.kind == "rolling" else PAIRED)[n.op](*map(column, data), int(w.op))
 
+    if any(n.op == "EMA" for n in names):
+        panel = numbered(panel)
     for level in sorted(levels):
         nodes = levels[level]
         panel = panel.select("*", *[windowed(n).alias(names[n]) for n in nodes])

@@ -76,3 +76,24 @@ def test_sampled_combinations(spark):
         assert low <= index[w] < low + total // 50 + (i < total % 50)
     with pytest.raises(ValueError):
         overfit.splits(spark, 61)
+
+
+def test_weighted_means_by_chunks(spark):
+    """Over many chunks, with gaps, levels far from 0 and a constant stretch, against pandas."""
+    import pandas as pd
+
+    from alphaloom.functions.columns import ewm_mean, ewm_std, numbered
+
+    rng = random.Random(8)
+    rows = [(t, i, None if rng.random() < 0.1 else 5.0 if 200 < i < 260 else rng.gauss(1e3 if t else 0.0, 1.0)) for t in (0, 1) for i in range(700)]
+    rows += [(2, i, None) for i in range(5)] + [(3, 0, 4.0)]
+    df = numbered(spark.createDataFrame(rows, "ticker int, date int, x double"))
+    got = {(r.ticker, r.date): r for r in df.select("ticker", "date", *[f(F.col("x"), s).alias(f"{f.__name__}_{s}") for f in (ewm_mean, ewm_std) for s in (3, 5, 40)]).collect()}
+    for t in (0, 1, 2, 3):
+        x = pd.Series([v for k, _, v in rows if k == t], dtype=float)
+        for s in (3, 5, 40):
+            mean, std = x.ewm(span=s).mean(), x.ewm(span=s).std()
+            for i in range(len(x)):
+                r = got[(t, i)]
+                for have, want, tol in ((r[f"ewm_mean_{s}"], mean[i], 1e-9), (r[f"ewm_std_{s}"], std[i], 2e-3 if t else 1e-5)):
+                    assert (have is None) == (want != want) and (have is None or have == pytest.approx(want, rel=tol, abs=tol)), (t, i, s)
