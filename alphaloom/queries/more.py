@@ -5,18 +5,20 @@ from __future__ import annotations
 import random
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ic, overfit, records, regime, search, simulate, tuning
+from ..operators import ic, overfit, records, regime, search, similar, simulate, tuning
 from ..plans import formula as L
 from ..plans.compiler import evaluate
 from ..plans.formula import parse
 from ..sources import catalog as C
 from ..sources import panel as P
+from ..sources import replay, symbols
 from .common import MONTHLY, TS, frame, monthly, query, rounded, with_ret
 from .sim import _ACT, _ADV, _regime_signals
-from .stats import _FITTED, POOL, _folds, _PROBS, pool_rows, probabilities
+from .stats import _FITTED, _POOL_SQL, POOL, _folds, _PROBS, pool_rows, probabilities
 
 
 @query("date_chunks", "SELECT CAST(s AS DATE) AS chunk_start, least(CAST(s AS DATE) + 29, DATE '1995-12-31') AS chunk_end FROM range(DATE '1995-01-01', DATE '1996-01-01', INTERVAL 30 DAY) t(s)")
@@ -132,11 +134,52 @@ def parse_table(spark, d):
 
 @query("formula_similarity")
 def formula_similarity(spark, d):
-    """Similarity of each two formulas of a pool."""
-    rng = random.Random(1)
-    pool = [L.generate(rng, 10) for _ in range(12)]
-    rows = [(i, j, str(a), str(b), round(L.similarity(a, b), 6)) for i, a in enumerate(pool) for j, b in enumerate(pool) if i < j]
-    return spark.createDataFrame(rows, "a int, b int, formula_a string, formula_b string, similarity double")
+    """Pairs of similar formulas among one grown for each supplier and parts of it changed for each of its years."""
+    keys = P.table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("y")).distinct()
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"formula": [str(L.mutate(random.Random(int(y)), L.generate(random.Random(int(k)), 12))) for k, y in zip(b["l_suppkey"], b["y"])]})
+
+    return rounded(similar.similar_pairs(keys.mapInPandas(run, "formula string"), 0.8), "similarity")
+
+
+@query(
+    "replay_sample",
+    f"""WITH {_POOL_SQL}, samples AS (SELECT formula_id AS ast, round(rank_ic, 6) + 0.0 AS ic, date_diff('day', DATE '1990-01-01', CAST(date AS DATE)) AS "at", CASE WHEN date < '1996-01-01' THEN 1 WHEN date < '1999-01-01' THEN 2 ELSE 4 END AS batch FROM ics WHERE rank_ic IS NOT NULL),
+newest AS (SELECT * FROM samples ORDER BY batch DESC, "at" DESC, ast DESC LIMIT 150)
+SELECT ast, ic, "at", batch FROM newest ORDER BY md5(concat_ws(':', '7', ast, batch, "at")) LIMIT 40""",
+)
+def replay_sample(spark, d):
+    """Daily RankICs of the pool as samples, appended in three parts with a compaction between; 40 of the 150 newest."""
+    store = replay.ReplayStore(spark, f"{C.shared_folder(spark)}/replay-{uuid.uuid4().hex[:12]}", capacity=150)
+    rows = C.keep(ic.daily(pool_rows(spark, d)).where("rank_ic is not null"), "replay-rows").select(F.col("formula_id").alias("ast"), (F.round("rank_ic", 6) + F.lit(0.0)).alias("ic"), F.date_diff("date", F.lit("1990-01-01")).alias("at"), "date")
+    store.append(rows.where("date < '1996-01-01'"))
+    store.append(rows.where("date >= '1996-01-01' and date < '1999-01-01'"))
+    store.compact()
+    store.append(rows.where("date >= '1999-01-01'"))
+    return store.sample(40, 7).select("ast", "ic", "at", "batch")
+
+
+_BUILD = f"{MONTHLY}, big AS (SELECT ticker, count(*) AS n FROM panel GROUP BY ticker), there AS (SELECT ticker FROM big WHERE n >= 80 AND ticker % 7 <> 3)"
+
+
+def _symbol_panel(spark, d):
+    """Monthly bars as a file a supplier, but for some suppliers; read for all of them, 80 rows at least."""
+    folder = f"{C.shared_folder(spark)}/symbols-{uuid.uuid4().hex[:12]}"
+    bars = monthly(spark, d).select(F.col("ticker").alias("symbol"), *[F.col(n).alias(c) for c, n in symbols.COLUMNS.items()])
+    bars.where("symbol % 7 <> 3").repartition("symbol").write.partitionBy("symbol").option("header", True).csv(folder)
+    return symbols.build_panel(spark, folder, monthly(spark, d).select(F.col("ticker").cast("string").alias("ticker")), least=80)
+
+
+@query("symbol_panel", f"WITH {_BUILD} SELECT CAST(ticker AS VARCHAR) AS ticker, date, round(pclose, 6) AS pclose, round((phigh + plow + pclose) / 3, 6) AS ptyp FROM panel SEMI JOIN there USING (ticker)")
+def symbol_panel(spark, d):
+    return rounded(_symbol_panel(spark, d)[0].select("ticker", "date", "pclose", "ptyp"), "pclose", "ptyp")
+
+
+@query("symbols_missing", f"WITH {_BUILD} SELECT DISTINCT CAST(ticker AS VARCHAR) AS ticker, 'empty_or_short' AS reason FROM panel ANTI JOIN there USING (ticker)")
+def symbols_missing(spark, d):
+    return _symbol_panel(spark, d)[1]
 
 
 @query("tree_search")

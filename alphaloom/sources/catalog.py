@@ -240,11 +240,6 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def replay_buffer(samples: DataFrame, cap: int = 10_000) -> DataFrame:
-    """The newest ``cap`` of samples(ast, ic, visits, seq); of equal ``seq`` the lower ``ast``."""
-    return samples.orderBy(F.desc("seq"), "ast").limit(cap)
-
-
 def put_text(spark: SparkSession, text: str, path: str) -> None:
     """A small state (a model, a switch) as a text file, replaced as a whole."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
