@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,46 +18,58 @@ def topk_dropout(rows: DataFrame, k: int = 10, drop: int = 2, buy_cost: float =
 
     ``rows``: keys, ticker, date, signal, ret, and optionally slip. On the first day with a signal the k best
     are bought; then every day the ``drop`` worst holdings go (a missing signal is worst; ties by ticker up)
-    and as many of the best not held come in (ties by ticker down). A day without signals earns 0. The state
-    is a portfolio of k names folded over days, so a formula (and window) is one task's group; formulas run
-    side by side.
+    and as many of the best not held come in (ties by ticker down). A day without signals earns 0.
+
+    Each day becomes one array, ordered by Spark; a formula's days then pass through a task one by one in order, with
+    the k names held as all that is kept between them, so no task gathers a formula's rows.
     """
     slip = "slip" in rows.columns
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], []
-        for date, day in df.sort_values(["date", "ticker"], kind="stable").groupby("date", sort=True):
-            signal = dict(zip(day["ticker"], day["signal"]))
-            ret = dict(zip(day["ticker"], day["ret"]))
-            valid = [t for t in signal if pd.notna(signal[t])]
-            if not valid:
-                out.append((date, 0.0, len(held), 0, 0))
-                continue
-            best = sorted(valid, key=lambda t: (signal[t], t), reverse=True)
-            if not held:
-                held, gone = best[:k], []
-                new = list(held)
-            else:
-                worst = sorted(held, key=lambda t: (signal[t] if pd.notna(signal.get(t)) else -np.inf, t))
-                gone = worst[:drop]
-                stay = [t for t in held if t not in set(gone)]
-                inside = set(stay)
-                new = [t for t in best if t not in inside][:drop]
-                held = stay + new
-            size = max(1, len(held))
-            gain = sum(r for t in held if pd.notna(r := ret.get(t, np.nan))) / size
-            cost = len(new) / size * buy_cost + len(gone) / size * sell_cost
-            if slip:
-                unit = [s for t, s in zip(day["ticker"], day["slip"]) if t in set(held) and np.isfinite(s)]
-                cost += (float(np.mean(unit)) if unit else 0.0) * (len(new) + len(gone)) / size
-            out.append((date, gain - cost, len(held), len(new), len(gone)))
-        made = pd.DataFrame(out, columns=["date", "ret", "n_held", "n_bought", "n_sold"])
-        for name in reversed(keys):
-            made.insert(0, name, df[name].iloc[0])
-        return made
+    clean = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))  # noqa: E731  null for NaN
+    one = F.struct(clean("signal").alias("signal"), "ticker", clean("ret").alias("ret"), (clean("slip") if slip else F.lit(None).cast("double")).alias("slip"))
+    days = rows.groupBy(*keys, "date").agg(F.sort_array(F.collect_list(one), asc=False).alias("rows"))
+    days = days.repartition(*keys).sortWithinPartitions(*keys, "date")
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            flat, ends = b.column(n_keys + 1).flatten(), b.column(n_keys + 1).value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()
+            tickers = flat.field("ticker").to_pylist()
+            signal, ret, slips = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("signal", "ret", "slip"))
+            out, start = [], 0
+            for key, end in zip(zip(*(b.column(i).to_pylist() for i in range(n_keys))), ends):
+                if key != now:
+                    now, held = key, []
+                names, valid = tickers[start:end], int(np.count_nonzero(~np.isnan(signal[start:end])))
+                held, row = _one_day(held, names, valid, signal[start:end], ret[start:end], slips[start:end] if slip else None)
+                out.append(row)
+                start = end
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: n_keys + 1], *columns], names=[*keys, "date", "ret", "n_held", "n_bought", "n_sold"])
+
+    def _one_day(held: list, names: list, valid: int, signal, ret, slips) -> tuple[list, tuple]:
+        if not valid:
+            return held, (0.0, len(held), 0, 0)
+        at = dict(zip(names, range(len(names))))
+        if not held:
+            new, gone = names[: min(k, valid)], []
+            held = new
+        else:
+            place = lambda t: (signal[i] if (i := at.get(t, valid)) < valid else -np.inf, t)
+            gone = sorted(held, key=place)[:drop]
+            stay = [t for t in held if t not in gone]
+            new = list(islice((t for t in names[:valid] if t not in stay), drop))
+            held = stay + new
+        size, here = max(1, len(held)), [at[t] for t in held if t in at]
+        cost = len(new) / size * buy_cost + len(gone) / size * sell_cost
+        if slips is not None:
+            unit = slips[sorted(here)]
+            unit = unit[np.isfinite(unit)]
+            cost += (float(unit.mean()) if len(unit) else 0.0) * (len(new) + len(gone)) / size
+        return held, (float(np.nansum(ret[here])) / size - cost, len(held), len(new), len(gone))
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
-    return rows.select(*keys, "ticker", "date", "signal", "ret", *(["slip"] if slip else [])).groupBy(*keys).applyInPandas(run, f"{kinds}, date date, ret double, n_held int, n_bought int, n_sold int")
+    return days.mapInArrow(run, f"{kinds}, date date, ret double, n_held int, n_bought int, n_sold int")
 
 
 def equity(returns: DataFrame, keys: tuple[str, ...] = ("formula_id",), start: float = 100_000.0) -> DataFrame:

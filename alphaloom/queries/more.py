@@ -291,6 +291,26 @@ def fund_returns(spark, d):
     return rounded(P.returns_by_code(p, ["A", "N", "R"]), "A_RET", "N_RET", "R_RET")
 
 
+_MASTER = f"""{MONTHLY}, {_FUNDS}, macro AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS orders FROM orders WHERE month(o_orderdate) % 3 = 0 GROUP BY 1),
+funds AS (SELECT date, max(r) FILTER (WHERE code = 'A') AS a_ret, max(r) FILTER (WHERE code = 'N') AS n_ret FROM r GROUP BY date),
+items AS (SELECT l_suppkey AS ticker, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS date, sum(l_quantity) AS capital, sum(l_extendedprice) AS equity, sum(l_extendedprice * (l_discount - 0.05)) AS income FROM lineitem GROUP BY 1, 2),
+j AS (SELECT p.ticker, p.date, pclose, orders, a_ret, n_ret, capital, equity, income FROM panel p LEFT JOIN macro USING (date) LEFT JOIN funds USING (date) LEFT JOIN items i ON i.ticker = p.ticker AND i.date = p.date),
+m AS (SELECT ticker, date, pclose, {{}} FROM j)""".format(", ".join(f"last_value({c} IGNORE NULLS) OVER ({TS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("orders", "a_ret", "n_ret", "capital", "equity", "income")))
+
+
+@query("master_table", f"WITH {_MASTER} SELECT ticker, date, round(pclose, 6) AS pclose, orders, round(a_ret, 6) + 0.0 AS a_ret, round(n_ret, 6) + 0.0 AS n_ret, round(pclose * capital / equity, 6) AS pd_dd, round(CASE WHEN income > 1e-6 THEN pclose * capital / income END, 2) AS fk FROM m")
+def master_table(spark, d):
+    """Prices with a macro series, fund returns and quarterly fundamentals, carried forward, and their ratios."""
+    lines = P.table(spark, d, "lineitem")
+    macro = P.table(spark, d, "orders").where(F.month("o_orderdate") % 3 == 0).groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).agg(F.count("*").alias("orders"))
+    p = lines.select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), F.col("l_returnflag").alias("code"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    funds = P.returns_by_code(p, ["A", "N"]).select("date", F.col("A_RET").alias("a_ret"), F.col("N_RET").alias("n_ret"))
+    income = F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05))
+    items = lines.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("date")).agg(F.sum("l_quantity").alias("capital"), F.sum("l_extendedprice").alias("equity"), F.when(F.abs(income) > 1e-6, income).otherwise(0.0).alias("income"))
+    out = P.master(monthly(spark, d).select("ticker", "date", "pclose"), macro, funds, items)
+    return rounded(rounded(out, "pclose", "a_ret", "n_ret", "pd_dd"), "fk", digits=2)
+
+
 @query("unused_returns", f"WITH {MONTHLY}, r AS (SELECT ticker, date, lead(pclose, 2) OVER ({TS}) / lead(pclose, 1) OVER ({TS}) - 1 AS ret FROM panel) SELECT ticker, count(*) AS missing FROM r WHERE ret IS NULL GROUP BY ticker")
 def unused_returns(spark, d):
     return with_ret(monthly(spark, d)).where("ret is null").groupBy("ticker").agg(F.count("*").alias("missing"))

@@ -167,3 +167,18 @@ def dense(panel: DataFrame, values: list[str]) -> DataFrame:
     w = ts().rowsBetween(Window.unboundedPreceding, 0)
     joined = grid.join(panel.select("ticker", "date", *values), ["ticker", "date"], "left")
     return joined.select("ticker", "date", *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
+
+
+def master(prices: DataFrame, macro: DataFrame, funds: DataFrame, items: DataFrame) -> DataFrame:
+    """``prices(ticker, date, pclose, ...)`` with macro series and fund returns of their date, fundamentals of their ticker and date, and two ratios.
+
+    What is known is carried forward inside a ticker, never back. ``items(ticker, date, capital, equity, income)`` give
+    ``pd_dd`` (market value over equity) and ``fk`` (over income, where that is positive) and are then left out.
+    """
+    j = prices.join(macro, "date", "left").join(funds, "date", "left").join(items, ["ticker", "date"], "left")
+    w = ts().rowsBetween(Window.unboundedPreceding, 0)
+    values = [c for c in j.columns if c not in ("ticker", "date")]
+    filled = j.select("ticker", "date", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in values])
+    market = F.col("pclose") * F.col("capital")
+    ratios = {"pd_dd": F.try_divide(market, F.col("equity")), "fk": F.when(F.col("income") > 0, F.try_divide(market, F.col("income")))}
+    return filled.withColumns(ratios).drop("capital", "equity", "income")
