@@ -9,7 +9,7 @@ from ..plans.compiler import signals
 from ..plans.formula import Node
 from ..sources.catalog import keep
 from ..sources.panel import next_return
-from . import ic, overfit, regime, simulate
+from . import ic, overfit, simulate
 
 
 def snapshot(acted: DataFrame, signals_: DataFrame, probs: DataFrame, adv: DataFrame, vol: DataFrame, capital: float = 1e6, share: float = 0.05, gamma: float = 0.1) -> DataFrame:
@@ -63,9 +63,3 @@ def full_evaluation(panel: DataFrame, pool: dict[str, str | Node], bench: DataFr
     rows = signals(panel.withColumn("ret", next_return()), pool, "ret")
     returns = keep(simulate.topk_dropout(rows, k, drop), "returns")
     return ic.summary(ic.daily(rows)).join(simulate.metrics(simulate.equity(returns)).drop("days"), "formula_id").join(simulate.against_benchmark(returns, bench).drop("days"), "formula_id")
-
-
-def label_alignment(old: list[list[float]], new: list[list[float]]) -> list[int]:
-    import numpy as np
-
-    return regime.align_states(np.array(old), np.array(new))

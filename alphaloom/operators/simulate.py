@@ -247,6 +247,18 @@ def drawdown(pnl: DataFrame) -> DataFrame:
     return e.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
 
 
+def gated(candidates: DataFrame, pnl: DataFrame, max_loss: float = 0.03, max_drawdown: float = 0.15) -> DataFrame:
+    """Candidates of the days on which trading is allowed: not those after a day whose result or drawdown passed its limit.
+
+    ``pnl(date, pnl)``: a row per day with results; a day's state holds until the next one's is known.
+    """
+    w = Window.orderBy("date")
+    state = drawdown(pnl).withColumn("halted", (F.col("pnl") <= -max_loss) | (F.col("drawdown") <= -max_drawdown))
+    spans = state.select(F.col("date").alias("__from"), F.lead("date").over(w).alias("__to"), "halted").where("halted")
+    stopped = candidates.select("date").distinct().join(F.broadcast(spans), (F.col("date") > F.col("__from")) & (F.col("__to").isNull() | (F.col("date") <= F.col("__to")))).select("date")
+    return candidates.join(F.broadcast(stopped), "date", "left_anti")
+
+
 def actions(weights: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """BUY, SELL or HOLD of each (date, ticker) against the ticker's weight on the day before in the calendar."""
     days = weights.select("date").distinct().select("date", F.lead("date").over(Window.orderBy("date")).alias("next"))

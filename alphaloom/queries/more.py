@@ -16,14 +16,33 @@ from ..plans.formula import parse
 from ..sources import catalog as C
 from ..sources import panel as P
 from ..sources import replay, symbols
-from .common import MONTHLY, TS, frame, monthly, query, rounded, with_ret
+from .common import MONTHLY, ORACLE, TS, frame, monthly, query, rounded, with_ret
 from .sim import _ACT, _ADV, _regime_signals
 from .stats import _FITTED, _POOL_SQL, POOL, _folds, _PROBS, pool_rows, probabilities
 
 
-@query("date_chunks", "SELECT CAST(s AS DATE) AS chunk_start, least(CAST(s AS DATE) + 29, DATE '1995-12-31') AS chunk_end FROM range(DATE '1995-01-01', DATE '1996-01-01', INTERVAL 30 DAY) t(s)")
+@query("date_chunks", "WITH b AS (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem) SELECT CAST(s AS DATE) AS chunk_start, least(CAST(s AS DATE) + 29, hi) AS chunk_end FROM b, LATERAL (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 30 DAY)) AS s)")
 def date_chunks(spark, d):
-    return P.chunks(spark, "1995-01-01", "1995-12-31", 30)
+    """The span of the ship dates in chunks of 30 days."""
+    low, high = P.table(spark, d, "lineitem").agg(F.min(F.to_date("l_shipdate")), F.max(F.to_date("l_shipdate"))).first()
+    return P.chunks(spark, str(low), str(high), 30)
+
+
+@query("panel_stored", f"WITH {MONTHLY} SELECT ticker, date, round(popen, 6) AS popen, round(pclose, 6) AS pclose, vlot, round((phigh + plow + pclose) / 3, 6) AS pvwap FROM panel")
+def panel_stored(spark, d):
+    """A stored panel with other column names and repeated rows, read as one row per ticker and date."""
+    path = f"{C.shared_folder(spark)}/panel-{uuid.uuid4().hex[:12]}"
+    raw = monthly(spark, d).select(*[F.col(c).alias(c.capitalize()) for c in ("ticker", "date", "popen", "phigh", "plow", "pclose", "vlot")])
+    raw.unionByName(raw.where("Ticker % 3 = 0")).write.parquet(path)
+    return rounded(P.read_panel(spark, path).select("ticker", "date", "popen", "pclose", "vlot", "pvwap"), "popen", "pclose", "pvwap")
+
+
+@query("split_by_share", f"WITH {MONTHLY}, c AS (SELECT min(date) + CAST(floor(round(0.7 * (max(date) - min(date)), 6)) AS INTEGER) AS cut FROM panel) SELECT any_value(cut) AS cut, count(*) FILTER (WHERE date < cut) AS train_rows, count(*) FILTER (WHERE date >= cut) AS test_rows FROM panel, c")
+def split_by_share(spark, d):
+    """Rows before and after the day that divides the span 70 to 30."""
+    panel = monthly(spark, d)
+    cut = F.lit(P.split_date(panel))
+    return panel.agg(F.max(cut).alias("cut"), F.count_if(F.col("date") < cut).alias("train_rows"), F.count_if(F.col("date") >= cut).alias("test_rows"))
 
 
 @query("freshness", "SELECT max(CAST(l_shipdate AS DATE)) AS last_date, date_diff('day', max(CAST(l_shipdate AS DATE)), DATE '2001-11-10') > 3 AS stale FROM lineitem")
@@ -124,12 +143,35 @@ def full_evaluation(spark, d):
     return rounded(out, "ic", "rank_ic", "ir", "beta", digits=4).select("formula_id", "ic", "rank_ic", "ir", "beta", "days")
 
 
+@query("rolling_forensics", f"SELECT * FROM ({{}}) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND ticker % 2 = 1".format(ORACLE["forensics_snapshot"]))
+def rolling_forensics(spark, d):
+    """Decision records appended to their ledger in two parts, and those of a span and of odd tickers found again."""
+    path, made = f"{C.shared_folder(spark)}/records-{uuid.uuid4().hex[:12]}", forensics_snapshot(spark, d)
+    for part in ("date < '1998-01-01'", "date >= '1998-01-01'"):
+        C.append(made.where(part), path)
+    return records.find_records(spark.read.schema(made.schema).parquet(path), "1996-01-01", "1999-12-31").where("ticker % 2 = 1")
+
+
+def formula_lines(keys, years):
+    """Lines as users write them: formulas, other names, comments, and what cannot be read."""
+    for k, y in zip(keys, years):
+        f = str(L.generate(random.Random(int(k)), 4 + int(y) % 10))
+        yield {0: f, 1: f"  {f} ", 2: f"# {f}", 3: f"Unknown{f}(Pclose)", 4: f"ts_mean(close, {int(y) % 50})", 5: f"decay_linear(ts_delta(vwap, 30), {20 + int(k) % 3 * 10})"}[(int(k) + int(y)) % 6]
+
+
 @query("parse_table")
 def parse_table(spark, d):
-    """Lines of a formula file with their canonical form, size, status or error."""
-    text = "\n".join([*POOL.values(), "# a comment", "ts_mean(close, 20)", "Foo(Pclose)", "Rank(Pclose)", "Add(1, 2)", "decay_linear(ts_delta(vwap, 30), 40)"])
-    rows = [(i, line, str(t) if t else None, t.size if t else None, L.status_of(t) if t else "error", e) for i, (line, t, e) in enumerate(L.parse_lines(text))]
-    return spark.createDataFrame(rows, "line int, text string, formula string, complexity int, status string, error string")
+    """A line for each supplier and year, read in parallel: its canonical form, size, and status or error."""
+    keys = P.table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("y")).distinct()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for line in formula_lines(b["l_suppkey"], b["y"]):
+                rows += [(text, str(t) if t else None, t.size if t else None, L.status_of(t) if t else "error", e) for text, t, e in L.parse_lines(line)]
+            yield pd.DataFrame(rows, columns=["text", "formula", "complexity", "status", "error"]).astype({"complexity": "Int32"})
+
+    return keys.mapInPandas(run, "text string, formula string, complexity int, status string, error string")
 
 
 @query("formula_similarity")

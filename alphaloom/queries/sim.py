@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import ic, overfit, search, simulate
 from ..plans.compiler import clip, evaluate, signals
 from ..sources import panel as P
-from ..sources.catalog import shared_folder
+from ..sources.catalog import append, shared_folder
 from ..streaming import decay, paper
 from ..streaming.decay import decay_stream, read_upserted, upsert_sink
 from .common import MONTHLY, ORACLE, TS, WEEKLY, frame, monthly, query, rounded, weekly, with_ret
@@ -495,3 +495,17 @@ def stream_windowed_pnl(spark, d):
     stream = decay.windowed_pnl(spark.readStream.schema(trades.schema).parquet(f"{base}/in"))
     stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out", format="parquet").awaitTermination()
     return rounded(spark.read.schema(stream.schema).parquet(f"{base}/out").select(F.to_date("window.start").alias("date"), "pnl", "n"), "pnl")
+
+
+@query(
+    "paper_ledger_gated",
+    f"""WITH {_DAYPNL}, e AS (SELECT date, pnl / n AS pnl, exp(sum(ln(1 + pnl / n)) OVER (ORDER BY date)) AS e FROM dp), h AS (SELECT date, pnl <= -0.03 OR e / max(e) OVER (ORDER BY date) - 1 <= -0.9 AS halted, lead(date) OVER (ORDER BY date) AS nxt FROM e)
+SELECT ticker, date, round(entry_px, 6) AS entry_px, weight FROM tr WHERE NOT EXISTS (SELECT 1 FROM h WHERE halted AND tr.date > h.date AND (nxt IS NULL OR tr.date <= nxt))""",
+)
+def paper_ledger_gated(spark, d):
+    """What gets into the ledger when days of loss and drawdown stop the next day's trades; appended and read again."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex[:12]}"
+    kept = simulate.gated(ledger(spark, d).select("ticker", "date", "entry_px", "weight"), _scaled(spark, d), max_drawdown=0.9)
+    for part in ("date < '1998-01-01'", "date >= '1998-01-01'"):
+        append(kept.where(part), path)
+    return rounded(spark.read.schema(kept.schema).parquet(path), "entry_px")

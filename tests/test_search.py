@@ -154,3 +154,15 @@ def test_mining_gates(spark, data):
     want = {f: (round(kept[f].mean_ric, 6), round(v, 4)) for f, v in p.items() if v >= 0.75}
     got = {r.formula: (r.mean_ric, round(r.p, 4)) for r in registry.QUERIES["mined_pool"](spark, data).collect()}
     assert failed and want and got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], abs=2e-3) for f in want)
+
+
+def test_lines_are_read_in_parallel_as_on_the_driver(spark, data):
+    from alphaloom import registry
+    from alphaloom.plans import formula as L
+    from alphaloom.queries import more
+
+    pairs = [(r.l_suppkey, r.y) for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_suppkey", F.year("l_shipdate").alias("y")).distinct().collect()]
+    want = [(text, str(t) if t else None, t.size if t else None, e) for line in more.formula_lines(*zip(*pairs)) for text, t, e in L.parse_lines(line)]
+    got = [(r.text, r.formula, r.complexity, r.error) for r in registry.QUERIES["parse_table"](spark, data).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert 0 < sum(e is not None for *_, e in got) < len(got) < len(pairs)  # comments are left out
