@@ -142,7 +142,7 @@ def run_trials(panel: DataFrame, params: list[dict], seed: int, rounds: int, sim
     return [trial_value(m, p, similarity or {}) for m, p in zip(met, params)], value.jobs
 
 
-def tune(panel: DataFrame, days: list, batches: int = 2, n: int = 4, rungs: int = 2, rounds: int = 2, seed: int = 42, probs: DataFrame | None = None, **folds) -> dict:
+def tune(panel: DataFrame, days: list, batches: int = 2, n: int = 4, rungs: int = 2, rounds: int = 2, seed: int = 42, probs: DataFrame | None = None, space: dict[str, Range] = SPACE, **folds) -> dict:
     """The best parameters over one span of dates: ``{"params", "value", "jobs", "trials"}``.
 
     Batches of ``n`` proposals go through successive halving; only values of the whole span are compared at the end.
@@ -162,7 +162,7 @@ def tune(panel: DataFrame, days: list, batches: int = 2, n: int = 4, rungs: int
         return values
 
     for _ in range(batches):
-        found = halving(run, propose(rng, done, n), rungs)
+        found = halving(run, propose(rng, done, n, space), rungs)
         done += [(p, v) for p, v, _ in found]
         finals += [(p, v) for p, v, seen in found if seen == rungs]
     best = max(finals, key=lambda f: f[1])
