@@ -178,7 +178,10 @@ def test_search(market):
     assert search.tree_search(random.Random(1), 40, 8) == search.tree_search(random.Random(1), 40, 8)
 
 
-def test_register_operator(market):
+def test_register_operator(market, monkeypatch):
+    for table in (compiler.SCALAR, L.KIND_OF, L.OPERATORS):  # as they were, for the tests after this one
+        for name in set(table) | {"Half"}:
+            monkeypatch.setitem(table, name, table.get(name))
     compiler.register("Half", "unary", lambda x: x / 2)
     got = compiler.evaluate(market, {"v": "Half(Pclose)"}).where("abs(v - pclose / 2) > 1e-12").count()
     assert got == 0
