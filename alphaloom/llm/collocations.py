@@ -18,7 +18,7 @@ from .common import OWN, Scratch, give_back
 from .lm_score import first_of, squeezed, unsqueezed
 from .packed import deal, unpack
 
-BLOCK = 4 << 20  # bytes of text whose positions form one block
+BLOCK = 4 << 20  # bytes of text whose positions form one block; a task holds some 60 bytes for each of its words
 #: Characters that end a piece; phrases do not cross them.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(ENDS))
