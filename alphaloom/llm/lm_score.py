@@ -17,6 +17,7 @@ UNKNOWN, BORDER = 0, 1  # instead of a word's hash: any other word; a document's
 BLOCK = 8 << 20  # bytes of text whose pairs are counted at once
 HOT = 10_000  # words that are this part of all tokens or more have their pairs dealt over all buckets
 LOW = np.uint64((1 << 48) - 1)  # of a hash: what names a word after a given one
+TOKENS = 1 << 18  # of a block scored at once, or one text's
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -74,21 +75,24 @@ def pair_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def packed_texts(batch: pa.RecordBatch) -> bytes:
-    """Rows (h, t, target) as one binary value: each different text once, with its target rows and all its rows."""
+def packed_texts(batch: pa.RecordBatch) -> tuple[bytes, list[dict]]:
+    """Rows (h, t, target) as one binary value: each different text once, with its target rows and all its rows; these numbers again, to be read without the texts."""
     h, first, of = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
     target = np.bincount(of, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), len(h)).astype(np.int64)
     rows = pa.RecordBatch.from_arrays([pa.array(h), batch.column(1).take(pa.array(first)), pa.array(target), pa.array(np.bincount(of, minlength=len(h)).astype(np.int64))], names=["h", "t", "target", "all"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
         to.write_batch(rows)
-    return sink.getvalue().to_pybytes()
+    return sink.getvalue().to_pybytes(), rows.drop_columns("t").to_pylist()
 
 
 def unpacked_texts(payload) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
 
 
+COPIES = pa.list_(pa.struct([("h", pa.int64()), ("target", pa.int64()), ("all", pa.int64())]))
+
+
 def make_blocks(known: set[bytes] | None):
     """Rows (h, t, target) -> blocks of some megabytes of text, with the counts of the words that are frequent in them."""
 
@@ -105,9 +109,10 @@ def make_blocks(known: set[bytes] | None):
                 words, n = np.unique(word, return_counts=True)
                 some = n * 2 * HOT >= len(word)
                 frequent = [{"w": w, "n": c} for w, c in zip(words[some].view(np.int64).tolist(), n[some].tolist())]
+                packed, copies = packed_texts(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([len(word)], pa.int64()), pa.array([int(ends[to - 1]) - before], pa.int64()), pa.array([frequent], pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))), pa.array([packed_texts(part)], pa.binary())],
-                    names=["block", "n_words", "n_bytes", "frequent", "texts"],
+                    [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([len(word)], pa.int64()), pa.array([int(ends[to - 1]) - before], pa.int64()), pa.array([frequent], pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))), pa.array([copies], COPIES), pa.array([packed], pa.binary())],
+                    names=["block", "n_words", "n_bytes", "frequent", "copies", "texts"],
                 )
                 at = to
 
@@ -246,21 +251,52 @@ def merge_pairs(hot: np.ndarray):
 
 
 def score_block(known: set[bytes] | None, hot: dict[int, tuple], total: tuple, words: int, buckets: int, discount: float, base: float):
-    """A block's texts and the sums of its pairs -> the losses of each text, summed over its tokens.
+    """A block's texts, the sums of its pairs and the copies of its texts elsewhere -> the losses of each text, summed over its tokens.
 
-    -log p(word | word before) by absolute discounting towards smoothed single words, the same for both models.
+    -log p(word | word before) by absolute discounting towards smoothed single words, the same for both models, with
+    a spare count for each word that follows the model's size. A text's own words, as often as the models counted them, are taken out of all sums before it is scored.
     """
     hot_words = np.array(sorted(hot), np.uint64)
     hot_sums = np.array([hot[w] for w in hot_words.tolist()], np.int64).reshape(-1, 4)
 
+    def losses(e: Entries, i0: int, i1: int, span: slice, pair: list[np.ndarray], head: np.ndarray, of: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
+        """Of texts i0 to i1, whose tokens are ``span``."""
+        of_text, own = np.unique((e.whose[span] - i0) * len(e.low) + e.at[span], return_counts=True)
+        text, entry = np.divmod(of_text, len(e.low))
+        size = len(e.words)
+        # how often a text has a word before another; every word of a text is one, an edge for its end
+        in_text, at = np.unique(text * size + e.head_number[e.head[entry]], return_inverse=True)
+        before_own = np.bincount(at, own, len(in_text)).astype(np.int64)
+        word_own = before_own[np.searchsorted(in_text, text * size + e.second[entry])]
+        length = np.bincount(text, own, i1 - i0).astype(np.int64)[text]
+        sums = []
+        for k in (0, 1):
+            times = copies[i0:i1, k][text]
+            both = pair[k][entry] - times * own
+            gone = np.bincount(at, (both == 0) & (times > 0), len(in_text)).astype(np.int64)
+            before = head[e.head[entry], 2 * k] - times * before_own[at]
+            kinds = head[e.head[entry], 2 * k + 1] - gone[at]
+            # what a word gets that the model does not know follows the model's size, so it says nothing of the difference
+            seen = total[k] - times * length
+            spare = base * seen / np.maximum(total[1] - copies[i0:i1, 1][text] * length, 1)
+            alone = np.where(seen > 0, (head[of[e.second[entry]], 2 * k] - times * word_own + spare) / np.maximum(seen + spare * words, base), 1 / words)
+            rest = np.where(before > 0, discount * kinds / np.maximum(before, 1), 1.0)
+            loss = -np.log(np.maximum(both - discount, 0) / np.maximum(before, 1) + rest * alone)
+            sums.append(np.bincount(text, loss * own, i1 - i0))
+        return sums
+
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes, out = Hashes(known), []
+        is_sum = pc.is_valid(right.column("payload"))
+        elsewhere = right.filter(pc.invert(is_sum))
+        right = right.filter(is_sum)
         for payload in left.column("texts"):
             texts = unpacked_texts(payload)
             e = Entries(texts.column("t"), hashes, hot_words, buckets)
             parts = [unsqueezed(x) for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist()))]
             pair = [np.concatenate([p[k] for p in parts]) for k in (0, 1)]
             head = np.stack([np.concatenate([p[k] for p in parts]) for k in range(2, 6)], axis=1)
+            del parts
             if len(pair[0]) != len(e.low) or len(head) != len(e.head_word):
                 raise RuntimeError("a block's pairs and their sums differ in number")
             if len(hot_words):
@@ -270,28 +306,39 @@ def score_block(known: set[bytes] | None, hot: dict[int, tuple], total: tuple, w
             # every second word is the first of another pair of its text, or a text's edge
             of = np.empty(len(e.words), np.int64)
             of[e.head_number] = np.arange(len(e.head_number))
-            single = head[of[e.second]]
-            sums = []
-            for k in (0, 1):
-                alone = (single[:, 2 * k] + base) / (total[k] + base * words)
-                before, kinds = (head[e.head, c] for c in (2 * k, 2 * k + 1))
-                rest = np.where(before > 0, discount * kinds / np.maximum(before, 1), 1.0)
-                loss = -np.log(np.maximum(pair[k] - discount, 0) / np.maximum(before, 1) + rest * alone)
-                sums.append(np.bincount(e.whose, loss[e.at], texts.num_rows))
-            out.append(pa.table({"h": texts.column("h"), "n_tokens": pa.array(np.bincount(e.whose, minlength=texts.num_rows).astype(np.int64)), "target": pa.array(sums[0]), "all": pa.array(sums[1])}))
+            copies = np.stack([texts.column("target").to_numpy(), texts.column("all").to_numpy()], axis=1)
+            if elsewhere.num_rows:  # texts are in the order of their hashes
+                copies[np.searchsorted(texts.column("h").to_numpy(), elsewhere.column("h").to_numpy())] = np.stack([elsewhere.column("target").to_numpy(), elsewhere.column("all").to_numpy()], axis=1)
+            ends = np.searchsorted(e.whose, np.arange(texts.num_rows), side="right")
+            sums, i0 = [], 0
+            while i0 < texts.num_rows:
+                begin = int(ends[i0 - 1]) if i0 else 0
+                i1 = max(i0 + 1, int(np.searchsorted(ends, begin + TOKENS, side="right")))
+                sums.append(losses(e, i0, i1, slice(begin, int(ends[i1 - 1])), pair, head, of, copies))
+                i0 = i1
+            target, all_ = (np.concatenate(x) for x in zip(*sums))
+            out.append(pa.table({"h": texts.column("h"), "n_tokens": pa.array(np.diff(ends, prepend=0)), "target": pa.array(target), "all": pa.array(all_)}))
         return pa.concat_tables(out) if out else pa.table({"h": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "target": pa.array([], pa.float64()), "all": pa.array([], pa.float64())})
 
     return f
 
 
+def copies_elsewhere(blocks: DataFrame) -> DataFrame:
+    """``(block, h, target, all)``: for each block's texts that stand in other blocks too, their rows in all blocks."""
+    each = blocks.select("block", F.explode("copies").alias("x")).select("block", "x.*")
+    everywhere = each.groupBy("h").agg(F.count("*").alias("n"), F.sum("target").alias("target"), F.sum("all").alias("all")).where("n > 1").drop("n")
+    return each.select("block", "h").join(everywhere, "h").select("block", "h", "target", "all")
+
+
 def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, discount: float = 0.75, base: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``target_loss``, ``background_loss`` and ``difference`` (their mean per token, target less background).
 
     The background model counts all documents, the target model those whose id is in ``target_ids``; both are
     two-word models over the shared vocabulary (all words of all documents; with ``vocabulary`` so many of the
     most frequent, and other words are one unknown word), smoothed alike, so a loss difference is due to the
-    texts alone. Lower difference: more like the target. Texts are gathered in blocks of some megabytes; a block's
-    different pairs of words go, packed, to the buckets that sum them over all blocks, and their sums come back to
+    texts alone. A text is scored by the other texts: its own words, with those of its equal copies, are taken
+    out of both models first, so the score does not say whether the target had it. Lower difference: more like
+    the target. Texts are gathered in blocks of some megabytes; a block's different pairs of words go, packed, to the buckets that sum them over all blocks, and their sums come back to
     the block, where the texts are scored. A word is named by its 64-bit hash, and after a given word by 48 bits
     of it. Words that are a ten-thousandth of all tokens or more (10,000 at most, so their sums are sent to every
     task) have their pairs dealt over all buckets; nothing else of the models is on the driver or broadcast,
@@ -309,7 +356,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None,
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("bigint").alias(f"{OWN}id")).where(f"{OWN}id is not null").distinct()
     flagged = src.select(F.col(f"{OWN}text"), F.col(f"{OWN}h"), F.col(doc_id).cast("bigint").alias(f"{OWN}id")).join(checked_broadcast(ids.withColumn(f"{OWN}target", F.lit(True))), f"{OWN}id", "left")
     rows = flagged.select(F.col(f"{OWN}h").alias("h"), F.col(f"{OWN}text").alias("t"), F.coalesce(f"{OWN}target", F.lit(False)).alias("target"))
-    blocks = scratch.keep(rows.mapInArrow(make_blocks(known), "block bigint, n_words bigint, n_bytes bigint, frequent array<struct<w:bigint,n:bigint>>, texts binary"), "blocks")
+    blocks = scratch.keep(rows.mapInArrow(make_blocks(known), "block bigint, n_words bigint, n_bytes bigint, frequent array<struct<w:bigint,n:bigint>>, copies array<struct<h:bigint,target:bigint,all:bigint>>, texts binary"), "blocks")
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_bytes").alias("bytes")).first()
     frequent = blocks.select(F.explode("frequent").alias("x")).groupBy("x.w").agg(F.sum("x.n").alias("n")).where(F.col("n") * HOT >= (size.words or 0))
     hot = np.sort(np.array([r.w for r in frequent.select("w").collect()], np.int64).view(np.uint64))
@@ -324,7 +371,8 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None,
         else:
             of_hot[int(np.int64(r.block).view(np.uint64))] = np.array(r.values)
     words = len(known) if known is not None else int(total[2]) + sum(1 for w in of_hot if w != BORDER)
-    scored = blocks.select("block", "texts").groupBy("block").cogroup(sums.where("kind = 'sums'").select("block", "bucket", "payload").groupBy("block"))
+    known_of = sums.where("kind = 'sums'").select("block", "bucket", "payload").unionByName(copies_elsewhere(blocks), allowMissingColumns=True)
+    scored = blocks.select("block", "texts").groupBy("block").cogroup(known_of.groupBy("block"))
     mean = scored.applyInArrow(score_block(known, {w: tuple(x.tolist()) for w, x in of_hot.items()}, tuple(total[:2].tolist()), words + 2, buckets, discount, base), "h bigint, n_tokens bigint, target double, all double")
     mean = mean.groupBy(F.col("h").alias(f"{OWN}h")).agg(F.min("n_tokens").alias("n_tokens"), F.min("target").alias("target"), F.min("all").alias("all"))
     mean = mean.select(f"{OWN}h", "n_tokens", (F.col("target") / F.col("n_tokens")).alias("target_loss"), (F.col("all") / F.col("n_tokens")).alias("background_loss"))
