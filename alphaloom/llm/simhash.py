@@ -86,14 +86,44 @@ def bands(distance: int, extra: int = 2) -> list[list[tuple[int, int]]]:
     return [list(x) for x in combinations(list(zip(edges, edges[1:])), extra)]
 
 
+CROWD = 64  # rows of a part in one batch from which known links are used to leave pairs out
+
+
+def crowd_links(fp: np.ndarray, table: np.ndarray, label: np.ndarray, fresh: int, distance: int) -> np.ndarray:
+    """A forest of the links of one part's rows, sorted by the first coordinate; ``label`` (changed) names components.
+
+    A row meets the rows within reach that are not of its component by then, so near copies cost about one pass,
+    and unlike rows every pair. Pairs of rows before ``fresh`` have been compared before.
+    """
+    links, columns = [], np.ascontiguousarray(table.T)
+    ends = np.searchsorted(columns[0], columns[0] + distance, side="right")
+    for r in range(len(fp) - 1):
+        at = max(r + 1, fresh)
+        if at >= ends[r]:
+            continue
+        others = at + np.flatnonzero(label[at : ends[r]] != label[r])
+        for c in columns[1:]:
+            if not len(others):
+                break
+            others = others[np.abs(c[others] - c[r]) <= distance]
+        if len(others):
+            others = others[np.bitwise_count(fp[others] ^ fp[r]).sum(axis=1) <= distance]
+        if len(others):
+            joined, one = np.unique(label[others], return_index=True)
+            links.append(np.stack([np.full(len(one), r), others[one]], axis=1))
+            label[np.isin(label, joined)] = label[r]
+    return np.concatenate(links) if links else np.empty((0, 2), np.int64)
+
+
 def link_partition(batches, refs: np.ndarray, distance: int):
     """Links within the rows (part, node, fp) of a partition sorted by (part, first coordinate).
 
     Each fingerprint's distances to all references are tabulated once. A row meets those after it in its part
     while the first coordinates differ by no more than ``distance`` (they are sorted, so a miss ends the row's
     turn); pairs whose other coordinates differ by more go out one reference at a time; survivors are verified.
-    What is carried from batch to batch are the rows of the last part still within reach. Only a forest of
-    each batch's links is passed on, since components are all that is asked for.
+    What is carried from batch to batch are the rows of the last part still within reach, with what they are
+    linked to; they do not meet each other again. Only a forest of each batch's links is passed on, since components
+    are all that is asked for, and in a crowded part rows of one component are not compared.
     """
     held = None
     for b in batches:
@@ -101,14 +131,25 @@ def link_partition(batches, refs: np.ndarray, distance: int):
         if not len(part):
             continue
         fp = np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(part), -1) if pa.types.is_binary(fp.type) else fp.to_numpy().view(np.uint64)[:, None]
+        group, fresh = node, 0
         if held is not None:
-            part, node, fp = np.concatenate([held[0], part]), np.concatenate([held[1], node]), np.concatenate([held[2], fp])
+            fresh = len(held[0])
+            part, node, fp, group = (np.concatenate(x) for x in zip(held, (part, node, fp, group)))
         table = np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
-        rows, step, found = np.arange(len(fp) - 1), 1, []
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        sizes = np.diff(np.append(edges, len(part)))
+        found = []
+        for i, n in zip(edges[sizes >= CROWD].tolist(), sizes[sizes >= CROWD].tolist()):
+            label = np.unique(group[i : i + n], return_inverse=True)[1]
+            links = crowd_links(fp[i : i + n], table[i : i + n], label, max(0, fresh - i), distance)
+            if len(links):
+                found.append(i + links)
+        rows, step = np.flatnonzero(np.repeat(sizes < CROWD, sizes)[:-1]), 1
         while len(rows):
             rows = rows[rows + step < len(fp)]
             near = (part[rows] == part[rows + step]) & (table[rows + step, 0] - table[rows, 0] <= distance)
-            left = rows = rows[near]
+            rows = rows[near]
+            left = rows[rows + step >= fresh]
             for r in range(1, len(refs)):
                 if not len(left):
                     break
@@ -121,12 +162,16 @@ def link_partition(batches, refs: np.ndarray, distance: int):
                     moved = np.flatnonzero(root != np.arange(len(fp)))
                     found = [np.stack([root[moved], moved], axis=1)]
             step += 1
+        reach = (part == part[-1]) & (table[-1, 0] - table[:, 0] <= distance)
         if found:
-            root = forest(np.concatenate(found), len(fp))
+            pairs = np.concatenate(found)
+            root = forest(pairs, len(fp))
             moved = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
-        reach = (part == part[-1]) & (table[-1, 0] - table[:, 0] <= distance)
-        held = part[reach], node[reach], fp[reach]
+            # rows linked in an earlier batch are one component with what any of them is linked to now
+            number = np.unique(group, return_inverse=True)[1]
+            group = node[forest(np.concatenate([pairs, np.stack([np.unique(number, return_index=True)[1][number], np.arange(len(fp))], axis=1)]), len(fp))]
+        held = part[reach], node[reach], fp[reach], group[reach]
 
 
 def forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -210,18 +255,10 @@ def shingle_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
 def similar_in_cell(fp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
     """A forest of the links of rows ``left`` and ``right`` (numbers of rows) of a cell.
 
-    Pairs at ``distance`` bits or fewer are candidates, nearest first; those of rows that are not connected by then
-    are checked by their sets.
+    Pairs at ``distance`` bits or fewer are candidates; those of rows that are not connected by then are checked
+    by their sets. Rows meet the others in slices, one row first and twice as many each time up to 64, nearest
+    pairs first in a slice, so a cell of near copies is one component after few slices and few pairs are held.
     """
-    found = []
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        d = np.bitwise_count(fp[rows][:, None, :] ^ fp[right][None]).sum(axis=2, dtype=np.int16)
-        i, j = np.nonzero(d <= distance)
-        i, j, d = rows[i], right[j], d[i, j]
-        once = i < j if left is right else np.ones(len(i), bool)
-        found.append(np.stack([d[once], i[once], j[once]], axis=1).astype(np.int32))
-    pairs = np.concatenate(found)
     root = list(range(len(fp)))
 
     def find(x: int) -> int:
@@ -230,21 +267,34 @@ def similar_in_cell(fp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, ri
             x = root[x]
         return x
 
-    links = []
-    for _, i, j in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
-        a, b = find(i), find(j)
-        if a == b:
-            continue
-        x, y = sets[i], sets[j]
-        n = len(x) + len(y)
-        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-            continue
-        both = np.concatenate((x, y))
-        both.sort()
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        if common >= similarity * (n - common):
-            root[max(a, b)] = min(a, b)
-            links.append((i, j))
+    links, at, width = [], 0, 1
+    while at < len(left):
+        rows = left[at : at + width]
+        label = np.array(root)
+        while not np.array_equal(label, deeper := label[label]):
+            label = deeper
+        apart = label[rows][:, None] != label[right]
+        if left is right:
+            apart &= rows[:, None] < right
+        x, y = np.nonzero(apart)
+        d = np.bitwise_count(fp[rows[x]] ^ fp[right[y]]).sum(axis=1, dtype=np.int16)
+        near = np.flatnonzero(d <= distance)
+        near = near[np.argsort(d[near], kind="stable")]
+        for i, j in zip(rows[x[near]].tolist(), right[y[near]].tolist()):
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            x_, y_ = sets[i], sets[j]
+            n = len(x_) + len(y_)
+            if min(len(x_), len(y_)) < similarity * max(len(x_), len(y_)):
+                continue
+            both = np.concatenate((x_, y_))
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if common >= similarity * (n - common):
+                root[max(a, b)] = min(a, b)
+                links.append((i, j))
+        at, width = at + width, min(2 * width, 64)
     return links
 
 

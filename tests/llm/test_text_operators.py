@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,38 @@ def test_lm_score_knows_rare_words(spark):
     counts = [sum(t.split().count("r0x1") for i, t in docs if i in some) for some in ({100, 102, 104}, set(dict(docs)))]
     assert counts[1] >= counts[0] > 0 and len(words) > 2_000
     assert out[0].n_tokens == 2101 and out[100].n_tokens == 31
+
+
+@pytest.mark.parametrize("rows", [37, 1000])
+def test_crowded_parts(rows):
+    """Parts and cells with groups of near copies, in small and large batches, against all pairs."""
+    rng = np.random.default_rng(rows)
+    refs = simhash.pivots(8, 4)
+    for distance in (10, 30, 48):
+        n = 500
+        fp = rng.integers(0, 2**64, (9, 4), dtype=np.uint64)[rng.integers(0, 9, n)]
+        for k in range(n):
+            for b in rng.integers(0, 256, rng.integers(0, 30)).tolist():
+                fp[k, b // 64] ^= np.uint64(1 << (b % 64))
+        apart = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+        part = rng.integers(0, 3, n)
+        order = np.lexsort((np.bitwise_count(fp ^ refs[0]).sum(axis=1), part))
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(part[o]), pa.array(o), pa.array([x.tobytes() for x in fp[o]], pa.binary())], names=["part", "node", "fp"])
+            for o in (order[i : i + rows] for i in range(0, n, rows))
+        ]
+        got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in simhash.link_partition(iter(batches), refs, distance)]
+        want = np.argwhere((apart <= distance) & (part[:, None] == part))
+        assert np.array_equal(simhash.forest(np.concatenate(got), n), simhash.forest(want, n))
+        sets = [np.unique(rng.integers(0, 60, 40)).astype("<u4") for _ in range(n)]
+        alike = [(i, j) for i, j in np.argwhere(apart <= distance).tolist() if i < j and len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))]
+        links = simhash.similar_in_cell(fp, sets, np.arange(n), np.arange(n), distance, 0.4)
+        assert np.array_equal(simhash.forest(np.array(links), n), simhash.forest(np.array(alike), n))
+
+
+def test_keep_one_of_many_near_copies(spark):
+    """Some thousands of copies with one word changed are one group."""
+    base = [f"word{i}" for i in range(120)]
+    docs = [(i, " ".join([*base[: i % 120], f"other{i}", *base[i % 120 + 1 :]])) for i in range(4000)] + [(4000 + i, f"text {i} of its own kind with words {i * 7} {i * 11} {i * 13}") for i in range(20)]
+    out = simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)).collect()
+    assert sorted(r.doc_id for r in out) == [0, *range(4000, 4020)]
