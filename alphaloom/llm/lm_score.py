@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, Scratch, checked_broadcast
+from .common import OWN, Scratch, checked_broadcast, give_back
 
 UNKNOWN, BORDER = 0, 1  # instead of a word's hash: any other word; a document's edges
 BLOCK = 8 << 20  # bytes of text whose pairs are counted at once
@@ -205,6 +205,8 @@ def count_pairs(known: set[bytes] | None, hot: np.ndarray, buckets: int):
                     pay.append((squeezed(np.diff(words, prepend=0), size[h0:h1], target[r0:r1], all_[r0:r1]), low[r0:r1].tobytes()))
                 counts, seconds = zip(*pay) if pay else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), block), pa.int64()), pa.array(counts, pa.binary()), pa.array(seconds, pa.binary())], names=["bucket", "block", "counts", "seconds"])
+                del e, texts, target, all_, low, pay, counts, seconds
+                give_back()
 
     return run
 
@@ -223,15 +225,17 @@ def merge_pairs(hot: np.ndarray):
         second[:, :6] = six
         second = second.view(np.uint64).reshape(-1)
         order = np.lexsort((second, first))
-        f_, s_ = first[order], second[order]
+        f_ = first[order]
         new_head = first_of(f_)
-        new = new_head | first_of(s_)
+        new = new_head | first_of(second[order])
+        del first, second, six
         at = np.flatnonzero(new)
         sums = [np.add.reduceat(np.concatenate([p[k] for p in parts])[order], at) for k in (2, 3)]
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(new) - 1
         head_at = np.flatnonzero(new_head[at])
         words = f_[at[head_at]]
+        del f_, order
         per_head = [np.add.reduceat(x, head_at) for s in sums for x in (s, (s > 0).astype(np.int64))]  # counts and kinds of followers, target then all
         salted = np.isin(words, hot)
         rows = []
@@ -245,6 +249,8 @@ def merge_pairs(hot: np.ndarray):
         rows.append((0, "total", squeezed(np.array([*(int(s.sum()) for s in sums), int((~salted & (words != BORDER)).sum())]))))
         ids, kinds, payloads = zip(*rows)
         bucket = group.column("bucket")[0].as_py()
+        del parts, sums, entry
+        give_back()
         return pa.table({"block": pa.array(ids, pa.int64()), "kind": pa.array(kinds), "bucket": pa.array([bucket] * len(ids), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     return f
@@ -360,7 +366,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None,
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_bytes").alias("bytes")).first()
     frequent = blocks.select(F.explode("frequent").alias("x")).groupBy("x.w").agg(F.sum("x.n").alias("n")).where(F.col("n") * HOT >= (size.words or 0))
     hot = np.sort(np.array([r.w for r in frequent.select("w").collect()], np.int64).view(np.uint64))
-    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // (2 * BLOCK)))
+    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // BLOCK))
     pairs = blocks.select("block", "texts").mapInArrow(count_pairs(known, hot, buckets), "bucket int, block bigint, counts binary, seconds binary")
     sums = scratch.keep(pairs.groupBy("bucket").applyInArrow(merge_pairs(hot), "block bigint, kind string, bucket int, payload binary"), "sums")
     of_hot: dict[int, np.ndarray] = {}
