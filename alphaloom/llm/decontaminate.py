@@ -124,7 +124,10 @@ def latent_space(rows: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray,
         basis = np.linalg.qr(sketch(rows, vocabulary, idf, basis, text))[0]
     small = basis.T @ sketch(rows, vocabulary, idf, basis, text)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return (basis @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    best = np.argsort(-values)[:rank]
+    # directions in which no passage lies say nothing
+    best = best[: max(1, int((values[best] > 1e-9 * values.max()).sum()))]
+    return (basis @ vectors[:, best]).astype(np.float32)
 
 
 def masks_of(item: list[bytes]) -> dict[bytes, int]:
@@ -177,7 +180,7 @@ def enough_shared(terms: np.ndarray, places: np.ndarray, low: np.ndarray, high:
     return hit[ends] - hit[ends - size] >= need[item]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = 96, cosine: float = 0.28, subsequence: float = 0.6, answer: float = 0.5, sample_docs: int = 4_000, max_df: float = 0.02, max_words: int = 2_000_000, few: int = 8) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = 96, cosine: float = 0.28, subsequence: float = 0.6, answer: float = 0.5, max_df: float = 0.02, max_words: int = 2_000_000, few: int = 8) -> DataFrame:
     """``docs`` with ``leaks``: an array of (item_id, cosine, subsequence share, answer share), empty for clean documents.
 
     Every passage of every document (two strides of 16 words, each stride shared by two passages; passages
@@ -185,8 +188,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     passage of every item is mapped to the latent space of TF-IDF; pairs at or above ``cosine`` are candidates.
     A candidate leaks if at least ``subsequence`` of the item's words stand in the document's surroundings of
     the passage in the item's order, and ``answer`` of the item's end (its last sentence, or last quarter) does.
-    Word frequencies count all documents; the singular vectors are fitted on the benchmark's passages and on
-    those of ``sample_docs`` documents (smallest hash of the text: a documented bound), but all are searched.
+    Word frequencies count all documents, which are all searched; the singular vectors are those of all the
+    benchmark's passages, the query set, so nothing is fitted on a part of the documents.
     Words in over ``max_df`` of the documents carry no weight in retrieval. Items with under ``few`` weighted words
     in a passage (common words, or a leak in many documents) do not rely on it: they are also compared wherever one
     of their rarest words stands, so many of them that a leak cannot leave out all (``cosine`` is 0 where the
@@ -219,14 +222,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     masks = [masks_of(ws) for ws in items.words]
     tail_masks = [masks_of(ws) for ws in items.answers]
     pads = np.array([max(STRIDE, len(ws) + len(ws) // 4) for ws in items.words], np.int64)
-    hashed = src.select(F.col(f"{OWN}text").alias("t"), F.xxhash64(f"{OWN}text").alias("h")).where("t is not null")
-    limit = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    picked = hashed.where(F.col("h") <= F.lit(limit)).dropDuplicates(["h"]).select("t")
-    rows = picked.unionAll(benchmark.select(F.col(item_text).cast("string").alias("t")).where("t is not null")).repartition(8).persist()
-    try:
-        space = latent_space(rows, known, idf, rank, "t")
-    finally:
-        rows.unpersist()
+    rows = benchmark.select(F.col(item_text).cast("string").alias("t")).where(F.col(item_id).isNotNull() & F.col("t").isNotNull())
+    space = latent_space(rows, known, idf, rank, "t")
     targets, of, exact = [], [], []
     for k, ws in enumerate(items.words):
         for a in range(0, max(1, len(ws) - STRIDE), STRIDE):
