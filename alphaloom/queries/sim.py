@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import ic, overfit, search, simulate
 from ..plans.compiler import clip, evaluate, signals
 from ..sources import panel as P
-from ..sources.catalog import append, shared_folder
+from ..sources.catalog import append, keep, shared_folder
 from ..streaming import decay, paper
 from ..streaming.decay import decay_stream, read_upserted, upsert_sink
 from .common import MONTHLY, ORACLE, TS, WEEKLY, frame, monthly, query, rounded, weekly, with_ret
@@ -187,7 +187,7 @@ pnl AS (SELECT t.ticker, t.date, t.exit_date, t.weight, CASE WHEN abs(x.pclose /
 
 
 def ledger(spark, d):
-    p = monthly(spark, d)
+    p = keep(monthly(spark, d).select("ticker", "date", "pclose"), "panel")  # entries, calendar and exits read it
     t = P.exit_dates(p.select("ticker", "date", F.col("pclose").alias("entry_px")), P.trading_calendar(p), 2)
     t = simulate.log_trades(t.withColumn("slippage_bps", F.lit(20.0)).withColumn("weight", F.lit(0.1)))
     return simulate.realized_pnl(t, p)
@@ -214,7 +214,11 @@ def daily_loss(spark, d):
 
 def _scaled(spark, d):
     # the mean trade of the day, so that no day can lose all
-    p = simulate.daily_pnl(ledger(spark, d))
+    return _mean_pnl(ledger(spark, d))
+
+
+def _mean_pnl(trades):
+    p = simulate.daily_pnl(trades)
     return p.select("date", (F.col("pnl") / F.col("n")).alias("pnl"))
 
 
@@ -505,7 +509,8 @@ SELECT ticker, date, round(entry_px, 6) AS entry_px, weight FROM tr WHERE NOT EX
 def paper_ledger_gated(spark, d):
     """What gets into the ledger when days of loss and drawdown stop the next day's trades; appended and read again."""
     path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex[:12]}"
-    kept = simulate.gated(ledger(spark, d).select("ticker", "date", "entry_px", "weight"), _scaled(spark, d), max_drawdown=0.9)
+    trades = keep(ledger(spark, d).select("ticker", "date", "entry_px", "weight", "net_pnl_pct"), "trades")
+    kept = simulate.gated(trades.select("ticker", "date", "entry_px", "weight"), _mean_pnl(trades), max_drawdown=0.9)
     for part in ("date < '1998-01-01'", "date >= '1998-01-01'"):
         append(kept.where(part), path)
     return rounded(spark.read.schema(kept.schema).parquet(path), "entry_px")
