@@ -455,7 +455,7 @@ def stream_decay(spark, d):
 def stream_paper_pnl(spark, d):
     """The ledger's trades filled by a stream of prices that stops half-way and is started again; unfilled ones come out at the end."""
     base = f"{shared_folder(spark)}/paper-{uuid.uuid4().hex[:12]}"
-    panel = monthly(spark, d)
+    panel = keep(monthly(spark, d).select("ticker", "date", "pclose"), "panel")
     days = F.broadcast(P.trading_calendar(panel).withColumnRenamed("idx", "day"))  # a row per day
     dated = panel.join(days, "date").withColumn("date", F.col("date").cast("timestamp"))
     entries = simulate.log_trades(dated.select("ticker", "date", (F.col("day") + 2).alias("exit_day"), F.col("pclose").alias("entry_px"), F.lit(0.1).alias("weight"), F.lit(20.0).alias("slippage_bps")))
