@@ -100,3 +100,30 @@ def test_query_equals_plain(spark, data):
             want[(key, date)] = now
     got = {(r.ticker, r.date): r.p for r in registry.QUERIES["hmm_filtered_probs"](spark, data).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
+def test_short_series_are_fitted_without_carries(spark, data, monkeypatch):
+    """Series of few dates are a chunk each, so a round is a map; the panel of the query is made once."""
+    from alphaloom.operators import regime
+
+    def carried(*_):
+        raise AssertionError("products of a series that is one chunk")
+
+    read, scale = [], regime.robust_scale
+    monkeypatch.setattr(chain, "products", carried)
+    monkeypatch.setattr(regime, "robust_scale", lambda rows, *more: read.append(rows._jdf.queryExecution().executedPlan().toString()) or scale(rows, *more))
+    assert registry.QUERIES["hmm_filtered_probs"](spark, data).count() > 0
+    assert len(read) == 1 and "Exchange" not in read[0]
+
+
+def test_chunks_follow_the_dates_of_the_table(spark, monkeypatch):
+    df = frame(spark, made())
+    assert chain.cut(df, ["a", "b"]).alone and not chain.cut(df, ["a", "b"], days=30).alone
+    monkeypatch.setattr(chain, "DAYS", 20)
+    # seven dates at most in 20 days: chunks of 40 days, 14 dates
+    assert chain.spans(df) == (0, 40)
+    monkeypatch.setattr(chain, "CELLS", 50)
+    model = {"k": 2, "pi": [0.5, 0.5], "a": [[0.9, 0.1], [0.1, 0.9]], "m": [[0, 0], [2, 2]], "s": [[1, 1], [0.3, 0.3]]}
+    short = {(r.ticker, r.date): r for r in chain.probabilities(df, ["a", "b"], model).collect()}
+    whole = {(r.ticker, r.date): r for r in chain.probabilities(df, ["a", "b"], model, days=5_000).collect()}
+    assert short.keys() == whole.keys() and all(np.allclose(short[k].filtered, whole[k].filtered, atol=1e-12) and np.allclose(short[k].smoothed, whole[k].smoothed, atol=1e-12) for k in whole)
