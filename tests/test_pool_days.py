@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators import ic
 from alphaloom.plans.compiler import evaluate, long
+from alphaloom.queries import stats
 
 
 def shuffles(df):
@@ -42,3 +43,28 @@ def test_nested_windows_are_shuffled_once_a_turn(spark):
     }
     # by ticker, date, ticker, date
     assert shuffles(evaluate(panel, pool)) == 4
+
+
+def test_a_task_holds_a_slice_of_the_pool(spark):
+    """However many formulas and however few bytes, a task stacks some formulas of a date or two, not the pool."""
+    ids = [f"f{i}" for i in range(8)]
+    wide = spark.range(4_000).selectExpr("date_add(date'2020-01-01', cast(id % 10 as int)) date", "rand(1) ret", "rand(2) size", *[f"rand({i}) {k}" for i, k in enumerate(ids)])
+    tasks = ic.pool_tasks(10, 4_000, 8)
+    assert tasks == 1 and ic.pool_tasks(10, 4_000_000, 8) == 120
+    one = {(r.formula_id, r.date): r for r in ic.pool_days(wide, ids, tasks=1).collect()}
+    got = ic.pool_days(wide, ids, tasks=120)
+    # rows of a task where they are dealt: 400 of a date, for each slice of three formulas
+    held = got.select(F.spark_partition_id().alias("p"), "formula_id", "date").groupBy("p").count().agg(F.max("count")).first()[0]
+    assert held <= 5 * 3 and shuffles(got) == 1
+    same = {(r.formula_id, r.date): r for r in got.collect()}
+    near = lambda a, b: a == b or abs(a - b) < 1e-9
+    assert same.keys() == one.keys() and len(one) == 80 and all(near(x, y) for k in one for x, y in zip(one[k][2:], same[k][2:]))
+
+
+def test_lines_are_dealt_before_they_are_sorted(spark, data):
+    """Sorting a whole split to reduce its lines took memory by the size of the split."""
+    panel = stats.monthly(spark, data)
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    # plans are printed from the last step to the first
+    assert "SortAggregate" in plan and plan.rindex("SortAggregate") < plan.index("Exchange hashpartitioning")
+    assert shuffles(panel) == 1
