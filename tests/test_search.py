@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row as row
 from pyspark.sql import functions as F
 
 from alphaloom.operators import search, tuning
@@ -134,6 +135,57 @@ def test_trials_share_jobs_and_equal_their_own_runs(spark, data):
     assert one == 1 and alone[0] == pytest.approx(values[0], abs=1e-9)
 
 
+def test_registered_tuning_is_whole(spark, data, monkeypatch):
+    """Fifty trials on the whole of each of three windows, over the parameters' whole ranges; every leaf of a trial is valued."""
+    from alphaloom import registry
+
+    seen = {}
+
+    def score_pool(panel, pool, **folds):
+        key = tuple(panel.agg(F.min("date"), F.max("date"), F.countDistinct("date")).first())
+        asked = seen.setdefault(key, [])
+        asked += map(canonical, pool)
+        fold_rics = [row(fold=k, ric=score(pool[0])) for k in range(4)]
+        rows = [row(formula=str(t), status="ok", mean_ric=score(t), std_ric=0.1, complexity=t.size, size_corr=0.0, fold_rics=fold_rics) for t in pool]
+        return type("Scored", (), {"collect": lambda self: rows})()
+
+    trials, run_trials = {}, tuning.run_trials
+
+    def run(panel, params, seed, *a, **k):
+        trials.setdefault(seed, []).extend(params)
+        return run_trials(panel, params, seed, *a, **k)
+
+    monkeypatch.setattr(search, "score_pool", score_pool)
+    monkeypatch.setattr(tuning, "run_trials", run)
+    got = registry.QUERIES["tuned_parameters"](spark, data).collect()
+    assert len(trials) == len(seen) == 3 and all(len(ps) == 50 for ps in trials.values()) and len(got) == 24
+    for k in ("max_K", "mcts_rollouts"):  # every value of the range may be drawn: near both ends some are
+        r, tried = tuning.SPACE[k], [p[k] for ps in trials.values() for p in ps]
+        assert min(tried) <= r.low + 1 and max(tried) >= r.high - 1
+    months = sorted(r.date for r in common.monthly(spark, data).select("date").distinct().collect())
+    spans = tuning.windows(months, 3, len(months) * 3 // 4)
+    assert seen.keys() == {(s[0], s[-1], len(s)) for s in spans}
+    assert all(len(asked) == len(set(asked)) for asked in seen.values())  # a formula is scored once a window
+
+
+def test_all_leaves_of_a_trial_are_dealt(monkeypatch):
+    grown = []
+    monkeypatch.setattr(search, "PoolValues", lambda panel: Values())
+    monkeypatch.setattr(tuning, "trial_value", lambda rows, p, like: 0.0)
+    grow = search.grow
+    monkeypatch.setattr(search, "grow", lambda roots, *a: (grow(roots, *a), grown.append([r.branch.visits for r in roots])))
+    params = [{"max_K": 9, "c_puct": 1.0, "mcts_rollouts": n} for n in (8, 11, 31)]
+    tuning.run_trials(None, params, 7, 4)
+    assert grown[-1] == [8, 11, 31]
+
+
+class Values:
+    jobs, rows = 0, {}
+
+    def __call__(self, trees):
+        return [score(t) for t in trees]
+
+
 def test_mining_gates(spark, data):
     """The registered mining, its gates in plain Python over the scores of the same generations."""
     from statistics import NormalDist
